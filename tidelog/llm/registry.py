@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash
+from . import bpe, langid, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_langid": langid.op2_langid,
     "op3_simhash": simhash.op3_simhash,
     "op6_mixing": mixing.op6_mixing,
+    "op7_bpe": bpe.op7_bpe,
 }
 SQL: dict[str, str] = {
     "op6_mixing": mixing.SQL,
