@@ -8,10 +8,11 @@ Training: texts and labels of a bounded sample, at most about PER_LANG documents
 by a hash of doc_id among documents that have a language and are not held out (crc32 of doc_id as text, mod 4, is not 2).
 Each gives SAMPLES windows from anywhere in its text. lang, source and doc_id are never inputs of a prediction.
 
-Prediction: every window of the whole text is scored; logits are averaged by the bytes that the windows hold.
+Prediction: every window of the whole text is classified; probabilities are averaged by the bytes that the windows hold, so
+the language of most of a mixed text wins.
 
 Defined results: `und` with score 0 if the text is null or has no letter, or if there was nothing to learn from; a null
-doc_id is not held out and not learned from; repeated rows give repeated rows; an empty table gives an empty table. Ties of logits go to
+doc_id is not held out and not learned from; repeated rows give repeated rows; an empty table gives an empty table. Ties go to
 the first language by name.
 """
 
@@ -27,12 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-WINDOW = 256
+WINDOW = 128
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 8
 PER_LANG = 800
-SAMPLES = 3
-EPOCHS = 30
+SAMPLES = 4
+EPOCHS = 12
 UNKNOWN = "und"
 
 
@@ -100,26 +101,26 @@ class ByteCnn:
                     rate = 0.01 / (1 - 0.9**step)
                     params[i] -= (rate * m[i] / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8) + 1e-5 * params[i]).astype(np.float32)
 
-    def predict(self, texts: list[str | None], chunk: int = 64) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None], chunk: int = 128) -> tuple[list[str], list[float]]:
         raw = [(t or "").lower().encode("utf-8", "replace") for t in texts]
         count = np.array([-(-len(r) // WINDOW) for r in raw])
         sums = np.zeros((len(texts), len(self.langs)))
         if count.sum():
             joined = b"".join(r.ljust(int(n) * WINDOW, b"\0") for r, n in zip(raw, count, strict=True))
             x = np.frombuffer(joined, dtype=np.uint8).reshape(-1, WINDOW)
-            logits = np.concatenate([self.logits(x[i : i + chunk]) for i in range(0, len(x), chunk)])
+            z = np.concatenate([self.logits(x[i : i + chunk]) for i in range(0, len(x), chunk)])
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
             owner = np.repeat(np.arange(len(texts)), count)
             filled = np.full(len(x), WINDOW, dtype=np.float64)
             ends = np.cumsum(count)[count > 0] - 1
             sizes = np.array([len(r) for r in raw])[count > 0]
             filled[ends] = sizes - (count[count > 0] - 1) * WINDOW
-            np.add.at(sums, owner, logits * filled[:, None])
+            np.add.at(sums, owner, p * filled[:, None])
             sums[count > 0] /= sizes[:, None]
-        p = np.exp(sums - sums.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        best = p.argmax(axis=1)
+        best = sums.argmax(axis=1)
         known = [t is not None and any(map(str.isalpha, t)) for t in texts]
-        return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], [float(p[i, b]) if k else 0.0 for i, (b, k) in enumerate(zip(best, known, strict=True))]
+        return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], [float(min(1.0, sums[i, b])) if k else 0.0 for i, (b, k) in enumerate(zip(best, known, strict=True))]
 
 
 def held_out() -> Column:
