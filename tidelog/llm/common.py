@@ -26,10 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tidelog-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
