@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, simhash, tokenfile
+from . import bpe, langid, mixing, simhash, tiff, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": langid.op2_langid,
     "op3_simhash": simhash.op3_simhash,
+    "op4_tiff": tiff.op4_tiff,
     "op6_mixing": mixing.op6_mixing,
     "op7_bpe": bpe.op7_bpe,
     "op8_tokenfile": tokenfile.op8_tokenfile,
