@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, simhash, tiff, tokenfile
+from . import bpe, htmltext, langid, mixing, simhash, tiff, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": langid.op2_langid,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": mixing.op6_mixing,
     "op7_bpe": bpe.op7_bpe,
     "op8_tokenfile": tokenfile.op8_tokenfile,
+    "op10_htmltext": htmltext.op10_htmltext,
 }
 SQL: dict[str, str] = {
     "op6_mixing": mixing.SQL,
