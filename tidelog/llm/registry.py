@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, htmltext, langid, mixing, simhash, tiff, tokenfile
+from . import bpe, htmltext, langid, lattice, mixing, simhash, tiff, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lattice": lattice.op1_lattice,
     "op2_langid": langid.op2_langid,
     "op3_simhash": simhash.op3_simhash,
     "op4_tiff": tiff.op4_tiff,
