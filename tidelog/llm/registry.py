@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, htmltext, langid, lattice, mixing, simhash, tiff, tokenfile
+from . import bpe, htmltext, langid, lattice, mixing, pii, simhash, tiff, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice": lattice.op1_lattice,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": mixing.op6_mixing,
     "op7_bpe": bpe.op7_bpe,
     "op8_tokenfile": tokenfile.op8_tokenfile,
+    "op9_pii": pii.op9_pii,
     "op10_htmltext": htmltext.op10_htmltext,
 }
 SQL: dict[str, str] = {
