@@ -51,9 +51,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     return s.select("source", "source_size", "total", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, key: str = "mix") -> DataFrame:
-    """docs(doc_id, text, source) -> doc_id, size, source_size, target, taken; one row a document."""
-    d = keep(docs.select("doc_id", "source", words("text").alias("size"), F.md5(F.concat(F.lit(f"{key}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("order")), "sizes")
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, key: str = "mix", row: Column | None = None) -> DataFrame:
+    """docs(doc_id, text, source) -> doc_id, size, source_size, target, taken, and the expression `row` if given; one row a document."""
+    d = keep(docs.select("doc_id", "source", words("text").alias("size"), F.md5(F.concat(F.lit(f"{key}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("order"), (F.lit(None) if row is None else row).cast("string").alias("row")), "sizes")
     by_source = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     t = targets(by_source.select("source", "source_size"), weights, epochs).join(by_source.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     t = keep(t.withColumn("bins", F.ceil(F.col("n") / BIN_ROWS)), "targets")
@@ -68,7 +68,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     bins = bins.withColumn("base", F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin")) - F.col("bin_size")).select(F.col("source").alias("s2"), F.col("bin").alias("b2"), "base")
     within = Window.partitionBy("source", "bin").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     q = d.withColumn("here", F.sum("size").over(within)).join(bins, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bin") == F.col("b2"))).drop("s2", "b2")
-    q = q.withColumn("end", F.col("base") + F.col("here")).select("doc_id", "source", "size", "source_size", "target", "total", "order", "end")
+    q = q.withColumn("end", F.col("base") + F.col("here")).select("doc_id", "source", "size", "source_size", "target", "total", "order", "end", "row")
     q = keep(q, "queues")
 
     # Copies that can be served: the finish time of the last that the budget reaches is 1 or little more.
@@ -88,7 +88,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     taken = q.crossJoin(F.broadcast(limit))
     finish = [(F.lit(p) * F.col("source_size") + F.col("end")) / F.col("target") for p in range(epochs)]
     count = sum((F.when(F.col("stop").isNull() | (f < F.col("stop")), 1).otherwise(0) for f in finish), F.lit(0))
-    return taken.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * count).otherwise(0).cast("long").alias("taken"))
+    return taken.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * count).otherwise(0).cast("long").alias("taken"), *([] if row is None else ["row"]))
+
+
+def apply(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, key: str = "mix") -> DataFrame:
+    """The mix itself: docs with the columns it came with, each row as often as the mix takes it.
+
+    Rows are found again by a hash of doc_id, source and text. Rows alike in all three are one row in the result, as often as
+    the mix takes them together.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.sha2(F.to_json(F.struct("doc_id", "source", "text")), 256)
+    copies = mix(docs, weights, epochs, key, row=row).groupBy("row").agg((F.sum("taken") / F.max("size")).cast("int").alias("tl_copies"), F.count(F.lit(1)).alias("tl_rows"))
+    copies = keep(copies.where("tl_copies > 0"), "copies")
+    d = docs.withColumn("tl_row", row)
+    out = d.join(copies.where("tl_rows = 1"), d["tl_row"] == copies["row"])
+    if not (alike := copies.where("tl_rows > 1")).isEmpty():
+        out = out.unionByName(d.join(alike, d["tl_row"] == alike["row"]).dropDuplicates(["tl_row"]))
+    return out.withColumn("tl_copy", F.explode(F.sequence(F.lit(1), F.col("tl_copies")))).select(*columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, htmltext, langid, lattice, mixing, pii, simhash, tiff, tokenfile
+from . import bpe, htmltext, langid, lattice, license, mixing, pii, simhash, tiff, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice": lattice.op1_lattice,
     "op2_langid": langid.op2_langid,
     "op3_simhash": simhash.op3_simhash,
     "op4_tiff": tiff.op4_tiff,
+    "op5_license": license.op5_license,
     "op6_mixing": mixing.op6_mixing,
     "op7_bpe": bpe.op7_bpe,
     "op8_tokenfile": tokenfile.op8_tokenfile,
