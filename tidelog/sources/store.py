@@ -81,7 +81,11 @@ class Store:
     def _frame(self, folders: list[str], schema: str) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", self.root).parquet(*[f"{self.root}/{f}" for f in folders]).select(*[c.split(" ")[0] for c in schema.split(", ")])
+        names, out = [c.split(" ")[0] for c in schema.split(", ")], None
+        for f in folders:  # each folder is a table of its own, partitioned by family
+            x = self.spark.read.schema(schema).parquet(f"{self.root}/{f}").select(*names)
+            out = x if out is None else out.unionByName(x)
+        return out
 
     # relations
     def versions(self, m: dict | None = None) -> DataFrame:
