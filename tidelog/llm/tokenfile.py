@@ -19,8 +19,8 @@ the first document at which they have BLOCK ids, so a task holds one block at a
 loop over ids. Decoding starts at all checkpoints of a block at once: each lane looks up LIMIT bits in a table that gives the id
 and its length.
 
-Tokens: texts are cut before white space, where the tokenizer's pattern always cuts too, and the library encodes each
-distinct piece; pieces are kept in a bounded cache for each Python worker. This gives what encoding the text as a whole gives.
+Tokens are those of the tokenizers library with the tokenizer file. They are computed by tiktoken from the vocabulary and ranks in that file,
+which is several times faster and gives the same ids (the tests compare them); texts that name a special token go to the library itself.
 
 Defined results: null text is the empty text, whose only id is the end id; special tokens written in a text become their ids, as in the
 library; rows without doc_id come last; repeated doc_ids keep rows of their own, in order of their ids; an empty table gives an empty table.
@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
+from .bpe import printable_bytes
 from .common import keep, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -45,52 +46,31 @@ END = 0
 LIMIT = 16
 BLOCK = 1 << 18
 CHECKPOINT = 256
-CACHE = 400_000
-
-#: White space of the tokenizer's pattern; a token always begins before it if something else comes before.
-_WS = "\t-\r \x85\xa0  -     　"
-_CUT = re.compile(f"(?<=[^{_WS}])(?=[{_WS}])")
-_RUNS = re.compile(f"[{_WS}][{_WS}]")
-#: Marks that may not be tokens of their own.
-_MARKS = re.compile(r"[\W_][,.] ")
+
+#: The pattern of the byte-level pre-tokenizer, in a form that doesn't backtrack, and for texts in which no two white-space characters meet.
+_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+_SINGLE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
+_RUNS = re.compile(r"\s\s")
 BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("lengths", pa.binary()), ("offsets", pa.list_(pa.int64())), ("bits", pa.binary())])
 
 
 class Ids:
-    """Ids of texts by the tokenizers library, as little-endian unsigned 16-bit integers: the vocabulary must have at most 65,536."""
+    """Ids of texts as the tokenizers library gives them, as little-endian unsigned 16-bit integers: the vocabulary must have at most 65,536."""
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        byte = {c: b for b, c in enumerate(printable_bytes())}
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces: dict[str, bytes] = {}
-        self.comma, self.stop = (np.array(self.library.encode(c, add_special_tokens=False).ids, dtype="<u2").tobytes() for c in ",.")
-
-    def learn(self, new: list[str]) -> None:
-        """Encode pieces that the cache lacks. A name that ends in a space is the piece before it; others stand for a line break and
-        a word, or for a space and the name."""
-        texts = [p[:-1] if p[-1:] == " " else p if p[:1] == "\n" else f" {p}" for p in new]
-        for p, e in zip(new, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.pieces[p] = np.array(e.ids, dtype="<u2").tobytes()
-
-    def cut(self, t: str) -> list[str]:
-        if "\0" in t or _RUNS.search(t):
-            return [f"{p} " for p in _CUT.split(t)]
-        t = t.replace("\n", " \n")  # no two spaces meet, so these are the same pieces
-        first, *rest = t.split(" ")
-        if first[-1:].isalnum() and not _MARKS.search(t):  # a mark after a letter and before a space is a token of its own
-            rest = t[len(first) :].replace(", ", " ,\0 ").replace(". ", " .\0 ").split(" ")[1:]
-        return [f"{first} ", *rest]
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        self.pieces |= {",\0": self.comma, ".\0": self.stop}
-        runs = [None if any(s in t for s in self.special) else self.cut(t) for t in texts]
-        self.learn(list(set().union(*filter(None, runs)).difference(self.pieces)))
-        whole = (np.array(self.library.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() for t, r in zip(texts, runs, strict=True) if r is None)
-        return [next(whole) if r is None else b"".join(map(self.pieces.__getitem__, r)) for r in runs]
+        ranks = {bytes(byte[c] for c in t): i for t, i in self.library.get_vocab(with_added_tokens=False).items()}
+        self.any, self.single = (tiktoken.Encoding("ids", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (_PATTERN, _SINGLE))
+
+    def of(self, text: str) -> np.ndarray:
+        if any(s in text for s in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u2")
+        return (self.any if _RUNS.search(text) else self.single).encode_to_numpy(text).astype("<u2")
 
 
 _ids: dict[str, Ids] = {}
@@ -103,20 +83,29 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def tokens(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, ids (little-endian unsigned 16-bit integers, the end id last)."""
-    tail = np.array([end], dtype="<u2").tobytes()
+    """docs(doc_id, text) -> doc_id, ids (little-endian unsigned 16-bit integers, the end id last), counts (null).
+
+    The last rows of each task hold its counts of ids instead: ids null, counts pairs of 64-bit integers.
+    """
+    names = ["doc_id", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = path or vocabulary_path()
         if where not in _ids:
             _ids[where] = Ids(where)
+        total = np.zeros(1 << 16, dtype=np.int64)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                found = _ids[where].of([x or "" for x in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + tail for x in found], type=pa.binary())], ["doc_id", "ids"])
+                found = [np.append(_ids[where].of(x or ""), np.uint16(end)) for x in part.column(1).to_pylist()]
+                total += np.bincount(np.concatenate(found), minlength=1 << 16)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in found], type=pa.binary()), pa.nulls(len(found), pa.binary())], names)
+        used = np.flatnonzero(total)
+        if len(used):
+            pairs = np.stack([used, total[used]], axis=1).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pairs], type=pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -162,13 +151,17 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, every: int = CHECKPOINT) -> tuple[bytes, np.ndarray]:
-    """Bits of the ids, first bit highest, and the bit at which every `every`-th begins."""
+def pack(ids: np.ndarray, counts: np.ndarray, codes: np.ndarray, lengths: np.ndarray, every: int = CHECKPOINT) -> tuple[bytes, np.ndarray, list[np.ndarray]]:
+    """Documents of `counts` ids, one after the other -> their bits, first bit highest; the byte at which each begins, and the end; and of
+    each document the bits from its beginning at which every `every`-th id begins."""
     size = lengths[ids].astype(np.int64)
     ends = np.cumsum(size)
-    begin = ends - size
-    total = int(ends[-1]) if len(ids) else 0
-    words = np.zeros(total // 64 + 2, dtype=np.uint64)
+    last = np.cumsum(counts)
+    bits = np.diff(np.append(0, np.append(0, ends)[last]))
+    place = np.append(0, np.cumsum(-(-bits // 8)))
+    shift = place[:-1] * 8 - (np.cumsum(bits) - bits)  # from a gapless stream to documents at whole bytes
+    begin = ends - size + np.repeat(shift, counts)
+    words = np.zeros(int(place[-1]) // 8 + 2, dtype=np.uint64)
     word, room = begin >> 6, 64 - (begin & 63) - size  # room < 0: the code goes on in the next word
     code = codes[ids].astype(np.uint64)
     left = np.where(room >= 0, code << np.maximum(room, 0).astype(np.uint64), code >> np.maximum(-room, 0).astype(np.uint64))
@@ -177,7 +170,8 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, every: int = C
         words[word[first]] = np.bitwise_or.reduceat(left, first)
     over = np.flatnonzero(room < 0)
     words[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)  # at most one code enters a word
-    return words.byteswap().tobytes()[: -(-total // 8)], begin[::every]
+    checkpoints = [begin[e - n : e : every] - 8 * p for n, e, p in zip(counts.tolist(), last.tolist(), place.tolist(), strict=False)]
+    return words.byteswap().tobytes()[: int(place[-1])], place, checkpoints
 
 
 class Decoder:
@@ -211,19 +205,24 @@ class Decoder:
 
 
 def count_ids(staged: DataFrame) -> DataFrame:
-    """staged(ids) -> id, n over all documents; each task hands on one row an id."""
+    """tokens() -> id, n over all documents; reads the counts of the tasks only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, dtype=np.int64)
         for b in batches:
             for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), dtype="<u2"), minlength=1 << 16) if x.as_buffer().size > 1 << 16 else 0
-            small = [x.as_buffer() for x in b.column(0) if x.as_buffer().size <= 1 << 16]
-            total += np.bincount(np.frombuffer(b"".join(small), dtype="<u2"), minlength=1 << 16)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
+                pairs = np.frombuffer(x.as_buffer(), dtype="<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["id", "n"])
 
-    return staged.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return staged.select("counts").where("counts is not null").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def bounds(staged: DataFrame, parts: int) -> np.ndarray:
+    """At most parts - 1 doc_ids that cut the documents in ranges of about the same number."""
+    shares = [i / parts for i in range(1, parts)]
+    if not shares:
+        return np.zeros(0, dtype=np.int64)
+    found = staged.where("ids is not null").agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0]
+    return np.unique(np.array(found or [], dtype=np.int64))
 
 
 def write(docs: DataFrame, name: str = "blocks", path: str | None = None, end: int = END, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
@@ -236,16 +235,20 @@ def write(docs: DataFrame, name: str = "blocks", path: str | None = None, end: i
     lengths = code_lengths(counts, limit)
     codes, header = canonical(lengths), zlib.compress(lengths.tobytes(), 9)
 
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = bounds(staged, n)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                rows = []
-                for x in part.column(1):
-                    ids = np.frombuffer(x.as_buffer(), dtype="<u2")
-                    rows.append((len(ids), *pack(ids, codes, lengths)))
-                columns = [pa.array([r[0] for r in rows], type=pa.int32()), pa.array([r[2].astype("<i4").tobytes() for r in rows]), pa.array([r[1] for r in rows])]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n", "offsets", "bits"])
+            for lo in range(0, b.num_rows, 64):
+                some = b.slice(lo, 64)
+                raw = [x.as_buffer() for x in some.column(1)]
+                count = np.array([x.size // 2 for x in raw])
+                ids = np.frombuffer(b"".join(raw), dtype="<u2")
+                bits, place, checkpoints = pack(ids, count, codes, lengths)
+                part = np.searchsorted(cuts, some.column(0).fill_null(np.iinfo(np.int64).max).to_numpy())
+                columns = [pa.array(part.astype(np.int32)), some.column(0), pa.array(count.astype(np.int32)), pa.array([c.astype("<i4").tobytes() for c in checkpoints], type=pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([bits[x:y] for x, y in zip(place.tolist(), place[1:].tolist(), strict=False)], type=pa.binary())], ["part", "doc_id", "n", "offsets", "bits"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -267,10 +270,9 @@ def write(docs: DataFrame, name: str = "blocks", path: str | None = None, end: i
         if held:
             yield flush()
 
-    coded = staged.mapInArrow(encode, "doc_id long, n int, offsets binary, bits binary")
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = coded.repartitionByRange(n, F.col("doc_id").isNull(), "doc_id").sortWithinPartitions(F.col("doc_id").isNull(), "doc_id", "bits")
-    blocks = keep(dealt.select(F.spark_partition_id().alias("part"), "doc_id", "n", "offsets", "bits").mapInArrow(gather, from_arrow_schema(BLOCKS)), name)
+    coded = staged.where("ids is not null").select("doc_id", "ids").mapInArrow(encode, "part int, doc_id long, n int, offsets binary, bits binary")
+    dealt = coded.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", F.col("doc_id").isNull(), "doc_id", "bits")
+    blocks = keep(dealt.mapInArrow(gather, from_arrow_schema(BLOCKS)), name)
     # Where each block starts: sums of the parts, then the blocks of a part.
     sizes = blocks.select("part", "block", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("size"))
     parts = sizes.groupBy("part").agg(F.sum("size").alias("size")).select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("base"))
