@@ -99,7 +99,7 @@ def apply(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPO
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     row = F.sha2(F.to_json(F.struct("doc_id", "source", "text")), 256)
-    copies = mix(docs, weights, epochs, key, row=row).groupBy("row").agg((F.sum("taken") / F.max("size")).cast("int").alias("tl_copies"), F.count(F.lit(1)).alias("tl_rows"))
+    copies = mix(docs, weights, epochs, key, row=row).groupBy("row").agg(F.coalesce(F.try_divide(F.sum("taken"), F.max("size")), F.lit(0)).cast("int").alias("tl_copies"), F.count(F.lit(1)).alias("tl_rows"))
     copies = keep(copies.where("tl_copies > 0"), "copies")
     d = docs.withColumn("tl_row", row)
     out = d.join(copies.where("tl_rows = 1"), d["tl_row"] == copies["row"])
