@@ -114,9 +114,23 @@ def reachable(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError("paths longer than 2 ** rounds")
 
 
+def trim(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(a, b) without the edges that can't be on a cycle, as nothing leads to their start or from their end."""
+    known = -1
+    for _ in range(rounds):
+        n = edges.count()
+        if n in (known, 0):
+            return edges
+        known = n
+        edges = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+        if edges.sparkSession.sparkContext.getCheckpointDir():
+            edges = edges.checkpoint()
+    return edges
+
+
 def on_cycle(edges: DataFrame) -> DataFrame:
-    """(a, b) -> ids that reach themselves."""
-    return reachable(edges).where("a = b").select(F.col("a").alias("id")).distinct()
+    """(a, b) -> ids that reach themselves. What can't be on a cycle goes first, so paths are built over the cyclic core only."""
+    return reachable(trim(edges.distinct())).where("a = b").select(F.col("a").alias("id")).distinct()
 
 
 def dangerous(edges: DataFrame) -> DataFrame:
