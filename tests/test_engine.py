@@ -79,7 +79,22 @@ def test_binary_prefix(spark):
 def test_saturating_counter(spark):
     big = (1 << 63) - 1
     d = spark.createDataFrame([("a", 1, "counter_add", big), ("a", 2, "counter_add", 10), ("a", 3, "counter_add", -1), ("b", 1, "put", 5), ("b", 2, "counter_add", -7), ("c", 1, "counter_add", -big), ("c", 2, "counter_add", -big)], "key string, seq long, type string, delta long")
-    assert rows(fold.fold_counter(d), "key") == [("a", big - 1), ("b", -2), ("c", -(1 << 63))]
+    for block in (1, 2, 4096):
+        assert rows(fold.fold_counter(d, block), "key") == [("a", big - 1), ("b", -2), ("c", -(1 << 63))]
+
+
+def test_counter_blocks_change_nothing(spark):
+    rnd = random.Random(1)
+    big, steps = (1 << 63) - 1, []
+    for k in range(20):
+        for s in range(30):
+            steps.append((k, s, "put" if rnd.random() < 0.1 else "counter_add", rnd.choice([big, -big, big // 2, -(big // 3), 7])))
+    want = {}
+    for k, _, kind, d in sorted(steps):
+        want[k] = d if kind == "put" else max(-(1 << 63), min(big, want.get(k, 0) + d))
+    frame = spark.createDataFrame(steps, "key long, seq long, type string, delta long")
+    for block in (1, 4, 100):
+        assert dict(rows(fold.fold_counter(frame, block), "key")) == want
 
 
 def test_clock_and_ttl(spark):

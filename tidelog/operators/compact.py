@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .visible import visible
@@ -10,14 +10,18 @@ from .visible import visible
 
 def fate(versions: DataFrame, oldest: int, bottom: bool = False, by: tuple[str, ...] = ("key",)) -> DataFrame:
     """versions with `keep`. The newest version of a key stays; an older one goes if it is below the oldest pin and its newer sibling is at
-    or below it. On a bottommost rewrite a tombstone that is all that is left of its key at or below the pin goes too."""
-    w = Window.partitionBy(*by).orderBy(F.col("seq").desc())
-    newer = F.lag("seq").over(w)
-    x = versions.withColumn("keep", newer.isNull() | ~((F.col("seq") < oldest) & (newer <= oldest)))
+    or below it: so what stays is all above the pin and the newest at or below it. On a bottommost rewrite a tombstone goes too if it
+    is all that would be left of its key.
+
+    One map-side combined row a key, joined back: no key is gathered or sorted.
+    """
+    tops = versions.groupBy(*by).agg(F.max(F.when(F.col("seq") <= oldest, F.col("seq"))).alias("tl_top"), F.count_if(F.col("seq") > oldest).alias("tl_above"))
+    x = versions.join(tops, list(by))
+    top = F.coalesce(F.col("seq") == F.col("tl_top"), F.lit(False))
+    keep = (F.col("seq") > oldest) | top
     if bottom:
-        left = F.count_if(F.col("keep")).over(Window.partitionBy(*by))
-        x = x.withColumn("keep", F.col("keep") & ~((F.col("kind") == 0) & (left == 1) & (F.col("seq") <= oldest)))
-    return x
+        keep = keep & ~(top & (F.col("kind") == 0) & (F.col("tl_above") == 0))
+    return x.withColumn("keep", keep).select(*versions.columns, "keep")
 
 
 def gc(versions: DataFrame, oldest: int, bottom: bool = False) -> DataFrame:
@@ -31,10 +35,8 @@ def archive(versions: DataFrame, oldest: int) -> DataFrame:
 
 def per_pin(versions: DataFrame, pins: list[int]) -> DataFrame:
     """The stricter form: the newest version and, for each pin, the newest at or below it."""
-    best = [F.max(F.when(F.col("seq") <= p, F.col("seq"))).over(Window.partitionBy("key")) for p in pins]
-    newest = F.max("seq").over(Window.partitionBy("key"))
-    x = versions.withColumn("tl_keep", F.array_contains(F.array(newest, *best), F.col("seq")))
-    return x.where("tl_keep").drop("tl_keep")
+    best = versions.groupBy("key").agg(F.array(F.max("seq"), *[F.max(F.when(F.col("seq") <= p, F.col("seq"))) for p in pins]).alias("tl_keep"))
+    return versions.join(best, "key").where(F.array_contains("tl_keep", F.col("seq"))).select(*versions.columns)
 
 
 def apply_filter(versions: DataFrame, decision: Column) -> DataFrame:
@@ -42,12 +44,11 @@ def apply_filter(versions: DataFrame, decision: Column) -> DataFrame:
 
     A removed put becomes a delete, so that older versions stay hidden until GC drops them.
     """
-    newest = F.max("seq").over(Window.partitionBy("key"))
-    asked = (F.col("seq") == newest) & (F.col("kind") == 1)
-    x = versions.withColumn("tl_d", F.when(asked, decision))
+    asked = (F.col("seq") == F.col("tl_newest")) & (F.col("kind") == 1)
+    x = versions.join(versions.groupBy("key").agg(F.max("seq").alias("tl_newest")), "key").withColumn("tl_d", F.when(asked, decision))
     kind = F.when(F.col("tl_d.action") == "remove", 0).otherwise(F.col("kind")).cast(versions.schema["kind"].dataType)
     value = F.when(F.col("tl_d.action") == "remove", None).when(F.col("tl_d.action") == "change", F.col("tl_d.value")).otherwise(F.col("value"))
-    return x.withColumn("kind", kind).withColumn("value", value).drop("tl_d")
+    return x.withColumn("kind", kind).withColumn("value", value).select(*versions.columns)
 
 
 def tombstone_share(versions: DataFrame, by: list[str], due: float = 0.2) -> DataFrame:

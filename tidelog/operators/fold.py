@@ -11,8 +11,8 @@ I64_MAX, I64_MIN = (1 << 63) - 1, -(1 << 63)
 def base_and_operands(mutations: DataFrame, seq: int | None = None, merge_kind: int = 3) -> DataFrame:
     """Keep, of each key, the newest put or delete and the operands above it."""
     m = mutations if seq is None else mutations.where(F.col("seq") <= seq)
-    base = F.max(F.when(F.col("kind") != merge_kind, F.col("seq"))).over(Window.partitionBy("key"))
-    return m.withColumn("tl_base", base).where(F.col("tl_base").isNull() | (F.col("seq") >= F.col("tl_base"))).drop("tl_base")
+    base = m.groupBy("key").agg(F.max(F.when(F.col("kind") != merge_kind, F.col("seq"))).alias("tl_base"))
+    return m.join(base, "key").where(F.col("tl_base").isNull() | (F.col("seq") >= F.col("tl_base"))).select(*m.columns)
 
 
 def fold_append(mutations: DataFrame, seq: int | None = None, separator: str = ":") -> DataFrame:
@@ -31,16 +31,33 @@ def fold_append_with_tombstones(mutations: DataFrame, tombstones: DataFrame, seq
     return fold_append(x, seq, separator)
 
 
-def fold_counter(operands: DataFrame) -> DataFrame:
-    """(key, seq, type in put / counter_add, delta) -> saturating 64-bit sum in order of seq; a put overwrites."""
-    steps = F.array_sort(F.collect_list(F.struct("seq", "type", "delta")))
+def fold_counter(operands: DataFrame, block: int = 4096) -> DataFrame:
+    """(key, seq, type in put / counter_add, delta) -> saturating 64-bit sum in order of seq; a put overwrites.
+
+    Saturating addition is not associative, but the functions x -> min(high, max(low, x + add)) are closed under composition, and a put is
+    one with low = high. Operands are composed within blocks of sequences, then blocks in order, so a hot key is no single long list.
+    """
     wide = lambda c: c.cast("decimal(38,0)")
+    low, high = wide(F.lit(I64_MIN)), wide(F.lit(I64_MAX))
+
+    def clamp(x: Column, f: Column) -> Column:
+        return wide(F.least(F.greatest(wide(x), f["low"]), f["high"]))
+
+    def compose(f: Column, g: Column) -> Column:
+        """f first, then g; 38 digits hold the sum of 10^19 additions."""
+        return F.struct(wide(f["add"] + g["add"]).alias("add"), clamp(f["low"] + g["add"], g).alias("low"), clamp(f["high"] + g["add"], g).alias("high"))
 
-    def add(a: Column, x: Column) -> Column:
-        moved = F.when(x["type"] == "put", wide(x["delta"])).otherwise(a + wide(x["delta"]))
-        return F.greatest(F.least(moved, wide(F.lit(I64_MAX))), wide(F.lit(I64_MIN))).cast("decimal(38,0)")
+    none = F.struct(wide(F.lit(0)).alias("add"), low.alias("low"), high.alias("high"))
+    put = F.col("type") == "put"
+    step = F.struct(F.when(put, wide(F.lit(0))).otherwise(wide(F.col("delta"))).alias("add"), F.when(put, wide(F.col("delta"))).otherwise(low).alias("low"), F.when(put, wide(F.col("delta"))).otherwise(high).alias("high"))
 
-    return operands.groupBy("key").agg(F.aggregate(steps, F.lit(0).cast("decimal(38,0)"), add).cast("long").alias("total"))
+    def folded(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+        steps = F.array_sort(F.collect_list(F.struct(order, "f")))
+        return rows.groupBy(*by).agg(F.aggregate(steps, none, lambda a, s: compose(a, s["f"])).alias("f"))
+
+    x = operands.select("key", "seq", step.alias("f"), F.floor(F.col("seq") / block).alias("bin"))
+    x = folded(folded(x, ["key", "bin"], "seq"), ["key"], "bin")
+    return x.select("key", clamp(F.col("f.add"), F.col("f")).cast("long").alias("total"))
 
 
 def fold_bits(operands: DataFrame, value: str = "value") -> DataFrame:
@@ -63,9 +80,9 @@ def coalesce_operands(mutations: DataFrame, at: int, merge_kind: int = 3, separa
 
 def measure(rows: DataFrame, by: list[str]) -> DataFrame:
     """Additive measures of versions (value bytes, records, tombstones, obsolete bytes) and the obsolete share in permille."""
-    newest = F.max("seq").over(Window.partitionBy("key"))
     size = F.length("key") + F.coalesce(F.length("value"), F.lit(0))
-    x = rows.withColumn("tl_size", size.cast("long")).withColumn("tl_old", F.col("seq") < newest)
+    newest = rows.groupBy("key").agg(F.max("seq").alias("tl_newest"))
+    x = rows.join(newest, "key").withColumn("tl_size", size.cast("long")).withColumn("tl_old", F.col("seq") < F.col("tl_newest"))
     out = x.groupBy(*by).agg(F.sum("tl_size").alias("raw_bytes"), F.count(F.lit(1)).alias("records"), F.count_if(F.col("kind") == 0).alias("tombstones"), F.sum(F.when(F.col("tl_old"), F.col("tl_size")).otherwise(0)).alias("obsolete_bytes"))
     return out.withColumn("obsolete_permille", F.when(F.col("raw_bytes") > 0, F.floor(1000 * F.col("obsolete_bytes") / F.col("raw_bytes"))).otherwise(0).cast("long"))
 
@@ -99,7 +116,7 @@ def workload_class(z0: Column, z1: Column, q: Column, w: Column) -> Column:
     def top(x: Column, *rest: Column) -> Column:
         return x > F.greatest(*rest)
 
-    return F.when(top(z0, z1, q, w), "PointMiss").when(top(z1, z0, q, w), "PointHit").when(top(q, z0, z1, w), "ShortRange").when(top(w, z0, z1, q), "Write").otherwise("Mixed")
+    return F.when(top(z0, z1, q, w), "PointMiss").when(top(z1, z0, q, w), "PointHit").when(top(q, z0, z1, w), "ShortRange").when(top(w, z0, z1, q), "WriteBurst").otherwise("Mixed")
 
 
 def nth(samples: DataFrame, shares: list[float], by: list[str], rounded: bool) -> DataFrame:
@@ -108,3 +125,27 @@ def nth(samples: DataFrame, shares: list[float], by: list[str], rounded: bool) -
     x = samples.withColumn("tl_n", F.count(F.lit(1)).over(w)).withColumn("tl_i", F.row_number().over(w.orderBy("value")) - 1)
     at = lambda p: F.floor(F.lit(p) * (F.col("tl_n") - 1) + 0.5) if rounded else F.least(F.floor(F.col("tl_n") * p), F.col("tl_n") - 1)
     return x.groupBy(*by).agg(*[F.max(F.when(F.col("tl_i") == at(p), F.col("value"))).alias(f"p{p * 1000:g}".replace(".", "_")) for p in shares])
+
+
+#: Sequences that a pin may lag behind, and the hit ratio of a cache under load.
+PIN_LAG, PIN_LAG_ACT, CACHE_REQUESTS, CACHE_HITS = 5_000, 20_000, 500, 0.5
+
+
+def health(counters: DataFrame) -> DataFrame:
+    """counters(..., last_sequence, oldest_pin, corruption, failures, hits, misses) -> with status and issues.
+
+    An issue is degraded or asks for action; the status is the worst of them.
+    """
+    lag = F.greatest(F.col("last_sequence") - F.col("oldest_pin"), F.lit(0))
+    asked = F.col("hits") + F.col("misses")
+    rules = [
+        ("corruption", F.col("corruption") > 0, 2),
+        ("compaction_failing", F.col("failures") > 0, 2),
+        ("pin_leak", lag >= PIN_LAG_ACT, 2),
+        ("pin_lag", (lag >= PIN_LAG) & (lag < PIN_LAG_ACT), 1),
+        ("cache_thrash", (asked >= CACHE_REQUESTS) & (F.col("hits") < CACHE_HITS * asked), 1),
+    ]
+    found = F.filter(F.array(*[F.when(test, F.struct(F.lit(name).alias("name"), F.lit(level).alias("level"))) for name, test, level in rules]), lambda x: x.isNotNull())
+    x = counters.withColumn("tl_found", found)
+    level = F.coalesce(F.array_max(F.transform("tl_found", lambda i: i["level"])), F.lit(0))
+    return x.withColumn("status", F.when(level == 2, "action_required").when(level == 1, "degraded").otherwise("healthy")).withColumn("issues", F.array_join(F.transform("tl_found", lambda i: i["name"]), ",")).drop("tl_found")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .visible import lookup
@@ -173,6 +173,18 @@ def min_active(pins: DataFrame, epoch: int) -> DataFrame:
     return pins.where(F.lit(epoch) <= F.col("created_epoch") + F.col("lease")).agg(F.min("seq").alias("min_seq"), F.count(F.lit(1)).alias("active"))
 
 
+def classify_batches(ops: DataFrame) -> DataFrame:
+    """ops(batch, cf, pos, key, put) -> (batch, cf, sorted): only puts, in strictly ascending order, all above what earlier batches wrote to the family.
+
+    Such batches can be appended as sorted files; the order of results is the same either way.
+    """
+    w = Window.partitionBy("batch", "cf").orderBy("pos")
+    x = ops.withColumn("before", F.lag("key").over(w))
+    b = x.groupBy("batch", "cf").agg(F.bool_and("put").alias("puts"), F.bool_and(F.coalesce(F.col("key") > F.col("before"), F.lit(True))).alias("rising"), F.min("key").alias("least"), F.max("key").alias("most"))
+    high = F.max("most").over(Window.partitionBy("cf").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1))
+    return b.withColumn("high", high).select("batch", "cf", (F.col("puts") & F.col("rising") & F.coalesce(F.col("least") > F.col("high"), F.lit(True))).alias("sorted"))
+
+
 @dataclass
 class ReadToken:
     """A client's watermark: snapshots must not be zero, in the future, or below it; an accepted one raises it."""

@@ -417,7 +417,7 @@ def hybrid_clock(spark, sf):
 
 @query("""
 , c AS (SELECT key, count(*) FILTER (cf = 'error') AS z0, count(*) FILTER (cf = 'click') AS z1, count(*) FILTER (cf = 'view') AS q, count(*) FILTER (cf = 'purchase') AS w FROM log GROUP BY key)
-SELECT key, CASE WHEN z0 > greatest(z1, q, w) THEN 'PointMiss' WHEN z1 > greatest(z0, q, w) THEN 'PointHit' WHEN q > greatest(z0, z1, w) THEN 'ShortRange' WHEN w > greatest(z0, z1, q) THEN 'Write' ELSE 'Mixed' END AS class FROM c""")
+SELECT key, CASE WHEN z0 > greatest(z1, q, w) THEN 'PointMiss' WHEN z1 > greatest(z0, q, w) THEN 'PointHit' WHEN q > greatest(z0, z1, w) THEN 'ShortRange' WHEN w > greatest(z0, z1, q) THEN 'WriteBurst' ELSE 'Mixed' END AS class FROM c""")
 def workload_class(spark, sf):
     n = lambda c: F.count_if(F.col("cf") == c)
     x = L.log(spark, sf).groupBy("key").agg(n("error").alias("z0"), n("click").alias("z1"), n("view").alias("q"), n("purchase").alias("w"))
@@ -639,3 +639,99 @@ def secondary_index(spark, sf):
 def misses(spark, sf):
     """Keys that a second family does not have."""
     return L.table(spark, sf, "documents").select("doc_id").join(L.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+# Iterators, ingest, health and records
+
+
+@query("SELECT key, seq, value FROM vis WHERE starts_with(key, 'u/0000') AND key >= 'u/000020' AND key < 'u/000080' ORDER BY key DESC LIMIT 30")
+def iterator_options(spark, sf):
+    """Lower and upper bound, pinned snapshot and prefix, in reverse; the prefix holds in both directions."""
+    return reads.scan(state(spark, sf), reads.bounds("u/000020", "u/000080") & reads.prefix_bounds("u/0000"), reverse=True, limit=30)
+
+
+@query("SELECT cf, key, max(seq) AS seq, arg_max(value, seq) AS value FROM log, p WHERE kind = 1 AND seq <= s AND cf = 'purchase' GROUP BY cf, key")
+def family_scan(spark, sf):
+    """One family's live rows; the family is a column, so its bound is a partition filter."""
+    x = L.log(spark, sf).where("cf = 'purchase' and kind = 1")
+    return reads.newest(x, L.snapshot(spark, sf), ("cf", "key")).select("cf", "key", "seq", "value")
+
+
+@query("SELECT key, seq, kind, value, CASE WHEN seq % 3 = 0 THEN 0 WHEN seq % 3 = 1 THEN 1 ELSE 2 END AS run FROM log WHERE kind <> 2")
+def kway_merge(spark, sf):
+    """Sorted runs as one ordered stream: key ascending, newest first."""
+    v = L.versions(spark, sf)
+    runs = None
+    for r in range(3):
+        x = v.where(F.col("seq") % 3 == r).withColumn("run", F.lit(r))
+        runs = x if runs is None else runs.unionByName(x)
+    return runs.orderBy("key", F.col("seq").desc()).select("key", "seq", "kind", "value", "run")
+
+
+@query("SELECT key, seq, value FROM vis WHERE NOT (key >= 'u/000020' AND key < 'u/000050')")
+def delete_files_in_range(spark, sf):
+    """A range made invisible by one tombstone at the snapshot's end."""
+    s = L.snapshot(spark, sf)
+    extra = spark.createDataFrame([("u/000020", "u/000050", s + 1)], "start string, end string, seq long")
+    t = L.tombstones(spark, sf).where(F.col("seq") <= s).select("start", "end", F.col("seq").cast("long").alias("seq")).unionByName(extra)
+    return reads.visible(L.versions(spark, sf).where(F.col("seq") <= s), t)
+
+
+@query("""
+, o AS (SELECT seq // 8 AS batch, cf, seq AS pos, key, kind = 1 AS put FROM log), b AS (SELECT batch, cf, bool_and(put) AS puts, bool_and(coalesce(key > before, true)) AS rising, min(key) AS least, max(key) AS most FROM (SELECT *, lag(key) OVER (PARTITION BY batch, cf ORDER BY pos) AS before FROM o) GROUP BY batch, cf),
+h AS (SELECT *, max(most) OVER (PARTITION BY cf ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM b)
+SELECT batch, cf, puts AND rising AND coalesce(least > high, true) AS sorted FROM h""")
+def classify_batches(spark, sf):
+    """Batches that could be appended as sorted files."""
+    x = L.log(spark, sf)
+    return txn.classify_batches(x.select(F.floor(F.col("seq") / 8).alias("batch"), "cf", F.col("seq").alias("pos"), "key", (F.col("kind") == 1).alias("put")))
+
+
+@query("""
+, c AS (SELECT key, max(seq) * 3 AS last_sequence, min(seq) AS oldest_pin, count(*) FILTER (cf = 'error') // 20 AS corruption, CASE WHEN count(*) % 9 = 0 THEN 1 ELSE 0 END AS failures, count(*) FILTER (cf = 'view') * 40 AS hits, count(*) FILTER (cf = 'click') * 45 AS misses FROM log GROUP BY key),
+g AS (SELECT *, greatest(last_sequence - oldest_pin, 0) AS lag, hits + misses AS asked FROM c),
+i AS (SELECT key, list_filter([CASE WHEN corruption > 0 THEN 'corruption' END, CASE WHEN failures > 0 THEN 'compaction_failing' END, CASE WHEN lag >= 20000 THEN 'pin_leak' END, CASE WHEN lag >= 5000 AND lag < 20000 THEN 'pin_lag' END, CASE WHEN asked >= 500 AND hits < 0.5 * asked THEN 'cache_thrash' END], lambda x: x IS NOT NULL) AS l FROM g)
+SELECT key, CASE WHEN len(list_intersect(l, ['corruption', 'compaction_failing', 'pin_leak'])) > 0 THEN 'action_required' WHEN len(l) > 0 THEN 'degraded' ELSE 'healthy' END AS status, array_to_string(l, ',') AS issues FROM i""")
+def health_report(spark, sf):
+    """Status and issues of many instances from their counters."""
+    n = lambda c: F.count_if(F.col("cf") == c)
+    c = L.log(spark, sf).groupBy("key").agg((F.max("seq") * 3).alias("last_sequence"), F.min("seq").alias("oldest_pin"), F.floor(n("error") / 20).alias("corruption"), F.when(F.count(F.lit(1)) % 9 == 0, 1).otherwise(0).alias("failures"), (n("view") * 40).alias("hits"), (n("click") * 45).alias("misses"))
+    return fold.health(c).select("key", "status", "issues")
+
+
+@query("""
+, d AS (SELECT cf AS feed, row_number() OVER (PARTITION BY cf ORDER BY seq) AS seq, CASE WHEN kind = 1 THEN 'put' ELSE 'purge' END AS op, key, value FROM log),
+st AS (SELECT feed, key, arg_max(value, seq) AS value FROM d WHERE seq <= 50 GROUP BY feed, key HAVING arg_max(op, seq) = 'put'),
+x AS (SELECT feed, key, CAST(50 AS BIGINT) AS seq, 'put' AS op, value FROM st UNION ALL SELECT feed, key, seq, op, value FROM d WHERE seq > 50 AND feed <> 'view')
+SELECT feed, key, arg_max(value, seq) AS value FROM x GROUP BY feed, key HAVING arg_max(op, seq) = 'put'""")
+def federated_fold(spark, sf):
+    """State by feed at a cutoff and deltas after it: overlap skipped, the feed with a gap left as it was."""
+    x = L.log(spark, sf)
+    d = x.select(F.col("cf").alias("feed"), F.row_number().over(Window.partitionBy("cf").orderBy("seq")).cast("long").alias("seq"), F.when(F.col("kind") == 1, "put").otherwise("purge").alias("op"), "key", "value")
+    first = d.where("seq <= 50").groupBy("feed", "key").agg(F.max_by(F.struct("op", "value"), "seq").alias("b")).where("b.op = 'put'").select("feed", "key", "b.value")
+    return feed.federated(first, d.where("seq > 30 and not (feed = 'view' and seq = 60)"), 50)
+
+
+@query("SELECT key, max(seq) AS seq, arg_max(kind, seq) AS kind FROM log WHERE kind <> 2 GROUP BY key")
+def merge_latest(spark, sf):
+    """Cache of the latest change and a delta that overlaps it."""
+    v = L.versions(spark, sf)
+    s = L.snapshot(spark, sf)
+    cache = reads.newest(v, s).select("seq", "key", "kind", "value")
+    return feed.merge_latest(cache, v.where(F.col("seq") > s - 200)).select("key", "seq", "kind")
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS id, c_name AS key, c_mktsegment AS value, CAST(NULL AS BIGINT) AS ttl_seconds FROM customer", log=False)
+def record_upgrade(spark, sf):
+    """Records of the first form as records of the second."""
+    c = L.table(spark, sf, "customer").select(F.struct(F.col("c_custkey").cast("int").alias("id"), F.col("c_name").alias("key"), F.col("c_mktsegment").alias("value")).alias("r"))
+    return c.select(codec.upgrade(F.col("r")).alias("u")).select("u.*")
+
+
+@query("SELECT c_custkey AS id, c_mktsegment AS known, c_name AS unknown FROM customer", log=False)
+def tagged_fields(spark, sf):
+    """A field that the reader does not know survives a rewrite of one that it knows."""
+    c = L.table(spark, sf, "customer")
+    old = F.create_map(F.lit(1), F.lit("old"), F.lit(9), F.col("c_name"))
+    m = codec.merge_fields(F.create_map(F.lit(1), F.col("c_mktsegment")), old)
+    return c.select(F.col("c_custkey").alias("id"), m[1].alias("known"), m[9].alias("unknown"))

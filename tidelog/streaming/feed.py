@@ -51,6 +51,23 @@ def gaps(deltas: DataFrame, cutoff: int) -> DataFrame:
     return total.join(g, "feed", "left").select("feed", (F.col("total") - F.coalesce("fresh", F.lit(0))).alias("skipped"), "first_gap", "last_seq")
 
 
+def federated(state: DataFrame, deltas: DataFrame, cutoff: int) -> DataFrame:
+    """state(feed, key, value) at cutoff, deltas(feed, seq, op, key, value) -> the new state (feed, key, value).
+
+    Repeated and already contained deltas are skipped; a feed with a gap keeps its state as it was.
+    """
+    ok = gaps(deltas, cutoff).where("first_gap is null").select("feed")
+    d = deltas.where(F.col("seq") > cutoff).join(ok, "feed", "left_semi").select("feed", "key", "seq", "op", "value")
+    x = state.select("feed", "key", F.lit(cutoff).cast("long").alias("seq"), F.lit("put").alias("op"), "value").unionByName(d)
+    best = x.groupBy("feed", "key").agg(F.max_by(F.struct("op", "value"), "seq").alias("b"))
+    return best.where("b.op = 'put'").select("feed", "key", "b.value")
+
+
+def needs_rebuild(cached_to: int | None, log_from: int, last: int) -> bool:
+    """Whether the feed cache must be built again from the versions: it is missing, or ends before the log that is left begins."""
+    return cached_to is None or cached_to < min(log_from - 1, last)
+
+
 def prune_watermark(families: DataFrame, pins: DataFrame) -> DataFrame:
     """families(cf, last_flushed_seq, min_active_seq), pins(seq) -> the sequence below which segments can go; none without families."""
     f = families.agg(F.min(F.least(F.col("last_flushed_seq") + 1, F.coalesce("min_active_seq", F.lit((1 << 62))))).alias("f"))
