@@ -28,6 +28,16 @@ def test_odd_rows(spark, odd, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_sources_without_words(spark):
+    schema = "doc_id long, source string, text string"
+    d = spark.createDataFrame([(1, "a", "x y z"), (2, "b", None), (3, None, ""), (4, "a", " ")], schema)
+    con = duckdb.connect()
+    con.register("documents", d.toPandas())
+    same_as_sql(mixing.mix(d), con)
+    assert [r["taken"] for r in mixing.mix(spark.createDataFrame([(1, "a", ""), (2, None, None)], schema)).collect()] == [0, 0]
+    assert mixing.apply(d).count() == 1
+
+
 def targets(sizes, weights, epochs=3):
     """Shares by weight, caps, and the excess shared again until nothing is above."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))

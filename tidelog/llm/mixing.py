@@ -73,7 +73,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
 
     # Copies that can be served: the finish time of the last that the budget reaches is 1 or little more.
     copies = q.where("size > 0").select("doc_id", "size", "target", "total", "order", "source", "end", "source_size", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("pass"))
-    copies = copies.withColumn("finish", (F.col("pass") * F.col("source_size") + F.col("end")) / F.col("target"))
+    copies = copies.withColumn("finish", F.try_divide(F.col("pass") * F.col("source_size") + F.col("end"), F.col("target")))
     copies = copies.withColumn("range", F.floor(F.col("finish") * ranges))
     sums = copies.groupBy("range").agg(F.sum("size").alias("range_size"), F.first("total").alias("total"))
     upto = F.sum("range_size").over(Window.orderBy("range"))
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     limit = last.withColumn("now", served).where(F.col("now") > F.col("total")).agg(F.min("finish").alias("stop")).crossJoin(cut)
     limit = keep(limit, "limit")  # one row: copies finishing before `stop` are taken, or all if the budget takes all
     taken = q.crossJoin(F.broadcast(limit))
-    finish = [(F.lit(p) * F.col("source_size") + F.col("end")) / F.col("target") for p in range(epochs)]
+    finish = [F.try_divide(F.lit(p) * F.col("source_size") + F.col("end"), F.col("target")) for p in range(epochs)]
     count = sum((F.when(F.col("stop").isNull() | (f < F.col("stop")), 1).otherwise(0) for f in finish), F.lit(0))
     return taken.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * count).otherwise(0).cast("long").alias("taken"), *([] if row is None else ["row"]))
 
