@@ -35,7 +35,7 @@ from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces kept by each Python worker; beyond it the cache starts anew.
-CACHE = 300_000
+CACHE = 120_000
 #: Symbols in the trees encoded at once.
 SYMBOLS = 1 << 20
 

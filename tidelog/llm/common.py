@@ -26,10 +26,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_written: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what keep() wrote in this process; DataFrames that read it can't be used any more."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tidelog-{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
