@@ -263,3 +263,36 @@ def test_streaming_fold_is_exactly_once(spark, tmp_path):
     s.fold(spark.createDataFrame([(2, "put", "b", "again"), (4, "put", "c", "4")], u))
     assert {r["key"]: r["value"] for r in s.as_of().collect()} == {"b": "2", "c": "4"}
     assert s.manifest()["cursor"] == "4"
+
+
+def test_gaps_in_small_blocks(spark):
+    rnd = random.Random(4)
+    rows_, want = [], {}
+    for f in range(6):
+        seqs = [s for s in range(1, 60) if rnd.random() > (0.02 if f % 2 else 0.0)]
+        rows_ += [(f, s) for s in seqs + seqs[:5]]
+        fresh = [s for s in seqs if s > 10]
+        missing = [s for s in range(11, max(fresh)) if s not in fresh]
+        want[f] = (len(seqs) + 5 - len(fresh), missing[0] if missing else None, max(fresh))
+    d = spark.createDataFrame(rows_, "feed int, seq long")
+    for block in (3, 4096):
+        assert {r[0]: tuple(r[1:]) for r in feed.gaps(d, 10, block).collect()} == want
+
+
+def test_percentiles_are_rows(spark):
+    rnd = random.Random(5)
+    data = {k: [rnd.choice([1, 2, 2.5, 7]) if k == "ties" else rnd.random() for _ in range(n)] for k, n in (("a", 1), ("b", 2), ("c", 999), ("ties", 500))}
+    d = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs], "key string, value double")
+    got = {r["key"]: (r["p500"], r["p990"]) for r in fold.nth(d, [0.5, 0.99], ["key"], rounded=True).collect()}
+    assert got == {k: tuple(float(sorted(v)[int(p * (len(v) - 1) + 0.5)]) for p in (0.5, 0.99)) for k, v in data.items()}
+    got = {r["key"]: r["p500"] for r in fold.nth(d, [0.5], ["key"], rounded=False).collect()}
+    assert got == {k: float(sorted(v)[min(len(v) // 2, len(v) - 1)]) for k, v in data.items()}
+
+
+def test_families_under_their_own_tombstones(spark, monkeypatch):
+    v = spark.createDataFrame([(c, k, 1, 1, k) for c in ("x", "y") for k in "abcdef"], "cf string, key string, seq long, kind int, value string")
+    t = spark.createDataFrame([("x", "b", "d", 2), ("x", "c", "e", 3), ("y", "e", "z", 2)], "cf string, start string, end string, seq long")
+    want = [("x", "a"), ("x", "e"), ("x", "f"), ("y", "a"), ("y", "b"), ("y", "c"), ("y", "d")]
+    for few in (10_000, 0):
+        monkeypatch.setattr(reads, "FEW", few)
+        assert rows(reads.visible(v, t, by=("cf", "key")).select("cf", "key"), "cf", "key") == want

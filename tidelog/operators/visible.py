@@ -23,20 +23,40 @@ def newest(versions: DataFrame, seq: int | None = None, by: tuple[str, ...] = ("
     return best.select(*by, "v.seq", "v.kind", "v.value")
 
 
+def cut_points(keys: DataFrame, most: int = CUTS) -> list:
+    """At most `most` - 1 of the values of the first column that cut it in ranges of about the same size; from a bounded sample by hash."""
+    name = keys.columns[0]
+    sample = [r[0] for r in keys.where(F.col(name).isNotNull()).orderBy(F.xxhash64(name)).limit(SAMPLE).distinct().orderBy(name).collect()]
+    return [sample[len(sample) * i // most] for i in range(1, most)] if len(sample) >= most else sample
+
+
+def _range_of(key: Column, cuts: list, strictly: bool = False) -> Column:
+    """The number of cuts at or below the key (or strictly below it)."""
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: (c < key) if strictly else (c <= key)))
+
+
 def fragments(tombstones: DataFrame, cf: bool = False) -> DataFrame:
     """Disjoint pieces (start, end, seq) of the tombstones with the highest covering seq; filter by snapshot before.
 
-    Pieces begin and end at starts and ends. Each tombstone is joined with the pieces inside it.
+    Pieces begin and end at starts and ends. Tombstones are cut at sampled starts, so that each range of keys is a group of its own, in
+    which pieces are joined with the tombstones over them; as every cut is a start, no piece is cut that would not be anyway (with families, a
+    piece may be cut at another family's start, which changes no cover).
     """
-    by = ["cf"] if cf else []
+    by = ["tl_range", *(["cf"] if cf else [])]
     t = tombstones.where(F.col("start") < F.col("end"))
+    cuts = cut_points(t.select("start"), 512)
+    t = t.withColumn("tl_range", F.explode(F.sequence(_range_of(F.col("start"), cuts), _range_of(F.col("end"), cuts, strictly=True))))
+    edges_of = F.array(*[F.lit(c) for c in cuts]) if cuts else None
+    low = F.when(F.col("tl_range") > 0, F.get(edges_of, F.col("tl_range") - 1)) if cuts else F.lit(None)
+    high = F.when(F.col("tl_range") < len(cuts), F.get(edges_of, F.col("tl_range"))) if cuts else F.lit(None)
+    t = t.withColumn("start", F.greatest("start", F.coalesce(low, F.col("start")))).withColumn("end", F.least("end", F.coalesce(high, F.col("end"))))
     edges = t.select(*by, F.col("start").alias("e")).unionByName(t.select(*by, F.col("end").alias("e"))).distinct()
     pieces = edges.withColumn("next", F.lead("e").over(Window.partitionBy(*by).orderBy("e"))).where(F.col("next").isNotNull())
-    x, y = pieces.alias("x"), t.alias("y")
-    on = (F.col("y.start") <= F.col("x.e")) & (F.col("x.next") <= F.col("y.end"))
-    if cf:
-        on = on & (F.col("x.cf") == F.col("y.cf"))
-    return x.join(y, on).groupBy(*[F.col(f"x.{c}").alias(c) for c in by], F.col("x.e").alias("start"), F.col("x.next").alias("end")).agg(F.max("y.seq").alias("seq"))
+    over = t.select(*by, F.col("start").alias("t_start"), F.col("end").alias("t_end"), F.col("seq").alias("t_seq"))
+    found = pieces.join(over, by).where((F.col("t_start") <= F.col("e")) & (F.col("next") <= F.col("t_end")))
+    return found.groupBy(*by, "e", "next").agg(F.max("t_seq").alias("seq")).select(*by[1:], F.col("e").alias("start"), F.col("next").alias("end"), "seq")
 
 
 def as_of(probes: DataFrame, entries: DataFrame, key: str = "key", value: str = "value", forward: bool = False) -> DataFrame:
@@ -47,9 +67,7 @@ def as_of(probes: DataFrame, entries: DataFrame, key: str = "key", value: str =
     """
     both = probes.select(F.col(key).alias("k"), F.lit(None).cast(entries.schema[value].dataType).alias("v"), F.lit(1).alias("probe")).distinct()
     both = both.unionByName(entries.select(F.col(key).alias("k"), F.col(value).alias("v"), F.lit(0).alias("probe")))
-    sample = [r[0] for r in both.select("k").where("k is not null").orderBy(F.xxhash64("k")).limit(SAMPLE).distinct().orderBy("k").collect()]
-    cuts = [sample[len(sample) * i // CUTS] for i in range(1, CUTS)] if len(sample) >= CUTS else sample
-    both = both.withColumn("range", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("k"))) if cuts else F.lit(0))
+    both = both.withColumn("range", _range_of(F.col("k"), cut_points(both.select("k"))))
     down = not forward
     order = [F.col("k").asc() if down else F.col("k").desc(), "probe"]
     here = F.last("v", ignorenulls=True).over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
@@ -151,9 +169,7 @@ def count_ranges(ranges: DataFrame, state: DataFrame, cap: int | None = None, wi
 
 def running_count(keys: DataFrame) -> DataFrame:
     """Distinct keys -> key, n: keys at or below it, with running counts inside sampled ranges and one row a range between them."""
-    sample = [r[0] for r in keys.orderBy(F.xxhash64("key")).limit(SAMPLE).orderBy("key").collect()]
-    cuts = [sample[len(sample) * i // CUTS] for i in range(1, CUTS)] if len(sample) >= CUTS else sample
-    x = keys.withColumn("range", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("key"))) if cuts else F.lit(0))
+    x = keys.withColumn("range", _range_of(F.col("key"), cut_points(keys.select("key"))))
     sums = x.groupBy("range").agg(F.count(F.lit(1)).alias("c"))
     before = sums.select("range", (F.sum("c").over(Window.orderBy("range")) - F.col("c")).alias("b"))
     here = F.row_number().over(Window.partitionBy("range").orderBy("key"))
@@ -181,10 +197,14 @@ def sparse_row(fragments_: DataFrame, columns: list[int], seq: int) -> DataFrame
 
 
 def scan_faults(rows: DataFrame, seq: int, expected: DataFrame | None = None) -> DataFrame:
-    """Delivered scan rows (pos, key, seq, commit_id) -> one row of counts: order, duplicates, future rows, partial commits."""
-    w = Window.orderBy("pos")
-    x = rows.withColumn("before", F.lag("key").over(w))
-    one = x.agg(F.count_if(F.col("key") < F.col("before")).alias("disorder"), F.count_if(F.col("key") == F.col("before")).alias("repeats"), F.count_if(F.col("seq") > seq).alias("future"))
+    """Delivered scan rows (part, pos, key, seq, commit_id) -> one row of counts: order, repeats, future rows, partial commits.
+
+    Parts are in order and so are the rows of a part: neighbours are compared inside parts, and the ends of parts with each other.
+    """
+    x = rows.withColumn("before", F.lag("key").over(Window.partitionBy("part").orderBy("pos")))
+    inner = x.groupBy("part").agg(F.count_if(F.col("key") < F.col("before")).alias("disorder"), F.count_if(F.col("key") == F.col("before")).alias("repeats"), F.count_if(F.col("seq") > seq).alias("future"), F.min_by("key", "pos").alias("first"), F.max_by("key", "pos").alias("last"))
+    ends = inner.withColumn("before", F.lag("last").over(Window.orderBy("part")))  # one row a part
+    one = ends.agg(*[(F.sum(c) + F.count_if(t)).alias(c) for c, t in (("disorder", F.col("first") < F.col("before")), ("repeats", F.col("first") == F.col("before")))], F.sum("future").alias("future"))
     if expected is None:
         return one
     partial = rows.groupBy("commit_id").agg(F.count(F.lit(1)).alias("n")).join(expected, "commit_id").where(F.col("n") != F.col("rows")).agg(F.count(F.lit(1)).alias("partial"))

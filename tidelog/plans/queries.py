@@ -178,7 +178,8 @@ SELECT count(*) FILTER (key < before) AS disorder, count(*) FILTER (key = before
 def scan_validation(spark, sf):
     """Faults of a delivered scan: order, repeats, rows of the future."""
     s = L.snapshot(spark, sf)
-    rows = L.log(spark, sf).where(F.col("seq") <= s + 50).select(F.row_number().over(Window.orderBy("key", F.col("seq").desc())).alias("pos"), "key", "seq", F.floor(F.col("seq") / 100).alias("commit_id"))
+    x = L.log(spark, sf).where(F.col("seq") <= s + 50).repartitionByRange("key").withColumn("part", F.spark_partition_id())
+    rows = x.select("part", F.row_number().over(Window.partitionBy("part").orderBy("key", F.col("seq").desc())).alias("pos"), "key", "seq", F.floor(F.col("seq") / 100).alias("commit_id"))
     return reads.scan_faults(rows, s)
 
 

@@ -39,14 +39,18 @@ def fold(state: DataFrame, updates: DataFrame) -> DataFrame:
     return best.where("b.op = 'put'").select("key", "b.value", "b.seq")
 
 
-def gaps(deltas: DataFrame, cutoff: int) -> DataFrame:
+def gaps(deltas: DataFrame, cutoff: int, block: int = 4096) -> DataFrame:
     """deltas(feed, seq) after a snapshot at cutoff -> by feed: rows skipped as already in the snapshot or repeated, first gap, last contiguous seq.
 
-    first_gap is the sequence that is missing; a feed with one is refused as a whole.
+    first_gap is the sequence that is missing; a feed with one is refused as a whole. Neighbours are compared inside blocks of sequences, and the
+    ends of blocks with each other, so a hot feed is not sorted in one task.
     """
-    fresh = deltas.where(F.col("seq") > cutoff).select("feed", "seq").distinct()
-    before = F.coalesce(F.lag("seq").over(Window.partitionBy("feed").orderBy("seq")), F.lit(cutoff))
-    g = fresh.withColumn("before", before).groupBy("feed").agg(F.min(F.when(F.col("seq") > F.col("before") + 1, F.col("before") + 1)).alias("first_gap"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("fresh"))
+    fresh = deltas.where(F.col("seq") > cutoff).select("feed", "seq").distinct().withColumn("bin", F.floor(F.col("seq") / block))
+    before = F.lag("seq").over(Window.partitionBy("feed", "bin").orderBy("seq"))
+    missing = lambda at, last: F.min(F.when(F.col(at) > F.col(last) + 1, F.col(last) + 1))
+    bins = fresh.withColumn("before", before).groupBy("feed", "bin").agg(missing("seq", "before").alias("inside"), F.min("seq").alias("low"), F.max("seq").alias("high"), F.count(F.lit(1)).alias("n"))
+    bins = bins.withColumn("before", F.coalesce(F.lag("high").over(Window.partitionBy("feed").orderBy("bin")), F.lit(cutoff)))
+    g = bins.groupBy("feed").agg(F.least(F.min("inside"), missing("low", "before")).alias("first_gap"), F.max("high").alias("last_seq"), F.sum("n").alias("fresh"))
     total = deltas.groupBy("feed").agg(F.count(F.lit(1)).alias("total"))
     return total.join(g, "feed", "left").select("feed", (F.col("total") - F.coalesce("fresh", F.lit(0))).alias("skipped"), "first_gap", "last_seq")
 
