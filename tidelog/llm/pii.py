@@ -152,14 +152,11 @@ def _check_digit(body: Column) -> Column:
 
 
 def _detail(m: Column) -> Column:
-    """A match with its kind, the part that is replaced, and that part's canonical form."""
-    return _let(
-        F.struct(m.alias("m"), _kind(m).alias("kind")),
-        lambda x: _let(
-            F.struct(x["m"].alias("m"), x["kind"].alias("kind"), _core(x["kind"], x["m"]).alias("core")),
-            lambda y: F.struct(y["m"].alias("m"), y["kind"].alias("kind"), y["core"].alias("core"), _canonical(y["kind"], y["core"]).alias("canonical")),
-        ),
-    )
+    """A match with its kind, the part that is replaced, and that part's canonical form; m may be any expression and is computed once."""
+    kind = lambda m: F.struct(m.alias("m"), _kind(m).alias("kind"))
+    core = lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), _core(x["kind"], x["m"]).alias("core"))
+    whole = lambda y: F.struct(y["m"].alias("m"), y["kind"].alias("kind"), y["core"].alias("core"), _canonical(y["kind"], y["core"]).alias("canonical"))
+    return _let(_let(_let(m, kind), core), whole)
 
 
 def _card(key: str, card: Column) -> Column:
@@ -234,7 +231,9 @@ def matches(text: Column) -> Column:
 def rekey(docs: DataFrame, key: str = KEY, attempts: int = 20) -> str:
     """The first key made from `key` under which the surrogates of all entities of the documents are distinct and new."""
     found = docs.select(F.explode(matches(F.col("text"))).alias("m")).distinct().select(_detail(F.col("m")).alias("d"))
-    found = keep(found.groupBy("d.kind", "d.canonical").agg(F.min("d").alias("d")), "entities")
+    # few bytes but much work for each entity: as many tasks as shuffle partitions, whatever the size
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = keep(found.groupBy("d.kind", "d.canonical").agg(F.min("d").alias("d")).repartition(parts), "entities")
     for attempt in range(attempts):
         now = f"{key}:{attempt}"
         new = found.withColumn("new", _detail(_surrogate(now, F.col("d")))["canonical"])
