@@ -34,7 +34,7 @@ def test_newer_delete_hides_older_put(spark):
     assert [r[2] for r in rows(got, "pos")] == ["deleted", "not_found", "found", "deleted"]
 
 
-@pytest.mark.parametrize("few", [10_000, 0])
+@pytest.mark.parametrize("few", [2_000, 0])
 def test_model(spark, few, monkeypatch):
     """Random puts, deletes and range deletes against a dictionary, by the broadcast and by the as-of way."""
     monkeypatch.setattr(reads, "FEW", few)
@@ -293,6 +293,6 @@ def test_families_under_their_own_tombstones(spark, monkeypatch):
     v = spark.createDataFrame([(c, k, 1, 1, k) for c in ("x", "y") for k in "abcdef"], "cf string, key string, seq long, kind int, value string")
     t = spark.createDataFrame([("x", "b", "d", 2), ("x", "c", "e", 3), ("y", "e", "z", 2)], "cf string, start string, end string, seq long")
     want = [("x", "a"), ("x", "e"), ("x", "f"), ("y", "a"), ("y", "b"), ("y", "c"), ("y", "d")]
-    for few in (10_000, 0):
+    for few in (2_000, 0):
         monkeypatch.setattr(reads, "FEW", few)
         assert rows(reads.visible(v, t, by=("cf", "key")).select("cf", "key"), "cf", "key") == want

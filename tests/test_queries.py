@@ -35,11 +35,11 @@ def test_entry(spark):
 
 
 def test_pushdown(spark, sf):
-    """A key-only scan does not read values; a bound on the sequence reaches the scan."""
-    from tidelog.operators.visible import newest, scan
+    """A key-only read takes no values from Parquet and is a hash aggregate; bounds on the sequence reach the scan."""
+    from tidelog.operators.visible import newest
     from tidelog.plans import log
 
-    plan = scan(newest(log.versions(spark, sf), 500).where("kind = 1"), keys_only=True)._jdf.queryExecution().executedPlan().toString()
-    assert "event_id" in plan and "PushedFilters" in plan
-    schema = plan[plan.index("ReadSchema") :]
-    assert "ts" not in schema.split(">")[0]
+    plan = newest(log.versions(spark, sf), 500, values=False)._jdf.queryExecution().executedPlan().toString()
+    schema = plan[plan.index("ReadSchema") :].split(">")[0]
+    assert "user_id" in schema and "props" not in schema and "ts" not in schema
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "PushedFilters: [" in plan

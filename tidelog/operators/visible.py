@@ -10,15 +10,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Tombstones up to this number are broadcast after they have been counted; beyond it the as-of join is used.
-FEW = 10_000
+FEW = 2_000
 #: Ranges of an as-of join, and keys sampled to place them.
 CUTS = 64
 SAMPLE = 4096
 
 
-def newest(versions: DataFrame, seq: int | None = None, by: tuple[str, ...] = ("key",)) -> DataFrame:
-    """The newest version of each key at or below seq: one map-side combined aggregation."""
+def newest(versions: DataFrame, seq: int | None = None, by: tuple[str, ...] = ("key",), values: bool = True) -> DataFrame:
+    """The newest version of each key at or below seq: one map-side combined aggregation.
+
+    Without values, sequence (56 bits) and kind are one number whose maximum is a hash aggregate, and the values are not even read. With
+    values it is max_by, which Spark runs as a sort aggregate: rows are still combined before the shuffle.
+    """
     v = versions if seq is None else versions.where(F.col("seq") <= seq)
+    if not values:
+        best = v.groupBy(*by).agg(F.max(F.shiftleft(F.col("seq").cast("long"), 8).bitwiseOR(F.col("kind").cast("long"))).alias("p"))
+        return best.select(*by, F.shiftright("p", 8).alias("seq"), F.col("p").bitwiseAND(F.lit(255)).cast("int").alias("kind"))
     best = v.groupBy(*by).agg(F.max_by(F.struct("seq", "kind", "value"), F.struct("seq", "kind")).alias("v"))
     return best.select(*by, "v.seq", "v.kind", "v.value")
 
@@ -101,9 +108,9 @@ def uncovered(points: DataFrame, tombstones: DataFrame, cf: bool = False) -> Dat
     return x.where(~F.coalesce(hidden, F.lit(False))).drop("tl_key", "tl_cover")
 
 
-def visible(versions: DataFrame, tombstones: DataFrame, seq: int | None = None, by: tuple[str, ...] = ("key",)) -> DataFrame:
+def visible(versions: DataFrame, tombstones: DataFrame, seq: int | None = None, by: tuple[str, ...] = ("key",), values: bool = True) -> DataFrame:
     """Live keys at a snapshot: (by..., seq, value). The tombstone test follows the reduction, so it sees one row a key."""
-    live = newest(versions, seq, by).where("kind = 1").drop("kind")
+    live = newest(versions, seq, by, values).where("kind = 1").drop("kind")
     t = tombstones if seq is None else tombstones.where(F.col("seq") <= seq)
     return uncovered(live, t, cf="cf" in by)
 

@@ -27,8 +27,8 @@ def query(sql: str | None = None, log: bool = True):
     return add
 
 
-def state(spark: SparkSession, sf: str, tenths: int = 6) -> DataFrame:
-    return reads.visible(L.versions(spark, sf), L.tombstones(spark, sf), L.snapshot(spark, sf, tenths))
+def state(spark: SparkSession, sf: str, values: bool = True) -> DataFrame:
+    return reads.visible(L.versions(spark, sf), L.tombstones(spark, sf), L.snapshot(spark, sf), values=values)
 
 
 # Point reads
@@ -78,7 +78,7 @@ def multi_get_families(spark, sf):
 SELECT key, key IN (SELECT key FROM vis) AS present FROM k""")
 def exists_keys(spark, sf):
     keys = L.table(spark, sf, "events").select(F.concat(F.lit("u/"), F.lpad((F.col("user_id") * 7 % 400).cast("string"), 6, "0")).alias("key")).distinct()
-    s = state(spark, sf).select("key")
+    s = state(spark, sf, values=False).select("key")
     return keys.join(s, "key", "left_semi").withColumn("present", F.lit(True)).unionByName(keys.join(s, "key", "left_anti").withColumn("present", F.lit(False)))
 
 
@@ -122,7 +122,7 @@ def prefix_scan(spark, sf):
 @query("SELECT key FROM vis")
 def key_only_scan(spark, sf):
     """Keys without values: the value columns are not read from Parquet."""
-    return reads.scan(state(spark, sf), keys_only=True)
+    return reads.scan(state(spark, sf, values=False), keys_only=True)
 
 
 @query("SELECT key, seq, value FROM vis WHERE key <= 'u/000090' ORDER BY key DESC LIMIT 20")
@@ -135,7 +135,7 @@ def reverse_scan(spark, sf):
 SELECT k.key, (SELECT min(v.key) FROM vis v WHERE v.key >= k.key) AS at_or_after, (SELECT max(v.key) FROM vis v WHERE v.key <= k.key) AS at_or_before FROM k""")
 def seek_batch(spark, sf):
     """Seek and seek-for-prev of many keys at once, as as-of joins."""
-    s = state(spark, sf).select("key", F.col("key").alias("value"))
+    s = state(spark, sf, values=False).select("key", F.col("key").alias("value"))
     keys = L.table(spark, sf, "events").select(F.concat(F.lit("u/"), F.lpad((F.col("user_id") * 3).cast("string"), 6, "0")).alias("key")).distinct()
     after = reads.as_of(keys, s, forward=True).withColumnRenamed("value", "at_or_after")
     return after.join(reads.as_of(keys, s).withColumnRenamed("value", "at_or_before"), "key")
@@ -144,7 +144,7 @@ def seek_batch(spark, sf):
 @query("SELECT key, lag(key) OVER (PARTITION BY substr(key, 1, 7) ORDER BY key) AS prev_key, lead(key) OVER (PARTITION BY substr(key, 1, 7) ORDER BY key) AS next_key FROM vis")
 def neighbours(spark, sf):
     """Previous and next live key under the same prefix."""
-    return reads.neighbours(state(spark, sf), [F.substring("key", 1, 7)])
+    return reads.neighbours(state(spark, sf, values=False), [F.substring("key", 1, 7)])
 
 
 @query("""
@@ -153,12 +153,12 @@ SELECT id, least(count(v.key), 16) AS n FROM r LEFT JOIN vis v ON v.key >= r.lo
 def count_ranges(spark, sf):
     """Live keys in many half-open windows, each count capped."""
     r = L.table(spark, sf, "events").select(F.col("event_id").alias("id"), L.user_key("user_id").alias("lo"), L.user_key("user_id", 25).alias("hi"))
-    return reads.count_ranges(r, state(spark, sf), cap=16)
+    return reads.count_ranges(r, state(spark, sf, values=False), cap=16)
 
 
 @query("SELECT substr(key, 1, 7) AS prefix, min(key) AS first_key, count(*) AS n FROM vis GROUP BY 1")
 def prefix_extract(spark, sf):
-    return state(spark, sf).groupBy(F.substring("key", 1, 7).alias("prefix")).agg(F.min("key").alias("first_key"), F.count(F.lit(1)).alias("n"))
+    return state(spark, sf, values=False).groupBy(F.substring("key", 1, 7).alias("prefix")).agg(F.min("key").alias("first_key"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""
