@@ -212,25 +212,23 @@ def counts(members: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> Da
                 sides = [(np.arange(len(g)),) * 2] if same else [(np.flatnonzero(mine == g["bi"].iloc[0]), np.flatnonzero(mine == g["bj"].iloc[0]))]
                 leader, radius = balls(u)
                 for a, b in sides:
-                    la, lb = np.unique(leader[a]), np.unique(leader[b])
-                    weight_a = {k: int(n[a[leader[a] == k]].sum()) for k in la}
-                    weight_b = {k: int(n[b[leader[b] == k]].sum()) for k in lb}
-                    for p in la:
-                        rows = a[leader[a] == p]
+                    lb, at = np.unique(leader[b], return_inverse=True)
+                    weight = np.bincount(at, n[b], minlength=len(lb)).astype(np.int64)
+                    order = a[np.argsort(leader[a], kind="stable")]
+                    la, first = np.unique(leader[order], return_index=True)
+                    for p, rows in zip(la.tolist(), np.split(order, first[1:]), strict=True):
                         between = np.arccos(np.clip(u[lb] @ u[p], -1, 1))
                         between[lb == p] = 0.0
                         reach = radius[p] + radius[lb]
                         every, none = between + reach <= angle - slack, between - reach > angle + slack
-                        total[rows] += sum(weight_b[k] for k in lb[every])
-                        for q in lb[every] if not same else ():
-                            total[b[leader[b] == q]] += weight_a[p]
-                        for q in lb[~every & ~none]:
-                            others = b[leader[b] == q]
-                            hit = u[rows] @ u[others].T >= cosine
-                            hit |= rows[:, None] == others  # a vector links with its own copies
-                            total[rows] += hit @ n[others]
-                            if not same:
-                                total[others] += hit.T @ n[rows]
+                        total[rows] += weight[every].sum()
+                        others = b[(~every & ~none)[at]]
+                        hit = u[rows] @ u[others].T >= cosine
+                        hit |= rows[:, None] == others  # a vector links with its own copies
+                        total[rows] += hit @ n[others]
+                        if not same:
+                            total[b[every[at]]] += n[rows].sum()
+                            total[others] += hit.T @ n[rows]
                 out.append(pd.DataFrame({"rep": g["rep"].to_numpy(), "links": total}))
             yield pd.concat(out)
 
