@@ -31,9 +31,13 @@ def newest(versions: DataFrame, seq: int | None = None, by: tuple[str, ...] = ("
 
 
 def cut_points(keys: DataFrame, most: int = CUTS) -> list:
-    """At most `most` - 1 of the values of the first column that cut it in ranges of about the same size; from a bounded sample by hash."""
+    """At most `most` - 1 of the values of the first column that cut it in ranges of about the same size.
+
+    The sample has one key, that of least hash, for each of SAMPLE classes of hashes: combined in every task, so that SAMPLE rows meet at most.
+    """
     name = keys.columns[0]
-    sample = [r[0] for r in keys.where(F.col(name).isNotNull()).orderBy(F.xxhash64(name)).limit(SAMPLE).distinct().orderBy(name).collect()]
+    h = keys.where(F.col(name).isNotNull()).select(F.col(name).alias("k"), F.xxhash64(name).alias("h"))
+    sample = sorted(r[0] for r in h.groupBy(F.pmod("h", F.lit(SAMPLE)).alias("c")).agg(F.min_by("k", "h")).select("min_by(k, h)").collect())
     return [sample[len(sample) * i // most] for i in range(1, most)] if len(sample) >= most else sample
 
 
