@@ -145,8 +145,9 @@ def _loss(z: np.ndarray, y: np.ndarray, temperature: float, shift: float, unknow
 
 
 def corpus_words(docs: DataFrame, n: int = NEGATIVES) -> list[str]:
-    """Distinct words of a bounded sample: the first paragraphs, cut at 200 characters, of the n documents of smallest hash."""
-    some = docs.where("text is not null").select(F.xxhash64("text").alias("h"), F.substring("text", 1, 200).alias("t")).orderBy("h", "t").limit(n).toPandas()
+    """Words of a bounded sample, for training only: 200 characters of one document, that of least hash, for each of n classes of hashes."""
+    some = docs.where("text is not null").select(F.xxhash64("text").alias("h"), F.substring("text", 1, 200).alias("t"))
+    some = some.groupBy(F.pmod("h", F.lit(n)).alias("c")).agg(F.min_by("t", "h").alias("t")).toPandas().sort_values("c")
     return [w for t in some["t"] for w in _words(t)]
 
 
