@@ -14,6 +14,11 @@ def user_key(column: str, plus: int = 0):
     return F.concat(F.lit("u/"), F.lpad((F.col(column) + plus).cast("string"), 6, "0"))
 
 
+def micros(column: str):
+    """Microseconds since 1970 of a time without zone, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})")
+
+
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, key, kind (0 delete, 1 put, 2 range delete), value, end_key, cf, us. Only the columns that a query uses are read."""
     e = table(spark, sf_dir, "events")
@@ -25,7 +30,7 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == 1, F.concat_ws(":", "event_type", F.coalesce("props", F.lit("")))).alias("value"),
         user_key("user_id", 3).alias("end_key"),
         F.col("event_type").alias("cf"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        micros("ts").alias("us"),
     )
 
 

@@ -604,7 +604,7 @@ def two_hops(spark, sf):
 def window_state(spark, sf):
     """State of a window: rows under a window's prefix."""
     e = L.table(spark, sf, "events")
-    return e.groupBy(F.unix_micros(F.date_trunc("hour", F.col("ts").cast("timestamp"))).alias("win"), "user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+    return e.groupBy((F.floor(L.micros("ts") / 3_600_000_000) * 3_600_000_000).alias("win"), "user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
 
 
 @query("SELECT seq, key, count(*) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN 25 PRECEDING AND CURRENT ROW) AS trailing FROM log")
