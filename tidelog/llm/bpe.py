@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
-#: Pieces kept by each Python worker; beyond it the cache starts anew.
-CACHE = 120_000
+#: Pieces and words kept by each Python worker; beyond it the cache starts anew.
+CACHE = 300_000
 #: Symbols in the trees encoded at once.
 SYMBOLS = 1 << 20
 
@@ -82,7 +82,6 @@ class WordBpe:
         self.bytes_of = {i: t.encode() for i, t in self.text.items()}
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, tuple[bytes, bytes]] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -168,15 +167,13 @@ class WordBpe:
     def learn(self, new: set[str]) -> None:
         """Encode pieces (runs without white space) that the cache lacks."""
         split = [(p, self.split(p)) for p in new]
-        lacking = list({w for _, ws in split for w in ws if w not in self.words})
+        # a word of a piece is a piece of its own with the same ids, so words are kept in the same place
+        lacking = list({w for _, ws in split for w in ws if w not in self.ids})
         for w, ids in zip(lacking, self.encode_words([w.encode("utf-8", "surrogatepass") for w in lacking]), strict=True):
-            self.words[w] = (ids, self.decode(np.frombuffer(ids, dtype="<u4")))
+            self.ids[w], self.strings[w] = ids, self.decode(np.frombuffer(ids, dtype="<u4"))
         for p, ws in split:
-            if len(ws) == 1:
-                self.ids[p], self.strings[p] = self.words[ws[0]]
-            else:
-                found = [self.words[w] for w in ws]
-                self.ids[p], self.strings[p] = b"".join([x[0] for x in found]), b" ".join([x[1] for x in found])
+            if ws != [p]:
+                self.ids[p], self.strings[p] = b"".join([self.ids[w] for w in ws]), b" ".join([self.strings[w] for w in ws])
                 if not ws:
                     self.blank.add(p)
 
@@ -200,8 +197,7 @@ class WordBpe:
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Of each text: ids as little-endian unsigned 32-bit integers, and what they decode to in UTF-8."""
-        if len(self.ids) > CACHE or len(self.words) > CACHE:
-            self.words.clear()
+        if len(self.ids) > CACHE:
             self._clear()
         runs = [self.runs(t) for t in texts]
         self.learn(set().union(*runs).difference(self.ids))
