@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .visible import lookup
+from .visible import covering, lookup
 
 
 class SnapshotTooOld(RuntimeError):
@@ -81,8 +81,8 @@ def validate(txns: DataFrame, versions: DataFrame, tombstones: DataFrame, waterm
     touched = txns.select("tx_id", "snapshot_seq", F.explode(F.array_union("reads", "writes")).alias("key"))
     top = versions.groupBy("key").agg(F.max("seq").alias("top"))
     by_key = touched.join(top, "key").where("top > snapshot_seq").select("tx_id")
-    t = tombstones.select(F.col("start").alias("t_start"), F.col("end").alias("t_end"), F.col("seq").alias("t_seq"))
-    by_range = touched.join(t, (F.col("t_start") <= F.col("key")) & (F.col("key") < F.col("t_end")) & (F.col("t_seq") > F.col("snapshot_seq")), "left_semi").select("tx_id")
+    # under a tombstone above the snapshot: so is the key's newest tombstone
+    by_range = touched.join(covering(touched, tombstones), "key").where("cover > snapshot_seq").select("tx_id")
     hit = by_key.unionByName(by_range).distinct().withColumn("hit", F.lit(True))
     fate = F.when(F.col("snapshot_seq") < watermark, "too_old").when(F.col("hit"), "conflict").otherwise("commit")
     return txns.join(hit, "tx_id", "left").select("tx_id", fate.alias("fate"))

@@ -95,8 +95,9 @@ def uncovered(points: DataFrame, tombstones: DataFrame, cf: bool = False) -> Dat
     """points (key, seq, ...) without those under a tombstone of a higher seq. Tombstones must be filtered by the snapshot.
 
     A counted, small number of tombstones is broadcast. More are cut in disjoint pieces, and each key finds its piece by an
-    as-of join; a family has its own keys in that case (cf, then a NUL, then the key).
+    as-of join; a family has its own keys in that case (cf, then a NUL, then the key). Of tombstones over the same range only the newest counts.
     """
+    tombstones = tombstones.groupBy(*(["cf"] if cf else []), "start", "end").agg(F.max("seq").alias("seq"))
     if tombstones.limit(FEW + 1).count() <= FEW:
         t = tombstones.select(*[F.col(c).alias(f"t_{c}") for c in tombstones.columns])
         on = (F.col("t_start") <= F.col("key")) & (F.col("key") < F.col("t_end")) & (F.col("t_seq") > F.col("seq"))
@@ -112,6 +113,13 @@ def uncovered(points: DataFrame, tombstones: DataFrame, cf: bool = False) -> Dat
     return x.where(~F.coalesce(hidden, F.lit(False))).drop("tl_key", "tl_cover")
 
 
+def covering(keys: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """keys(key) -> distinct keys under a tombstone, and the highest sequence of those over each."""
+    pieces = fragments(tombstones.groupBy("start", "end").agg(F.max("seq").alias("seq")))
+    found = as_of(keys.select("key"), pieces.select(F.col("start").alias("key"), F.struct("end", "seq").alias("value")))
+    return found.where(F.col("key") < F.col("value.end")).select("key", F.col("value.seq").alias("cover"))
+
+
 def visible(versions: DataFrame, tombstones: DataFrame, seq: int | None = None, by: tuple[str, ...] = ("key",), values: bool = True) -> DataFrame:
     """Live keys at a snapshot: (by..., seq, value). The tombstone test follows the reduction, so it sees one row a key."""
     live = newest(versions, seq, by, values).where("kind = 1").drop("kind")
