@@ -250,7 +250,7 @@ e AS (SELECT DISTINCT rd.tx_id AS reader, wr.tx_id AS writer FROM rd JOIN wr USI
 
 
 def _edges(spark, sf):
-    """Conflicts among transactions that were active together: the writer commits within 120 sequences of the snapshot."""
+    """Conflicts in a window only: the writer commits within 120 sequences of the snapshot. `conflict_edges_all` has every conflict."""
     t = txns(spark, sf)
     r = t.select(F.col("tx_id").alias("reader"), "snapshot_seq", F.explode("reads").alias("key"))
     w = t.select(F.col("tx_id").alias("writer"), "commit_seq", F.explode("writes").alias("key"))
@@ -262,6 +262,17 @@ def conflict_edges(spark, sf):
     return _edges(spark, sf)
 
 
+_ALL_EDGES_SQL = _TXNS_SQL + """,
+rd AS (SELECT tx_id, snapshot_seq, unnest(reads) AS key FROM tx), wr AS (SELECT tx_id, commit_seq, unnest(writes) AS key FROM tx),
+e AS (SELECT DISTINCT rd.tx_id AS reader, wr.tx_id AS writer FROM rd JOIN wr USING (key) WHERE rd.tx_id <> wr.tx_id AND commit_seq > snapshot_seq)"""
+
+
+@query(_ALL_EDGES_SQL + " SELECT reader, writer FROM e")
+def conflict_edges_all(spark, sf):
+    """Every conflict: a key read by one transaction and written by another after the reader's snapshot, however much later."""
+    return txn.conflict_edges(txns(spark, sf))
+
+
 @query(_EDGES_SQL + " SELECT a.reader AS t_in, a.writer AS pivot, b.writer AS t_out FROM e a JOIN e b ON b.reader = a.writer")
 def dangerous_structures(spark, sf):
     return txn.dangerous(_edges(spark, sf)).select("t_in", "pivot", "t_out")
