@@ -1,5 +1,10 @@
 """Conflict queries against brute force over whole tables."""
 
+import random
+
+from pyspark.sql import functions as F
+
+from tidelog.operators import txn
 from tidelog.plans import queries
 
 
@@ -19,3 +24,42 @@ def test_every_conflict(spark, sf):
     assert len(got) == len(want) and set(got) == want
     snapshot, commit = ({t[0]: t[i] for t in _txns(spark, sf)} for i in (1, 2))
     assert any(commit[w] > snapshot[r] + 120 for r, w in got)
+
+
+def _cyclic(edges):
+    """Ids that reach themselves, by search from each."""
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    found = set()
+    for a in out:
+        seen, todo = set(), list(out[a])
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo.extend(out.get(x, ()))
+        found |= {a} & seen
+    return found
+
+
+def test_transactions_on_cycles(spark, sf):
+    """Whole ids and not their remainders, of which all are on a cycle where no transaction is."""
+    got = [r[0] for r in queries.QUERIES["transaction_cycles"](spark, sf).collect()]
+    assert len(got) == len(set(got)) and set(got) == _cyclic(_edges(spark, sf))
+
+
+def test_cycles_of_small_graphs(spark):
+    """1 and 61, 2 and 62 have equal remainders; only 5, 6 and 7 are a cycle."""
+    t = [(1, 0, 1, ["a"], ["x"]), (62, 5, 6, ["x"], ["a"]), (61, 9, 10, ["b"], ["c"]), (2, 9, 10, ["d"], ["b"]), (5, 20, 25, ["p"], ["r"]), (6, 20, 26, ["q", "q"], ["p"]), (7, 20, 27, ["r"], ["q"]), (8, 20, 28, ["s"], ["s"])]
+    d = spark.createDataFrame(t, "tx_id long, snapshot_seq long, commit_seq long, reads array<string>, writes array<string>")
+    assert sorted(r[0] for r in txn.on_conflict_cycle(d).collect()) == [5, 6, 7]
+    assert txn.on_conflict_cycle(d.limit(0)).count() == 0
+    rng = random.Random(3)
+    many = [(i, (c := rng.randrange(40)) - rng.randrange(1, 9), c, [rng.choice("abcdefgh")], [rng.choice("abcdefgh")]) for i in range(30)]
+    d = spark.createDataFrame(many, d.schema)
+    want = _cyclic({(r[0], w[0]) for r in many for w in many if r[0] != w[0] and w[2] > r[1] and set(r[3]) & set(w[4])})
+    assert {r[0] for r in txn.on_conflict_cycle(d).collect()} == want
+    e = [(rng.randrange(30), rng.randrange(30)) for _ in range(35)]
+    g = spark.createDataFrame(e, "a long, b long")
+    assert {r[0] for r in txn.on_cycle(g).select(F.col("id")).collect()} == _cyclic(e)

@@ -128,9 +128,81 @@ def trim(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     return edges
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df computed, without its lineage: through the checkpoint folder if one is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """(a, b) -> (id, least): the smallest id that each id reaches, itself included. Labels of labels are taken too, so paths halve in a round."""
+    now = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("least", F.col("id"))
+    while True:
+        near = edges.join(now.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("least").alias("near"))
+        far = now.select(F.col("id").alias("least"), F.col("least").alias("far"))
+        new = _cut(now.join(near, "id", "left").join(far, "least").select("id", F.least("least", "near", "far").alias("new"), F.col("least").alias("old")))
+        now = new.select("id", F.col("new").alias("least"))
+        if new.where("new < old").isEmpty():
+            return now
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(a, b) -> (id, component): ids that reach each other have one component, named by the smallest; ids that can't be on a cycle may be left out.
+
+    Ids whose smallest reached and smallest reaching id are the same are in its component. Of the others only edges between equal pairs
+    can be inside a component, and each round settles at least the smallest id of every pair.
+    """
+    left, out = _cut(trim(edges.where("a <> b").distinct(), 12)), None
+    while not left.isEmpty():
+        down = _least(left).withColumnRenamed("least", "lo")
+        up = _least(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnRenamed("least", "hi")
+        marks = _cut(down.join(up, "id"))
+        done = marks.where("lo = hi").select("id", F.col("lo").alias("component"))
+        out = done if out is None else out.unionByName(done)
+        rest = marks.where("lo <> hi")
+        a, b = (rest.select(F.col("id").alias(c), "lo", "hi") for c in ("a", "b"))
+        left = _cut(left.join(a, "a").join(b, ["b", "lo", "hi"]).select("a", "b"))
+    return edges.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0) if out is None else out
+
+
 def on_cycle(edges: DataFrame) -> DataFrame:
-    """(a, b) -> ids that reach themselves. What can't be on a cycle goes first, so paths are built over the cyclic core only."""
-    return reachable(trim(edges.distinct())).where("a = b").select(F.col("a").alias("id")).distinct()
+    """(a, b) -> ids that reach themselves: members of strong components of two or more, and ids with an edge to themselves."""
+    c = strong_components(edges)
+    large = c.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return c.join(large, "component", "left_semi").select("id").unionByName(edges.where("a = b").select(F.col("a").alias("id"))).distinct()
+
+
+def conflict_steps(txns: DataFrame, width: int = 1000) -> DataFrame:
+    """(a, b): a graph of strings in which transactions ("0:" and tx_id) reach each other as by their conflict edges, of N log N edges however hot a key.
+
+    The writes of a key in order of commit are the leaves of a tree of 16 branches a node; a reader leads to the few nodes that cover all leaves after its
+    snapshot. A transaction may also lead to its own write. Ranks are counted in bins of `width` sequences first.
+    """
+    tx = F.concat(F.lit("0:"), F.col("tx_id").cast("string")).alias("tx")
+    r = txns.select(tx, F.col("snapshot_seq").alias("seq"), F.lit(0).alias("w"), F.explode(F.array_distinct("reads")).alias("key"))
+    w = txns.select(tx, F.col("commit_seq").alias("seq"), F.lit(1).alias("w"), F.explode(F.array_distinct("writes")).alias("key"))
+    x = r.unionByName(w).withColumn("bin", F.floor(F.col("seq") / width))
+    base = x.groupBy("key", "bin").agg(F.sum("w").alias("n")).withColumn("base", F.sum("n").over(Window.partitionBy("key").orderBy("bin")) - F.col("n"))
+    order = Window.partitionBy("key", "bin").orderBy("seq", F.col("w").desc(), "tx").rowsBetween(Window.unboundedPreceding, 0)
+    x = _cut(x.join(base, ["key", "bin"]).select("tx", "key", "w", (F.col("base") + F.sum("w").over(order) - F.col("w")).alias("at")))
+    most = x.where("w = 1").agg(F.max("at")).first()[0] or 0
+    depth = -(-most.bit_length() // 4)
+    node = lambda t, i: F.concat_ws(":", F.lit("1"), t.cast("string"), i.cast("string"), "key")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("t")
+    # leaves from `at` on, as whole subtrees: on each level those before the next subtree of the level above
+    low, high = "(at + (1L << 4 * t) - 1) >> 4 * t", f"CASE WHEN t = {depth} THEN 1L ELSE 16 * ((at + (1L << 4 * (t + 1)) - 1) >> 4 * (t + 1)) END"
+    covers = x.where("w = 0").select("tx", "key", "at", levels).selectExpr("tx", "key", "t", f"{low} AS low", f"least({high}, ({most}L >> 4 * t) + 1) AS high").where("low < high")
+    covers = covers.select(F.col("tx").alias("a"), "key", "t", F.explode(F.sequence("low", F.col("high") - 1)).alias("i")).select("a", node(F.col("t"), F.col("i")).alias("b"))
+    leaves = x.where("w = 1")
+    inner = leaves.select("key", "at", levels).where("t > 0").select("key", "t", F.expr("at >> 4 * (t - 1)").alias("i")).distinct()
+    inner = inner.select(node(F.col("t"), F.expr("i >> 4")).alias("a"), node(F.col("t") - 1, F.col("i")).alias("b"))
+    return covers.unionByName(inner).unionByName(leaves.select(node(F.lit(0), F.col("at")).alias("a"), F.col("tx").alias("b")))
+
+
+def on_conflict_cycle(txns: DataFrame) -> DataFrame:
+    """tx_id of the transactions on a cycle of conflict edges: those whose strong component holds another transaction."""
+    c = _cut(strong_components(conflict_steps(txns)).where("startswith(id, '0:')"))
+    large = c.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return c.join(large, "component", "left_semi").select(F.substr("id", F.lit(3)).cast(txns.schema["tx_id"].dataType).alias("tx_id"))
 
 
 def dangerous(edges: DataFrame) -> DataFrame:

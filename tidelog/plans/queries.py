@@ -280,11 +280,17 @@ def dangerous_structures(spark, sf):
 
 @query(_EDGES_SQL + ", q AS (SELECT DISTINCT reader % 60 AS a, writer % 60 AS b FROM e) SELECT DISTINCT a AS id FROM q WHERE a = b OR EXISTS (SELECT 1 FROM (WITH RECURSIVE r(x) AS (SELECT q2.b FROM q q2 WHERE q2.a = q.a UNION SELECT q3.b FROM r JOIN q q3 ON q3.a = r.x) SELECT x FROM r) z WHERE z.x = q.a)")
 def serialization_cycles(spark, sf):
-    """Clients (60, each with many transactions) on a cycle of conflicts."""
+    """Remainders by 60 of transaction ids, as nodes, on a cycle of conflicts in the window; `transaction_cycles` has the transactions."""
     e = _edges(spark, sf).select((F.col("reader") % 60).alias("a"), (F.col("writer") % 60).alias("b"))
     return txn.on_cycle(e.distinct())
 
 
+@query(_ALL_EDGES_SQL + " SELECT DISTINCT a AS tx_id FROM (WITH RECURSIVE r(a, x) AS (SELECT reader, writer FROM e UNION SELECT r.a, e.writer FROM r JOIN e ON e.reader = r.x) SELECT a, x FROM r) z WHERE a = x")
+def transaction_cycles(spark, sf):
+    """Transactions on a cycle of conflicts, each by its own id, over every conflict."""
+    return txn.on_conflict_cycle(txns(spark, sf))
+
+
 @query("""
 , c AS (SELECT event_id AS tx_id, [greatest(event_id - 1, 0), greatest(event_id - (user_id % 9) - 1, 0)] AS deps FROM events), r AS (SELECT event_id AS tx_id FROM events WHERE event_id % 11 <> 3)
 SELECT tx_id, dep FROM (SELECT tx_id, unnest(deps) AS dep FROM c WHERE tx_id IN (SELECT tx_id FROM r)) WHERE dep NOT IN (SELECT tx_id FROM r)""")
