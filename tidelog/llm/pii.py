@@ -6,7 +6,7 @@ surrogate depends on the key, the kind and that form alone, so all mentions of a
 format each of them is written (coreference).
 
 Numbers go through a keyed Feistel network over their digits, a permutation, so two numbers never get one surrogate: phones keep their
-country code, cards their first digit and whether the check digit is right, addresses stay in the range of their first octet. Other kinds get
+country code, cards their first digit (those of the 2-series its range 2221 to 2720) and whether the check digit is right, addresses stay in the range of their first octet. Other kinds get
 characters of the same classes from a keyed hash; surrogates too short to be distinct are lengthened (an address gets a domain of its own,
 a secret at least 16 characters). Names keep their title and number of words; given names agree with the gender of the title and, as surnames do,
 with the script.
@@ -49,10 +49,11 @@ NAME_SYLLABLES = 10
 
 _TITLES = "|".join(sorted(MALE + FEMALE + MALE_CYRILLIC + FEMALE_CYRILLIC, key=len, reverse=True))
 PATTERNS = {
-    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?[^\s\"'=:,;<>]{6,128}",
+    # up to the closing quote of the line, or else up to white space, a quote, or separators before them
+    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}(?:\"[^\"\r\n]{6,}(?=\"|$)|'[^'\r\n]{6,}(?='|$)|[\"']?(?![=:])[^\s\"']{5,}[^\s\"',;:])",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "card": r"(?<![0-9.-])[3-6][0-9]{3}(?:[0-9]{9,15}|(?:[ -][0-9]{4}){3}|[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
+    "card": r"(?<![0-9.-])(?:[3-6][0-9]{3}(?:[0-9]{9,15}|(?:[ -][0-9]{4}){3}|[ -][0-9]{6}[ -][0-9]{5})|(?:222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)(?:[0-9]{12}|(?:[ -][0-9]{4}){3}))(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
@@ -75,7 +76,7 @@ def _kind(m: Column) -> Column:
 def _core(kind: Column, m: Column) -> Column:
     """The part of a match that is replaced."""
     return (
-        F.when(kind == "secret", F.regexp_extract(m, r"^[A-Za-z_-]+[\"']?[ \t]*[=:][ \t]*[\"']?(.*)$", 1))
+        F.when(kind == "secret", F.regexp_extract(m, r"(?s)^[A-Za-z_-]+[\"']?[ \t]*[=:][ \t]*[\"']?(.*)$", 1))
         .when(kind == "name", F.regexp_extract(m, rf"^(?:{_TITLES})\.? (.*)$", 1))
         .otherwise(m)
     )
@@ -142,7 +143,7 @@ def _characters(text: Column, stream: Column) -> Column:
         # the stream repeats after 64 digits: later characters also depend on their place
         x = _number(F.substring(stream, F.pmod(2 * (i - 1), F.lit(60)) + 1, F.lit(4))) + F.floor((i - 1) / 30) * 7919
         letters = lambda a, n: F.substring(F.lit(a), (F.pmod(x, F.lit(n)) + 1).cast("int"), F.lit(1))
-        return F.when(hexes, letters("0123456789abcdef", 16)).when(c.rlike("[0-9]"), letters("0123456789", 10)).when(c.rlike("[a-z]"), letters("abcdefghijklmnopqrstuvwxyz", 26)).when(c.rlike("[A-Z]"), letters("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 26)).otherwise(c)
+        return F.when(hexes, letters("0123456789abcdef", 16)).when(c.rlike("[0-9]"), letters("0123456789", 10)).when(c.rlike("[a-z]"), letters("abcdefghijklmnopqrstuvwxyz", 26)).when(c.rlike("[A-Z]"), letters("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 26)).when(c.rlike(r"[^\x00-\x7f]"), letters("abcdefghijklmnopqrstuvwxyz", 26)).otherwise(c)
 
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")
 
@@ -161,7 +162,9 @@ def _detail(m: Column) -> Column:
 
 def _card(key: str, card: Column) -> Column:
     n = F.length(card)
-    body = F.concat(F.substring(card, 1, 1), _digits(key, F.substring(card, F.lit(2), n - 2), F.lit("card")))
+    two = _feistel(key, F.substring(card, 1, 4).cast("long") - 2221, F.substring(card, 5, 11), F.lit(500), F.lit(10**11), F.lit("card:2"))
+    two = _let(two, lambda x: F.concat((x["l"] + 2221).cast("string"), F.lpad(x["r"].cast("string"), 11, "0")))
+    body = F.when(card.startswith("2"), two).otherwise(F.concat(F.substring(card, 1, 1), _digits(key, F.substring(card, F.lit(2), n - 2), F.lit("card"))))
     offset = F.substring(card, -1, 1).cast("int") - _check_digit(F.substring(card, F.lit(1), n - 1))
     return _let(body, lambda b: F.concat(b, F.pmod(_check_digit(b) + offset, F.lit(10)).cast("string")))
 
@@ -208,7 +211,8 @@ def _surrogate(key: str, d: Column) -> Column:
     def made(x: Column) -> Column:
         m, kind, core, canonical = (x["d"][k] for k in ("m", "kind", "core", "canonical"))
         stream = x["stream"]
-        long = F.when(F.length(core) < 16, F.concat(core, F.substring(stream, F.lit(1), 16 - F.length(core)))).otherwise(core)
+        drawn = F.length(F.regexp_replace(core, r"[\x00-/:-@\[-`{-\x7f]", ""))  # characters that are replaced
+        long = F.when(drawn < 16, F.concat(core, F.substring(stream, F.lit(1), 16 - drawn))).otherwise(core)
         new = (
             F.when(kind == "card", _fill(m, _card(key, canonical)))
             .when(kind == "phone", _fill(m, _phone(key, m, canonical)))
