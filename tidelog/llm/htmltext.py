@@ -2,12 +2,13 @@
 
 The standard library's streaming parser turns a page into blocks (paragraphs, headings, list items, cells, loose text of a container) in
 page order. What is never main text is left out on the way: scripts, styles, forms, menus, headers, footers, sidebars, and elements whose
-role, class or id names an advert, notice, menu, sidebar or reader comments.
+role, class or id names an advert, notice, menu, sidebar or reader comments. A container whose class or id names a notice, menu or sidebar
+is kept if it wraps the page's only articles, or at least SHARE of the text of a page that has none.
 
 Each block has a ratio of its characters to its tags. Ratios are smoothed by a Gaussian over neighbouring blocks, and blocks at
 or above a threshold (a share of the standard deviation over the page) form clusters of content. The clusters choose the region: the
-`article` or `main` element that holds most of their text or, on pages without one, the deepest container that holds
-at least SHARE of it. All blocks of the region are kept, short ones between long ones too: the ratios select regions and
+lowest container of all `article` elements that hold some of their text, and of what else of it stands in `main`, or of the `main` elements;
+on pages without either, the lowest container of all of it. All blocks of the region are kept, short ones between long ones too: the ratios select regions and
 do not drop blocks inside one.
 
 Text: character references decoded, white space inside a block one space (a line break is white space), blocks trimmed, empty ones left
@@ -20,6 +21,7 @@ are not read.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -44,6 +46,10 @@ _NAMES = frozenset(
     "sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead toolbar comment comments commentlist respond replies disqus share sharing social related "
     "recommended newsletter subscribe subscription signup login search pagination pager widget skip".split()
 )
+#: Of these names, what is never main text whatever it holds; the others also name wrappers of it.
+_FIRM = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored cookie cookies consent gdpr comment comments commentlist respond replies disqus related recommended".split())
+#: Kinds of containers that are blocks themselves.
+_LEAVES = frozenset("p li td th h1 h2 h3 h4 h5 h6 dt dd pre blockquote tr".split())
 _KEPT = frozenset(("html", "body", "main", "article"))
 _NEVER = frozenset(("with", "has", "no", "without"))
 #: A start tag of the key ends open elements of the values.
@@ -58,7 +64,7 @@ class _Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = []  # tag, container, skipped
-        self.kind, self.parent = ["#"], [-1]  # of the containers
+        self.kind, self.parent, self.named = ["#"], [-1], [False]  # of the containers
         self.blocks: list[tuple[str, int, int]] = []  # text, tags, container
         self.parts: list[str] = []
         self.tags = 0
@@ -73,13 +79,14 @@ class _Blocks(HTMLParser):
                 self.tags = 0
             self.parts = []
 
-    def enter(self, tag: str, skipped: bool) -> None:
+    def enter(self, tag: str, skipped: bool, named: bool = False) -> None:
         self.open.append((tag, self.at, self.skip))
         self.skip = self.skip or skipped
         if tag not in _INLINE:
             self.flush()
             self.kind.append(tag)
             self.parent.append(self.at)
+            self.named.append(named)
             self.at = len(self.kind) - 1
 
     def leave(self, n: int) -> None:
@@ -104,12 +111,14 @@ class _Blocks(HTMLParser):
                     break
                 if self.open[n][0] in ("ul", "ol", "dl", "table", "div", "section", "article", "main", "body"):
                     break
-        skipped = tag in _SKIP
+        skipped, named = tag in _SKIP, False
         if attrs and not skipped and tag not in _KEPT:
-            skipped = _boilerplate(attrs)
+            skipped, named = _boilerplate(attrs)
+            if tag in _INLINE or tag in _LEAVES:
+                skipped = skipped or named
         if tag in _INLINE and not skipped:
             return
-        self.enter(tag, skipped)
+        self.enter(tag, skipped, named)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -129,23 +138,27 @@ class _Blocks(HTMLParser):
         return
 
 
-def _boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
+def _boilerplate(attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+    """Whether an element is never main text, and whether its class or id names it as what is not, unless it wraps the main text."""
+    named = False
     for name, value in attrs:
         if name == "hidden":
-            return True
+            return True, False
         if not value:
             continue
         low = value.lower()
         if name == "role" and low in _ROLES or name == "aria-hidden" and low == "true":
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", low):
-            return True
+            return True, False
         if name in ("class", "id"):
             for word in low.split():
                 names = set(_SPLIT.split(word))
                 if names & _NAMES and not names & _NEVER:
-                    return True
-    return False
+                    if names & _FIRM:
+                        return True, False
+                    named = True
+    return False, named
 
 
 def parse(html: str) -> _Blocks:
@@ -170,47 +183,87 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 def main_text(html: str | None) -> str:
     p = parse(html or "")
-    if not p.blocks:
+    blocks = _unnamed(p)
+    if not blocks:
         return ""
-    size = np.array([len(t) for t, _, _ in p.blocks], dtype=np.float64)
-    ratio = smoothed(size / np.array([max(1, n) for _, n, _ in p.blocks]))
+    size = np.array([len(t) for t, _, _ in blocks], dtype=np.float64)
+    ratio = smoothed(size / np.array([max(1, n) for _, n, _ in blocks]))
     content = ratio >= min(THRESHOLD * ratio.std(), ratio.max())
     # text of content clusters in each container, its inner ones included
     held = [0.0] * len(p.kind)
-    for (_, _, at), n in zip(p.blocks, size * content, strict=True):
+    for (_, _, at), n in zip(blocks, size * content, strict=True):
         held[at] += float(n)
+    region = _region(p, _sums(p, held), held)
+    keep = _inside(p, [c == region for c in range(len(held))])
+    return "\n".join(t for t, _, at in blocks if keep[at])
+
+
+def _sums(p: _Blocks, own: list[float]) -> list[float]:
+    """Own text of each container -> its text with that of inner ones."""
+    held = list(own)
     for c in range(len(held) - 1, 0, -1):
         held[p.parent[c]] += held[c]
-    region = _region(p, held)
-    keep = [False] * len(held)
-    for c in range(len(held)):  # parents come before their children
-        keep[c] = c == region or c > 0 and keep[p.parent[c]]
-    return "\n".join(t for t, _, at in p.blocks if keep[at])
-
-
-def _region(p: _Blocks, held: list[float]) -> int:
-    within = [False] * len(p.kind)  # inside an article
-    outer = []
-    for c in range(1, len(p.kind)):
-        up = p.parent[c]
-        within[c] = within[up] or p.kind[up] == "article"
-        if p.kind[c] == "article" and not within[c]:
-            outer.append(c)
-    mains = [c for c in range(len(p.kind)) if p.kind[c] == "main" and held[c]]
-    articles = [c for c in outer if held[c]]
+    return held
+
+
+def _inside(p: _Blocks, marked: list[bool]) -> list[bool]:
+    inside = list(marked)
+    for c in range(1, len(inside)):  # parents come before their children
+        inside[c] = inside[c] or inside[p.parent[c]]
+    return inside
+
+
+def _unnamed(p: _Blocks) -> list[tuple[str, int, int]]:
+    """Blocks outside of named containers. A named one that wraps the page's only articles, or on pages without any at least SHARE of the text, counts as unnamed."""
+    if not any(p.named):
+        return p.blocks
+    own = [0.0] * len(p.kind)
+    for t, _, at in p.blocks:
+        own[at] += len(t)
+    held, dropped = _sums(p, own), _inside(p, p.named)
+    marks = [c for c in range(len(p.kind)) if p.kind[c] in ("article", "main") and held[c]]
+    named = list(p.named)
+    if marks and all(dropped[c] for c in marks):
+        for c in marks:
+            while c > 0:
+                c = p.parent[c]
+                named[c] = False
+    elif not marks:
+        named = [n and held[c] < SHARE * held[0] for c, n in enumerate(named)]
+    dropped = _inside(p, named)
+    return [b for b in p.blocks if not dropped[b[2]]]
+
+
+def _common(p: _Blocks, containers: list[int]) -> int:
+    """The lowest container that holds all of them; parents have smaller numbers."""
+    at = sorted({-c for c in containers})  # a heap
+    while True:
+        low = -heapq.heappop(at)
+        while at and at[0] == -low:
+            heapq.heappop(at)
+        if not at:
+            return low
+        heapq.heappush(at, -p.parent[low])
+
+
+def _region(p: _Blocks, held: list[float], own: list[float]) -> int:
+    within = _inside(p, [k == "article" for k in p.kind])
+    articles = [c for c in range(1, len(p.kind)) if p.kind[c] == "article" and not within[p.parent[c]] and held[c]]
+    mains = [c for c in range(1, len(p.kind)) if p.kind[c] == "main" and held[c]]
     if articles:
-        best = max(articles, key=lambda c: held[c])
-        if not mains or held[best] >= 0.5 * max(held[c] for c in mains):
-            return best
+        in_main = _inside(p, [k == "main" for k in p.kind])
+        beside = [c for c in range(len(p.kind)) if own[c] and in_main[c] and not within[c]]
+        return _lifted(p, _common(p, articles + beside))
     if mains:
-        return max(mains, key=lambda c: held[c])
-    at = 0
-    while True:
-        children = [c for c in range(at + 1, len(p.kind)) if p.parent[c] == at and p.kind[c] not in ("p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "pre", "blockquote", "tr")]
-        best = max(children, key=lambda c: held[c], default=0)
-        if not best or held[best] < SHARE * held[0] or not held[best]:
-            return at
-        at = best
+        return _lifted(p, _common(p, mains))
+    return _lifted(p, _common(p, [c for c in range(len(p.kind)) if own[c]]))
+
+
+def _lifted(p: _Blocks, c: int) -> int:
+    """The nearest container that is not a block itself."""
+    while p.kind[c] in _LEAVES:
+        c = p.parent[c]
+    return c
 
 
 def extract(pages: DataFrame) -> DataFrame:
