@@ -6,8 +6,11 @@ words of a bounded sample of the corpus' own paragraphs (NEGATIVES rows, a docum
 zero, so the model is a sparse table of a few thousand n-grams; its size depends on the notices and not on the corpus. The temperature of
 the softmax and the bias of `unknown` are calibrated on variants that were held back.
 
-Scan: a paragraph is a line of a document. Only a paragraph with one of the model's ANCHORS can be a licence (the others are `unknown` by
-definition of the model), which is decided by plain substring tests. Distinct candidate paragraphs are cut into n-grams, joined
+Scan: a paragraph is a line of a document. A paragraph of which all words that the model knows are common ones can't outweigh the bias of
+`unknown`; anchors() derives from the weights for which words that holds, and every paragraph with another word is scored. A notice may be
+wrapped: windows of neighbouring lines without a blank one (WINDOWS), and whole runs of lines up to a blank one, are scored too, in
+documents with enough of a template's pairs of words to be confirmed. They give a row, numbered by its first line, only if they are confirmed and hold
+no confirmed paragraph of the family; of overlapping ones the most similar counts. Distinct candidate paragraphs are cut into n-grams, joined
 with the weights, summed by family, and turned into probabilities. A prediction other than `unknown` is confirmed if the words of one of the
 family's templates are contained in the paragraph to at least CONTAINED, as pairs of words. Results are joined back to all
 paragraphs that have the text, so copies are scored once.
@@ -18,6 +21,8 @@ repeated rows; ties go to the first family by name; an empty table gives an empt
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +53,7 @@ TALK = [
     "poetic license is common in such films", "the creative commons room is open to the public", "the software was released in march and has many users", "a general public meeting about the free software fair", "the agency licensed three new drugs",
     "all rights of workers were discussed", "the redistribution of land was a public matter", "permission was granted to build a house", "commercial use of the hall needs a license from the city",
 ]
-ANCHORS = ("licen", "copyright", "rights reserved", "public domain", "spdx", "redistribut", "permission", "permitted", "gpl", "cc0", "cc by")
+WINDOWS = (2, 3, 4)
 UNKNOWN = "unknown"
 NEGATIVES = 400
 CONTAINED = 0.6
@@ -151,12 +156,76 @@ def corpus_words(docs: DataFrame, n: int = NEGATIVES) -> list[str]:
     return [w for t in some["t"] for w in _words(t)]
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, paragraph (from 0), text: the candidates."""
-    low = F.lower(F.col("text"))
-    any_anchor = lambda c: sum((c.contains(a).cast("int") for a in ANCHORS), F.lit(0)) > 0
-    lines = docs.where(any_anchor(low)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
-    return lines.where(any_anchor(F.lower("text")))
+def anchors(model: Classifier, common: list[str]) -> list[str]:
+    """Words of which a paragraph must hold one to be of a family; `common` is a list of words of the corpus.
+
+    Words are left out, the most common first, as long as all n-grams made of left-out words alone weigh less, in sum, than the bias
+    of `unknown` is above a family's, for every family. So no paragraph without an anchor is predicted to be of one.
+    """
+    unknown = model.families.index(UNKNOWN)
+    margin = np.delete(np.maximum(model.weights - model.weights[:, [unknown]], 0), unknown, axis=1)
+    room = np.delete(model.bias[unknown] - model.bias, unknown)
+    parts = [set(g.split(" ")) for g in model.vocabulary]
+    count = Counter(common)
+    words, out = sorted(set().union(*parts), key=lambda w: (-count[w], w)), set()
+    for w in words:
+        inside = np.array([p <= out | {w} for p in parts])
+        if (margin[inside].sum(axis=0) < room - 1e-6).all():
+            out.add(w)
+        elif not count[w]:
+            break
+    return sorted(set(words) - out)
+
+
+def _pairs(text: str) -> list[str]:
+    return sorted({" ".join(p) for p in zip(_words(text), _words(text)[1:], strict=False)} or set(_words(text)))
+
+
+def rare_pairs(common: list[str]) -> list[str]:
+    """Pairs of words of which a text must hold one to be confirmed: of each template as many of the rarest as may be missing, and one more."""
+    count = Counter(common)
+    out = set()
+    for t in (t for ts in TEMPLATES.values() for t in ts):
+        pairs = sorted(_pairs(t), key=lambda p: (min(count[w] for w in p.split(" ")), p))
+        least = next(n for n in range(len(pairs) + 1) if n / len(pairs) >= CONTAINED)
+        out.update(pairs[: len(pairs) - least + 1])
+    return sorted(out)
+
+
+def _any(phrases: list[str]) -> str:
+    """A regular expression of any of the phrases in lower case as whole words, as a tree of their characters."""
+
+    def tree(xs: list[str]) -> str:
+        heads: dict[str, list[str]] = {}
+        for x in xs:
+            if x:
+                heads.setdefault(x[0], []).append(x[1:])
+        inner = [(_WORD if c == " " else c) + tree(rest) for c, rest in sorted(heads.items())]
+        return "(?:" + "|".join([*inner, *[""] * ("" in xs)]) + ")" if inner else ""
+
+    return rf"(?<![a-z0-9]){tree(sorted(set(phrases)))}(?![a-z0-9])"
+
+
+def paragraphs(docs: DataFrame, model: Classifier, common: list[str]) -> DataFrame:
+    """docs(doc_id, text) -> tl_row, doc_id, paragraph (from 0), lines, text: the candidates, of one line or more."""
+    words, pairs = _any(anchors(model, common)), _any(rare_pairs(common))
+    docs = docs.where("text is not null").select(F.monotonically_increasing_id().alias("tl_row"), "doc_id", "text")
+    docs = docs.select("*", F.split("text", "\n").alias("tl_lines"))
+    lines = docs.where(F.lower("text").rlike(words)).select("tl_row", "doc_id", F.posexplode("tl_lines").alias("paragraph", "text"))
+    out = lines.where(F.lower("text").rlike(words)).select("tl_row", "doc_id", "paragraph", F.lit(1).alias("lines"), "text")
+    docs = docs.where(F.lower("text").rlike(pairs) & F.col("text").contains("\n"))
+    full = lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != ""
+    for n in WINDOWS:
+        x = docs.where(F.size("tl_lines") >= n).select("tl_row", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tl_lines") - n + 1), lambda i, n=n: F.slice("tl_lines", i, n))).alias("paragraph", "some"))
+        x = x.where(F.forall("some", full)).select("tl_row", "doc_id", "paragraph", F.lit(n).alias("lines"), F.array_join("some", "\n").alias("text"))
+        out = out.unionByName(x.where(F.lower("text").rlike(pairs)))
+    # runs, each behind the blank line before it
+    runs = docs.select("tl_row", "doc_id", F.split("text", r"(?<=\n)(?=[^\S\n]*\n)").alias("runs")).select("*", F.posexplode("runs").alias("at", "text"))
+    runs = runs.where(F.lower("text").rlike(pairs)).withColumn("blank", F.when(F.col("text").rlike(r"^[^\S\n]*\n"), 1).otherwise(0))
+    runs = runs.withColumn("paragraph", F.size(F.split(F.array_join(F.slice("runs", F.lit(1), F.col("at")), ""), "\n")) - 1 + F.col("blank"))
+    runs = runs.withColumn("text", F.regexp_replace(F.regexp_replace("text", r"^[^\S\n]*\n", ""), r"\n$", ""))
+    runs = runs.withColumn("lines", F.size(F.split("text", "\n"))).where(F.col("lines") > max(WINDOWS))
+    return out.unionByName(runs.select("tl_row", "doc_id", "paragraph", "lines", "text"))
 
 
 def _gram_array(words: Column) -> Column:
@@ -169,8 +238,9 @@ def _gram_array(words: Column) -> Column:
 def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, paragraph, family, probability, similarity, confirmed, text."""
     spark = docs.sparkSession
-    model = model or train(corpus_words(docs))
-    found = keep(paragraphs(docs), "paragraphs")
+    common = corpus_words(docs)
+    model = model or train(common)
+    found = keep(paragraphs(docs, model, common), "paragraphs")
     distinct = found.select("text").distinct().withColumn("words", F.filter(F.split(F.lower("text"), _WORD), lambda w: w != ""))
     k = len(model.families)
     # one row an n-gram: bounded by the notices above, not by the corpus
@@ -184,13 +254,19 @@ def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     scored = scored.withColumn("family", F.element_at(families, F.array_position("z", F.col("top")).cast("int")))
     scored = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY)).select("text", "family", "probability")
     # templates of the predicted family: the share of their pairs of words that the paragraph holds
-    pairs = [(f, sorted({" ".join(p) for p in zip(_words(t), _words(t)[1:], strict=False)} or set(_words(t)))) for f, ts in TEMPLATES.items() for t in ts]
+    pairs = [(f, _pairs(t)) for f, ts in TEMPLATES.items() for t in ts]
     templates = spark.createDataFrame(pairs, "family string, pairs array<string>")
     grams_of = scored.withColumn("grams", _gram_array(F.filter(F.split(F.lower("text"), _WORD), lambda w: w != "")))
     similar = grams_of.join(F.broadcast(templates), "family").withColumn("similarity", F.size(F.array_intersect("grams", "pairs")) / F.size("pairs"))
     similar = similar.groupBy("text").agg(F.first("family").alias("family"), F.first("probability").alias("probability"), F.max("similarity").alias("similarity"))
-    out = found.join(similar, "text")
-    return out.select("doc_id", F.col("paragraph").cast("long"), "family", "probability", "similarity", (F.col("similarity") >= CONTAINED).alias("confirmed"), "text")
+    out = keep(found.join(similar, "text").withColumn("confirmed", F.col("similarity") >= CONTAINED).where("lines = 1 or confirmed"), "found")
+    # wrapped notices: none that holds a confirmed paragraph of its family, and the most similar of overlapping ones
+    ends = "paragraph + lines AS end"
+    x = out.where("lines > 1").selectExpr("tl_row", "family", "paragraph", "lines", "similarity", ends)
+    y = out.where("confirmed").selectExpr("tl_row", "family", "paragraph AS p", "lines AS n", "similarity AS s", "paragraph + lines AS e")
+    worse = x.join(y, ["tl_row", "family"]).where("(p >= paragraph and e <= end and n < lines) or (p < end and e > paragraph and not (p <= paragraph and e >= end) and (s > similarity or s = similarity and p < paragraph))")
+    out = out.join(worse.select("tl_row", "family", "paragraph", "lines").distinct(), ["tl_row", "family", "paragraph", "lines"], "left_anti")
+    return out.select("doc_id", F.col("paragraph").cast("long"), "family", "probability", "similarity", "confirmed", "text")
 
 
 def op5_license(spark: SparkSession, sf_dir: str) -> DataFrame:
