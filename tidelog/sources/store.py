@@ -117,7 +117,8 @@ class Store:
         m = base or self.manifest()
         known = set(m["families"])
         x = ops.withColumn("cf", F.coalesce("cf", F.lit("default"))).where("not (op = 'delete_range' and key >= value)")
-        bad = [r[0] for r in x.select("cf").distinct().limit(1000).collect() if r[0] not in known]
+        families = x.sparkSession.createDataFrame([(f,) for f in sorted(known)], "cf string")
+        bad = x.select("cf").distinct().join(families, "cf", "left_anti").first()
         if bad:
             raise KeyError(f"no family {bad[0]}")
         number = m["n"] + 1
