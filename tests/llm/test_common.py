@@ -21,11 +21,20 @@ def test_components_of_paths_hubs_and_random_graphs(spark):
         a, b = find(a), find(b)
         up[max(a, b)] = min(a, b)
     rnd.shuffle(edges)
-    got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in up if any(find(x) == find(y) and x != y for y in up)}
+    for least in (256, 8):  # 8: every node of more links is a hub
+        got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long"), least=least).collect()}
+        assert got == {x: find(x) for x in up if any(find(x) == find(y) and x != y for y in up)}
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hot_keys_are_broadcast(spark):
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 7, k) for k in range(300)] + [(None, 1), (99, 1)], "k long, v long")
+    keys = rows.where("k < 99").groupBy("k").agg(common.F.count("*").alias("tl_n"), common.F.max("v").alias("m"))
+    want = sorted(map(tuple, rows.join(keys.drop("tl_n"), "k").collect()))
+    for least in (1, 50, 1000):
+        assert sorted(map(tuple, common.join_counted(rows, keys, ["k"], 300, hubs=2, least=least).collect())) == want
+
+
 def test_hook():
     rng, label = np.random.default_rng(1), np.arange(200)
     a, b = rng.integers(0, 200, 150), rng.integers(0, 200, 150)

@@ -79,3 +79,12 @@ def test_counters():
         got = {(int(i) // 3, int(i) % 3 * 64 + b) for i, m in zip(k, mask, strict=True) for b in range(64) if int(m) >> b & 1 and int(i) % 3 * 64 + b < 130}
         want = {(i, j) for i in range(5) for j in range(130) if int(fps[i] ^ fps[j]).bit_count() <= radius}
         assert got == want
+
+
+def test_rows_of_one_id(spark):
+    """Texts that differ under one doc_id are documents of their own; rows without one are compared too; the choice is the same on any order."""
+    a, b = "the cat sat on the mat and looked at the moon", "a wholly other text of ten or so words that differs"
+    rows = [(1, a, "x"), (1, b, "x"), (1, a, "x"), (2, a, "y"), (None, b, "z"), (None, "nobody has this text but this one row here", "z"), (None, a, "w")]
+    for order in (rows, rows[::-1]):
+        got = simhash.deduplicate(spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3)).collect()
+        assert sorted((r.doc_id or 0, r.text, r.source) for r in got) == sorted([(1, a, "x"), (1, b, "x"), (0, rows[5][1], "z")])

@@ -20,10 +20,12 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one only where that is unset (tests, local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may leave it unset and get a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="tidelog-"))
     return _own[0]
@@ -47,23 +49,36 @@ def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def join_counted(rows: DataFrame, by_key: DataFrame, keys: list[str], total: int, count: str = "tl_n", hubs: int = 2000, least: int = 256) -> DataFrame:
+    """rows joined with by_key, which has one row a key and in `count` the number of the key's rows; every key of rows is in by_key or the row goes.
+
+    Keys with more than total / hubs rows, and more than `least`, are broadcast: at most `hubs` rows of by_key, whatever the size. All others
+    are joined by their key, so no task gets more than a small share of the rows through one key. `count` is dropped.
+    """
+    limit = max(least, total // hubs)
+    hot = by_key.where(F.col(count) > limit).drop(count)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(by_key.where(F.col(count) <= limit).drop(count), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
+def connected_components(edges: DataFrame, rounds: int = 50, least: int = 256) -> DataFrame:
     """(a, b) links of longs -> (node, component): the smallest id that links reach.
 
     Alternating large-star and small-star rounds until the graph is a forest of stars; each round
-    moves every link towards the smallest neighbour, so O(log^2) rounds are enough. Every step
-    is a map-side combined minimum or a join with one row a node, so a hub is never gathered.
+    moves every link towards the smallest neighbour, so O(log^2) rounds are enough. Minima are map-side combined, and a node of very many
+    links (a hub) meets its minimum by a broadcast of the hubs (join_counted), so its links are never gathered.
     Self-links are left out; nodes without a link to another are not returned.
     """
-    spark = edges.sparkSession
     e = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    n = F.count(F.lit(1)).alias("tl_n")
     for _ in range(rounds):
+        total = 2 * e.count()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        moved = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = keep(moved.unionByName(low.withColumnRenamed("m", "v")).distinct(), "edges")
+        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), n)
+        e = join_counted(both.where("v > u"), low, ["u"], total, least=least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = e.groupBy("u").agg(F.min("v").alias("m"), n)
+        moved = join_counted(e, low, ["u"], total, least=least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = keep(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         ends = e.select(F.col("u").alias("n"), F.lit(1).alias("c"), F.lit(0).alias("p")).unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("c"), F.lit(1).alias("p")))
         ends = ends.groupBy("n").agg(F.sum("c").alias("c"), F.max("p").alias("p"))
         if ends.where("c > 1 or (c > 0 and p > 0)").isEmpty():

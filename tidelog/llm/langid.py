@@ -12,8 +12,9 @@ Prediction: every window of the whole text is classified; probabilities are aver
 the language of most of a mixed text wins.
 
 Defined results: `und` with score 0 if the text is null or has no letter, or if there was nothing to learn from; a null
-doc_id is not held out and not learned from; repeated rows give repeated rows; an empty table gives an empty table. Ties go to
-the first language by name.
+doc_id is not held out and not learned from; repeated rows give repeated rows; an empty table gives an empty table; texts of any length are
+read whole; other columns are not read. Ties go to the first language by name. A language none of whose documents is in the sample is not
+learned; each label counts its documents, so rare ones are sampled whole.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ PER_LANG = 800
 SAMPLES = 4
 EPOCHS = 12
 UNKNOWN = "und"
+#: Share of the softmax below which assign() rejects a document: of several languages none then stands out.
+MIN_SCORE = 0.3
 
 
 @dataclass
@@ -67,35 +70,37 @@ class ByteCnn:
         pooled = self.responses(x).max(axis=1) + self.bias
         return np.maximum(pooled, 0) @ self.dense + self.dense_bias
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean cross entropy, in the order conv, bias, dense, dense_bias; a maximum passes its gradient to one position."""
+        rows, filters = np.arange(len(x)), np.arange(len(self.bias))
+        resp = self.responses(x)
+        at = resp.argmax(axis=1)  # (n, filters)
+        pooled = np.take_along_axis(resp, at[:, None, :], axis=1)[:, 0] + self.bias
+        hidden = np.maximum(pooled, 0)
+        z = hidden @ self.dense + self.dense_bias
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[rows, y] -= 1
+        p /= len(x)
+        back = (p @ self.dense.T) * (pooled > 0)
+        pad = np.zeros((len(x), x.shape[1] + len(self.conv)), dtype=np.uint8)
+        pad[:, : x.shape[1]] = x
+        grads = []
+        for k, w in enumerate(self.conv):
+            f = w.shape[1]
+            cell = pad[rows[:, None], at[:, :f] + k].astype(np.int64) * f + filters[:f]
+            grads.append(np.bincount(cell.ravel(), back[:, :f].ravel(), minlength=256 * f).reshape(256, f))
+        return [*grads, back.sum(axis=0), hidden.T @ p, p.sum(axis=0)]
+
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 128, seed: int = 11) -> None:
         rng, params = np.random.default_rng(seed), [*self.conv, self.bias, self.dense, self.dense_bias]
         m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        filters = np.arange(len(self.bias))
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for lo in range(0, len(x), batch):
                 some = order[lo : lo + batch]
-                xb, rows = x[some], np.arange(len(some))
-                resp = self.responses(xb)
-                at = resp.argmax(axis=1)  # (n, filters)
-                pooled = np.take_along_axis(resp, at[:, None, :], axis=1)[:, 0] + self.bias
-                hidden = np.maximum(pooled, 0)
-                z = hidden @ self.dense + self.dense_bias
-                p = np.exp(z - z.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[rows, y[some]] -= 1
-                p /= len(some)
-                back = (p @ self.dense.T) * (pooled > 0)
-                pad = np.zeros((len(some), xb.shape[1] + len(self.conv)), dtype=np.uint8)
-                pad[:, : xb.shape[1]] = xb
-                grads = []
-                for k, w in enumerate(self.conv):
-                    f = w.shape[1]
-                    cell = pad[rows[:, None], at[:, :f] + k].astype(np.int64) * f + filters[:f]
-                    grads.append(np.bincount(cell.ravel(), back[:, :f].ravel(), minlength=256 * f).reshape(256, f))
-                grads += [back.sum(axis=0), hidden.T @ p, p.sum(axis=0)]
                 step += 1
-                for i, g in enumerate(grads):
+                for i, g in enumerate(self.gradients(x[some], y[some])):
                     m[i] += 0.1 * (g - m[i])
                     v[i] += 0.001 * (g * g - v[i])
                     rate = 0.01 / (1 - 0.9**step)
@@ -130,15 +135,14 @@ def held_out() -> Column:
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> ByteCnn | None:
     """docs(doc_id, text, lang) -> a network, or None if no row can be learned from."""
     rows = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null and doc_id is not null").where(~held_out())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    if not counts:
-        return None
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_lang / n))])
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row a language, as the network has a class a language
+    drawn = rows.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < F.least(F.lit(1.0), per_lang / F.col("n")) * 1_000_000)
     room = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
     cuts = F.array(*[F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(i)), room).cast("int") + 1, F.lit(WINDOW)) for i in range(SAMPLES)])
     found = drawn.select("doc_id", "lang", F.explode(F.array_distinct(cuts)).alias("cut")).toPandas().sort_values(["doc_id", "lang", "cut"])
     langs = sorted(found["lang"].unique())
+    if not langs:
+        return None
     x = np.zeros((len(found), WINDOW), dtype=np.uint8)
     for i, t in enumerate(found["cut"]):
         b = t.lower().encode("utf-8", "replace")[:WINDOW]
@@ -163,18 +167,25 @@ def identify(docs: DataFrame, net: ByteCnn | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def known_language(docs: DataFrame, net: ByteCnn | None) -> DataFrame:
-    """docs without the rows that identify() calls `und`; the columns that it came with."""
-    if net is None:
-        return docs.limit(0)
+def assign(docs: DataFrame, net: ByteCnn | None) -> DataFrame:
+    """docs with lang as the network predicts it, without the rows that it rejects: those that are `und`, and those whose score is below MIN_SCORE.
+
+    All other columns stay as they came. Without a network (nothing to learn from) lang stays too, and only rows without a letter go.
+    """
     columns = docs.schema
+    place = {c: i for i, c in enumerate(docs.columns)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index("text")
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                yield part.filter(pa.array([k != UNKNOWN for k in net.predict(part.column(at).to_pylist())[0]], type=pa.bool_()))
+                texts = part.column(place["text"]).to_pylist()
+                if net is None:
+                    yield part.filter(pa.array([t is not None and any(map(str.isalpha, t)) for t in texts], type=pa.bool_()))
+                    continue
+                lang, score = net.predict(texts)
+                part = part.set_column(place["lang"], b.schema.field(place["lang"]), pa.array(lang, type=b.schema.field(place["lang"]).type))
+                yield part.filter(pa.array([k != UNKNOWN and s >= MIN_SCORE for k, s in zip(lang, score, strict=True)], type=pa.bool_()))
 
     return docs.mapInArrow(run, columns)
 

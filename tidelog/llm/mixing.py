@@ -11,7 +11,8 @@ time find the one range in which the budget ends, and only that range is sorted.
 
 Defined results: null text has size 0; null source is a source of its own, the last; a document of size 0 is
 never taken (taken 0, as every repetition of it has no words); repeated rows are documents of their own and may have different
-counts; a null doc_id takes part like any other. An empty table gives an empty table.
+counts; a row with a null doc_id takes part like any other, its place in the shuffle given by its text. Texts of any length are read whole; other
+columns are not read (apply() hands them on). An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import join_counted, keep, table
 
 WEIGHTS = (1, 2, 3)
 EPOCHS = 3
@@ -53,7 +54,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, key: str = "mix", row: Column | None = None) -> DataFrame:
     """docs(doc_id, text, source) -> doc_id, size, source_size, target, taken, and the expression `row` if given; one row a document."""
-    d = keep(docs.select("doc_id", "source", words("text").alias("size"), F.md5(F.concat(F.lit(f"{key}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("order"), (F.lit(None) if row is None else row).cast("string").alias("row")), "sizes")
+    d = keep(docs.select("doc_id", "source", words("text").alias("size"), F.md5(F.concat(F.lit(f"{key}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.coalesce(F.col("text"), F.lit("")))))).alias("order"), (F.lit(None) if row is None else row).cast("string").alias("row")), "sizes")
     by_source = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     t = targets(by_source.select("source", "source_size"), weights, epochs).join(by_source.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     t = keep(t.withColumn("bins", F.ceil(F.col("n") / BIN_ROWS)), "targets")
@@ -104,7 +105,8 @@ def apply(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPO
     d = docs.withColumn("tl_row", row)
     out = d.join(copies.where("tl_rows = 1"), d["tl_row"] == copies["row"])
     if not (alike := copies.where("tl_rows > 1")).isEmpty():
-        out = out.unionByName(d.join(alike, d["tl_row"] == alike["row"]).dropDuplicates(["tl_row"]))
+        alike = alike.select(F.col("row").alias("tl_row"), "row", "tl_copies", "tl_rows", F.col("tl_rows").alias("tl_n"))
+        out = out.unionByName(join_counted(d, alike, ["tl_row"], d.count()).dropDuplicates(["tl_row"]).select(*out.columns))
     return out.withColumn("tl_copy", F.explode(F.sequence(F.lit(1), F.col("tl_copies")))).select(*columns)
 
 
@@ -115,7 +117,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS o FROM documents),
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || coalesce(text, ''))) AS o FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, CAST(source_size * 3 AS DOUBLE) AS cap, sum(source_size) OVER () AS total FROM s),
 r AS (SELECT *, cap / weight AS ratio FROM w),

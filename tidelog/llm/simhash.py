@@ -9,12 +9,14 @@ the tables of part pairs (15 of about 21 bits for radius 4). Within a key of suc
 of 64 lanes a word. A fingerprint is compared with 64 others at once: plane by plane, XOR with its bit, added into bitwise
 counters with carry-save; words are abandoned as soon as all lanes exceed the radius. This is exact: no link is lost.
 
+Fingerprints go to their classes by a join that broadcasts the few classes with a large share of all documents (common.join_counted).
 Oversized keys are dealt to several tasks in pairs of parts (common.blocked), and each group hands on a
 spanning forest of its links and not its pairs. Components come from common.connected_components.
 
 Defined results: null or word-less text has fingerprint zero and links like any other; fewer than four words are one
 shingle; a null doc_id gets its fingerprint and the component of its class; repeated rows return repeated rows; component_id is the smallest
-non-null doc_id of the component, null if there is none. An empty table gives an empty table.
+non-null doc_id of the component, null if there is none. Texts of any length are read whole. Other columns are not read. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import blocked, connected_components, grouped, hook, keep, starts, table
+from .common import blocked, connected_components, grouped, hook, join_counted, keep, starts, table
 
 RADIUS = 4
 SHINGLE = 4
@@ -53,14 +56,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, fp (the 64 bits as a signed long)."""
+    """docs(doc_id, text, ...) -> fp (the 64 bits as a signed long) and the other columns but text."""
+    others = [c for c in docs.columns if c != "text"]
+    x = docs.select(F.col("text").cast("string"), *others)
+    schema = StructType([StructField("fp", LongType()), *x.drop("text").schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(0)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), *b.columns[1:]], ["fp", *others])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return x.mapInArrow(run, schema)
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -160,23 +166,27 @@ def links(classes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataF
 
 def simhash(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """docs(doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id."""
-    fps = keep(fingerprints(docs, shingle, seed), "fingerprints")
-    classes = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    fps = keep(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle, seed), "fingerprints")
+    classes = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("tl_n")), "classes")
     found = connected_components(links(classes.where("rep is not null"), radius))
-    classes = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = fps.join(classes, "fp", "left")
+    classes = classes.join(found, classes["rep"] == found["node"], "left").select("fp", "tl_n", F.coalesce("component", "rep").alias("component_id"))
+    out = join_counted(fps, classes, ["fp"], fps.count())
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with the columns it came with, and of each component the document of the smallest doc_id.
+def deduplicate(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """docs with the columns it came with, and of each component of fingerprints one row: that of the smallest doc_id, null last.
 
-    Rows without a doc_id are kept. Of rows that repeat a doc_id one stays (Spark's choice among different texts).
+    Rows are told apart by a hash of all columns, the least of which decides among rows of one doc_id: so rows of one doc_id but different texts
+    are documents of their own, rows without a doc_id are compared like any other, and of rows alike in all columns one stays.
     """
-    columns = docs.columns
-    found = simhash(docs, radius).where("doc_id = component_id").select(F.col("doc_id").alias("tl_id")).distinct()
-    best = docs.join(found, docs["doc_id"] == found["tl_id"], "left_semi").dropDuplicates(["doc_id"])
-    return best.unionByName(docs.where("doc_id is null")).select(*[f"`{c}`" for c in columns])
+    columns, row, best = docs.columns, F.sha2(F.to_json(F.struct("*")), 256), F.struct(F.col("tl_id").isNull(), "tl_id", "tl_row")
+    fps = keep(fingerprints(docs.select(F.col("doc_id").cast("long").alias("tl_id"), row.alias("tl_row"), "text"), shingle, seed), "fingerprints")
+    classes = keep(fps.groupBy("fp").agg(F.min(best).alias("best")), "classes")
+    found = connected_components(links(classes.select("fp", F.col("fp").alias("rep")), radius))
+    kept = classes.join(found, classes["fp"] == found["node"], "left").groupBy(F.coalesce("component", "fp")).agg(F.min("best").alias("best"))
+    kept = kept.select(F.col("best.tl_row").alias("tl_row"))
+    return docs.withColumn("tl_row", row).join(kept, "tl_row", "left_semi").dropDuplicates(["tl_row"]).select(*[f"`{c}`" for c in columns])
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
