@@ -49,6 +49,43 @@ def test_against_brute_force(spark, block):
     assert sorted(got, key=key) == sorted(brute(ids, vectors), key=key)
 
 
+@pytest.mark.parametrize("dim", [4, 16, 768])
+def test_dimensions(spark, dim):
+    """Planted neighbours at angles around the threshold, in other dimensions, through the whole query."""
+    rng, rows = np.random.default_rng(dim), []
+    for c in rng.normal(size=(60, dim)):
+        c /= np.linalg.norm(c)
+        n = rng.normal(size=dim)
+        n -= n @ c * c
+        n /= np.linalg.norm(n)
+        rows += [c.tolist()] + [(cos * c + np.sqrt(1 - cos * cos) * n).tolist() for cos in (0.99, 0.96, 0.951, 0.94)]
+    ids = list(range(len(rows)))
+    got = {r.vec_id: r.n_links for r in lattice.near_duplicates(spark.createDataFrame(list(zip(ids, rows, strict=True)), "vec_id long, embedding array<double>")).collect()}
+    want = {i: n for i, n, _ in brute(ids, rows)}
+    assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.9 * sum(want.values())
+
+
+def test_large_group_is_sent_once(spark):
+    """Many near copies: a few balls a part settle the counts, and no member is sent to another part."""
+    rng = np.random.default_rng(1)
+    c = rng.normal(size=16)
+    d = spark.createDataFrame([(i, (c + 0.01 * rng.normal(size=16)).tolist()) for i in range(3000)], "vec_id long, embedding array<double>")
+    sent, dealt = [], lattice.blocked
+
+    def counted(rows, *args, **kw):
+        sent.append(rows.count())
+        return dealt(rows, *args, **kw)
+
+    lattice.blocked = counted
+    try:
+        got = lattice.near_duplicates(d, block=100)
+        assert got.where("n_links = 2999 and component_id = 0").count() == 3000
+    finally:
+        lattice.blocked = dealt
+    members = [n for n in sent if n > 1500]
+    assert not members, sent
+
+
 def test_recall_at_the_threshold():
     rng = np.random.default_rng(4)
     u = rng.normal(size=(2000, 64))

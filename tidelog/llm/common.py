@@ -136,16 +136,20 @@ def starts(x: pd.DataFrame, by: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), len(x))
 
 
-def blocked(rows: DataFrame, key: list[str], spread: str, block: int) -> DataFrame:
+def blocked(rows: DataFrame, key: list[str], spread: str, block: int, total: int, hubs: int = 2000) -> DataFrame:
     """Deal out the members of each key so that all pairs of members meet, in groups of at most about 2 * block.
 
     A key with at most `block` members is one group (bi = bj = 0). A larger one is cut in
     n = ceil(members / block) parts by the column `spread`; each pair of parts (bi <= bj) is a group, so a member is
     sent n times rather than once, and no task holds an oversized key. Adds bi, bj and mine (the member's own part).
+    total: the number of rows, or more; keys with over total / hubs of them are told by a broadcast, at most `hubs` rows.
     """
     hot = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("tl_n")).where(F.col("tl_n") > block)
-    hot = hot.select(*key, F.ceil(F.col("tl_n") / block).cast("int").alias("tl_parts"))
-    x = rows.join(hot, key, "left").withColumn("tl_parts", F.coalesce("tl_parts", F.lit(1)))
+    hot = hot.select(*key, "tl_n", F.ceil(F.col("tl_n") / block).cast("int").alias("tl_parts"))
+    limit = max(block, total // hubs)
+    very = hot.where(F.col("tl_n") > limit).drop("tl_n")
+    rest = rows.join(F.broadcast(very.select(*key)), key, "left_anti").join(hot.where(F.col("tl_n") <= limit).drop("tl_n"), key, "left")
+    x = rows.join(F.broadcast(very), key).unionByName(rest).withColumn("tl_parts", F.coalesce("tl_parts", F.lit(1)))
     x = x.withColumn("mine", F.pmod(F.xxhash64(spread), F.col("tl_parts")).cast("int"))
     x = x.withColumn("tl_other", F.explode(F.sequence(F.lit(0), F.col("tl_parts") - 1)))
     x = x.withColumn("bi", F.least("mine", "tl_other")).withColumn("bj", F.greatest("mine", "tl_other"))

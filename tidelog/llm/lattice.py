@@ -6,17 +6,21 @@ Each vector is filed under its own cell and under PROBES neighbouring cells of e
 minimal vector points most in the direction in which the vector leaves the centre of its cell. Near vectors share at least one
 cell of one table with high probability (the recall is measured in the tests), and every candidate is verified by cosine in double precision.
 
-1. Within a cell, vectors are compared by matrix products; what leaves a task is a spanning forest of the links found,
-   never the pairs. A cell of more than BLOCK members is dealt to several tasks in pairs of parts.
+1. Cells are filed as (key, representative) only; keys with one member go, and vectors are fetched for what is left. Within a cell, vectors
+   are compared by matrix products; what leaves a task is a spanning forest of the links found, never the pairs. A cell of more than BLOCK
+   members is cut in parts. Inside a part members gather in balls: those within a quarter of the threshold's angle of a leader. Then
+   leaders alone are compared across parts, and only the members of balls that this leaves undecided meet across parts, in pairs of parts.
 2. Components follow from the forests.
-3. All links lie inside components. Within each component every pair is compared once, in pairs of parts again, which also finds links
-   that the cells missed, and only the counts leave a task. Tight balls need no comparison: members within a quarter of the
-   threshold's angle of a leader all link with each other; two balls whose angle is clear of the threshold on either
-   side link wholly or not at all, so their counts follow from the leaders. That keeps large groups of near copies linear.
+3. All links lie inside components. Within each component every pair is compared once, which also finds links that the cells missed, and only the
+   counts leave a task. Balls save work here too: all members of a ball link with each other; two balls whose angle is clear of the threshold on
+   either side link wholly or not at all, so their counts follow from the leaders and weights. A component of more than BLOCK members is cut as a
+   cell is. So a large group of near copies, which is few balls a part, is sent once. A large and loose component, whose balls are undecided,
+   is sent as often as it has parts.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; so do vectors of
 other lengths. n_links counts rows: copies of a vector link with each other. A null vec_id takes no part: n_links 0, component_id null,
-kept null. A repeated vec_id keeps its rows. An empty table gives an empty table. Other columns (labels) are not read.
+kept null. A repeated vec_id keeps its rows. Ties are none: a link is a cosine at or above the threshold. An empty table gives an empty table. Other
+columns (labels) are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocked, connected_components, grouped, hook, keep, starts, table
+from .common import blocked, connected_components, grouped, hook, join_counted, keep, starts, table
 
 COSINE = 0.95
 TABLES = 4
@@ -135,9 +139,57 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return v.select("vec_id", "h1", "h2"), one
 
 
+def _balls(u: np.ndarray, angle: float) -> tuple[np.ndarray, np.ndarray]:
+    """Leader of each row, and each leader's radius in radians: rows join the first leader within a quarter of the angle."""
+    leader, free, radius, near = np.full(len(u), -1), np.arange(len(u)), np.zeros(len(u)), np.cos(angle / 4)
+    while len(free):
+        dot = u[free] @ u[free[0]]
+        dot[0] = 1.0
+        mine = dot >= near
+        leader[free[mine]] = free[0]
+        radius[free[0]] = np.arccos(np.clip(dot[mine].min(), -1, 1))
+        free = free[~mine]
+    return leader, radius
+
+
+def _between(u: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Angles of rows and one vector, summed row by row, so that the same two vectors give the same angle in any task."""
+    return np.arccos(np.clip((u * one).sum(axis=1), -1, 1))
+
+
+def _groups(x: pd.DataFrame, keys: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
+    """Rows of each group of a sorted frame, those of vectors of another length apart, and whether the group is one part."""
+    bounds, size = starts(x, keys), x["vec"].map(len).to_numpy()
+    same = (x["bi"] == x["bj"]).to_numpy()
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if (size[lo:hi] == size[lo]).all():
+            yield np.arange(lo, hi), bool(same[lo])
+        else:
+            for s in np.unique(size[lo:hi]):
+                yield lo + np.flatnonzero(size[lo:hi] == s), bool(same[lo])
+
+
+_KEYS = ["key", "bi", "bj"]
+_SLACK = 1e-9
+
+
+def _dealt(rows: DataFrame, vectors: DataFrame, block: int, total: int, by: str = "rep", spread: str | None = None) -> DataFrame:
+    """rows(key, <by>, ...) dealt to groups by blocked(), with the columns of vectors(<by>, ...), sorted by group."""
+    x = blocked(rows, ["key"], spread or by, block, total).join(vectors, by)
+    return x.repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+
+
+def _parts(rows: DataFrame, sizes: DataFrame, vectors: DataFrame, block: int, total: int) -> DataFrame:
+    """rows(key, rep) of the keys of sizes(key, tl_n), each key cut in parts as groups of their own (bi = bj), with the vectors."""
+    x = join_counted(rows, sizes.withColumn("parts", F.ceil(F.col("tl_n") / block).cast("int")), ["key"], total)
+    x = x.withColumn("bi", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("bj", F.col("bi"))
+    return x.join(vectors, "rep").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+
+
 def links(reps: DataFrame, cosine: float = COSINE, block: int = BLOCK, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """reps(rep, vec binary of doubles) -> (a, b) of reps: a forest of the links found in the cells."""
-    keys = ["key", "bi", "bj"]
+    angle = float(np.arccos(cosine))
+    vectors = reps.select("rep", "vec")
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -146,94 +198,179 @@ def links(reps: DataFrame, cosine: float = COSINE, block: int = BLOCK, tables: i
                 for lo in range(0, len(part), 512):
                     some = part.iloc[lo : lo + 512]
                     k = cells(_unit(_matrix(some["vec"])), tables=tables, probes=probes)
-                    n = k.shape[1]
-                    yield pd.DataFrame({"key": k.ravel(), "rep": np.repeat(some["rep"].to_numpy(), n), "vec": some["vec"].repeat(n).to_numpy()})
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in grouped(batches, keys):
-            b, rep, size = starts(x, keys), x["rep"].to_numpy(), x["vec"].map(len).to_numpy()
-            wide = np.flatnonzero(np.diff(b) > 1)
-            left, right = [], []
-            for g in wide:
-                lo, hi = int(b[g]), int(b[g + 1])
-                if (size[lo:hi] != size[lo]).any():  # cells of other lengths that collide
-                    lengths = np.unique(size[lo:hi])
-                    sets = [lo + np.flatnonzero(size[lo:hi] == s) for s in lengths]
-                else:
-                    sets = [np.arange(lo, hi)]
-                for rows in sets:
-                    u = _unit(_matrix(x["vec"].iloc[rows]))
-                    label = np.arange(len(rows))
-                    for top in range(0, len(rows), 512):
-                        i, j = np.nonzero(u[top : top + 512] @ u.T >= cosine)
-                        i += top
-                        hook(label, i[i < j], j[i < j])
-                    up = np.flatnonzero(label != np.arange(len(rows)))
-                    left.append(rep[rows[up]])
-                    right.append(rep[rows[label[up]]])
-            if left:
-                out = pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
-                yield out[out["a"] != out["b"]].drop_duplicates()
-
-    filed = reps.select("rep", "vec").mapInPandas(file, "key long, rep long, vec binary")
-    dealt = blocked(filed, ["key"], "rep", block).drop("mine").repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInPandas(compare, "a long, b long")
-
-
-def counts(members: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
-    """members(component, rep, n, vec) -> rep, links: rows that each vector of a component links with, its own copies included."""
-    keys = ["component", "bi", "bj"]
+                    yield pd.DataFrame({"key": k.ravel(), "rep": np.repeat(some["rep"].to_numpy(), k.shape[1])})
+
+    def forest(u: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The index of each row's root, by links of left rows with right rows."""
+        label = np.arange(len(u))
+        for top in range(0, len(left), 512):
+            i, j = np.nonzero(u[left[top : top + 512]] @ u[right].T >= cosine)
+            i, j = left[i + top], right[j]
+            hook(label, i[i != j], j[i != j])
+        return label
+
+    def edges(rep: np.ndarray, label: np.ndarray) -> pd.DataFrame:
+        up = np.flatnonzero(label != np.arange(len(label)))
+        return pd.DataFrame({"a": rep[up], "b": rep[label[up]]})
+
+    def sides(x: pd.DataFrame, rows: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Indices within rows of the two parts that meet."""
+        if same:
+            return (np.arange(len(rows)),) * 2
+        mine, bi = x["mine"].to_numpy()[rows], x["bi"].iloc[rows[0]]
+        return np.flatnonzero(mine == bi), np.flatnonzero(mine != bi)
+
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Links within parts, and the balls of those keys that have other parts."""
+        for x in grouped(batches, _KEYS):
+            rep, key, many, out = x["rep"].to_numpy(), x["key"].to_numpy(), (x["parts"] > 1).to_numpy(), []
+            for rows, _ in _groups(x, _KEYS):
+                if len(rows) == 1 and not many[rows[0]]:
+                    continue
+                u = _unit(_matrix(x["vec"].iloc[rows]))
+                out.append(edges(rep[rows], forest(u, np.arange(len(rows)), np.arange(len(rows)))).drop_duplicates().assign(key=0, radius=-1.0))
+                if many[rows[0]]:
+                    leader, radius = _balls(u, angle)
+                    out.append(pd.DataFrame({"a": rep[rows], "b": rep[rows[leader]], "key": key[rows], "radius": radius[leader]}))
+            if out:
+                yield pd.concat(out)
+
+    def leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Links of leaders across parts (radius -1), and leaders of balls that may hold others (radius 0)."""
+        for x in grouped(batches, _KEYS):
+            rep, key, reach, out = x["rep"].to_numpy(), x["key"].to_numpy(), x["radius"].to_numpy(), []
+            for rows, same in _groups(x, _KEYS):
+                u = _unit(_matrix(x["vec"].iloc[rows]))
+                left, right = sides(x, rows, same)
+                label = forest(u, left, right)
+                out.append(edges(rep[rows], label).assign(key=0, radius=-1.0))
+                open_ = np.zeros(len(rows), dtype=bool)
+                for i in left.tolist():
+                    j = right[label[right] != label[i]]
+                    close = _between(u[j], u[i]) - reach[rows[i]] - reach[rows[j]] <= angle + _SLACK
+                    open_[j[close]] = True
+                    open_[i] |= close.any()
+                hit = rows[open_]
+                out.append(pd.DataFrame({"a": rep[hit], "b": rep[hit], "key": key[hit], "radius": 0.0}))
+            yield pd.concat(out)
+
+    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in grouped(batches, _KEYS):
+            rep, out = x["rep"].to_numpy(), []
+            for rows, same in _groups(x, _KEYS):
+                u = _unit(_matrix(x["vec"].iloc[rows]))
+                out.append(edges(rep[rows], forest(u, *sides(x, rows, same))))
+            yield pd.concat(out).drop_duplicates()
+
+    filed = keep(vectors.mapInPandas(file, "key long, rep long"), "cells")
+    total = filed.count()
+    sizes = filed.groupBy("key").agg(F.count(F.lit(1)).alias("tl_n")).where("tl_n > 1")
+    row = "a long, b long, key long, radius double"
+    first = keep(_parts(filed, sizes, vectors, block, total).mapInPandas(inside, row), "balls")
+    found = first.where("radius < 0").select("a", "b")
+    balls = first.where("radius >= 0").select("key", F.col("a").alias("rep"), F.col("b").alias("lead"), "radius")
+    if balls.isEmpty():
+        return found
+    tops = balls.groupBy("key", F.col("lead").alias("rep")).agg(F.max("radius").alias("radius"))
+    second = keep(_dealt(tops, vectors, block, total).mapInPandas(leaders, row), "leaders")
+    left = second.where("radius >= 0").select("key", F.col("a").alias("lead")).distinct()
+    third = _dealt(balls.join(left, ["key", "lead"]).select("key", "rep"), vectors, block, total).mapInPandas(across, "a long, b long")
+    return found.unionByName(second.where("radius < 0").select("a", "b")).unionByName(third)
+
+
+def counts(found: DataFrame, vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+    """found(node, component), vectors(rep, n, vec) -> rep, links: rows that each vector of a component links with, its own copies included."""
     angle = float(np.arccos(cosine))
-    slack = 1e-9
-
-    def balls(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Leader of each row, and each leader's radius in radians: rows join the first leader within a quarter of the angle."""
-        leader, free = np.full(len(u), -1), np.arange(len(u))
-        radius = np.zeros(len(u))
-        near = np.cos(angle / 4)
-        while len(free):
-            dot = u[free] @ u[free[0]]
-            dot[0] = 1.0
-            mine = dot >= near
-            leader[free[mine]] = free[0]
-            radius[free[0]] = np.arccos(np.clip(dot[mine].min(), -1, 1))
-            free = free[~mine]
-        return leader, radius
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in grouped(batches, keys):
-            bounds = starts(x, keys)
-            out = []
-            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                g = x.iloc[lo:hi]
-                u, n, mine = _unit(_matrix(g["vec"])), g["n"].to_numpy(), g["mine"].to_numpy()
-                same = g["bi"].iloc[0] == g["bj"].iloc[0]
-                total = np.zeros(len(g), dtype=np.int64)
-                sides = [(np.arange(len(g)),) * 2] if same else [(np.flatnonzero(mine == g["bi"].iloc[0]), np.flatnonzero(mine == g["bj"].iloc[0]))]
-                leader, radius = balls(u)
-                for a, b in sides:
-                    lb, at = np.unique(leader[b], return_inverse=True)
-                    weight = np.bincount(at, n[b], minlength=len(lb)).astype(np.int64)
-                    order = a[np.argsort(leader[a], kind="stable")]
-                    la, first = np.unique(leader[order], return_index=True)
-                    for p, rows in zip(la.tolist(), np.split(order, first[1:]), strict=True):
-                        between = np.arccos(np.clip(u[lb] @ u[p], -1, 1))
-                        between[lb == p] = 0.0
-                        reach = radius[p] + radius[lb]
-                        every, none = between + reach <= angle - slack, between - reach > angle + slack
-                        total[rows] += weight[every].sum()
-                        others = b[(~every & ~none)[at]]
-                        hit = u[rows] @ u[others].T >= cosine
-                        hit |= rows[:, None] == others  # a vector links with its own copies
-                        total[rows] += hit @ n[others]
-                        if not same:
-                            total[b[every[at]]] += n[rows].sum()
-                            total[others] += hit.T @ n[rows]
-                out.append(pd.DataFrame({"rep": g["rep"].to_numpy(), "links": total}))
+
+    def tally(u: np.ndarray, n: np.ndarray, ball: np.ndarray, lead: np.ndarray, radius: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool, decided: bool) -> np.ndarray:
+        """Weights that rows of a and b link with; ball: the row's place in lead and radius. Pairs of balls decided by their leaders count if `decided`."""
+        total = np.zeros(len(u), dtype=np.int64)
+        if not len(a) or not len(b):
+            return total
+        lb, at = np.unique(ball[b], return_inverse=True)
+        weight = np.bincount(at, n[b], minlength=len(lb)).astype(np.int64)
+        order = a[np.argsort(ball[a], kind="stable")]
+        la, first = np.unique(ball[order], return_index=True)
+        for p, rows in zip(la.tolist(), np.split(order, first[1:]), strict=True):
+            between = _between(lead[lb], lead[p])
+            between[lb == p] = 0.0
+            reach = radius[p] + radius[lb]
+            every, none = between + reach <= angle - _SLACK, between - reach > angle + _SLACK
+            if decided:
+                total[rows] += weight[every].sum()
+                if not same:
+                    total[b[every[at]]] += n[rows].sum()
+            others = b[(~every & ~none)[at]]
+            hit = u[rows] @ u[others].T >= cosine
+            hit |= rows[:, None] == others  # a vector links with its own copies
+            total[rows] += hit @ n[others]
+            if not same:
+                total[others] += hit.T @ n[rows]
+        return total
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Components of one part are counted; of others the balls of each part are given."""
+        for x in grouped(batches, _KEYS):
+            rep, key, n, many, out = x["rep"].to_numpy(), x["key"].to_numpy(), x["n"].to_numpy(), (x["parts"] > 1).to_numpy(), []
+            for rows, _ in _groups(x, _KEYS):
+                u = _unit(_matrix(x["vec"].iloc[rows]))
+                leader, radius = _balls(u, angle)
+                if many[rows[0]]:
+                    out.append(pd.DataFrame({"rep": rep[rows], "links": n[rows], "lead": rep[rows[leader]], "key": key[rows], "radius": radius[leader]}))
+                else:
+                    every = np.arange(len(rows))
+                    out.append(pd.DataFrame({"rep": rep[rows], "links": tally(u, n[rows], leader, u, radius, every, every, True, True), "lead": 0, "key": 0, "radius": -1.0}))
+            yield pd.concat(out)
+
+    def leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """What each ball links with wholly, and whether another ball is undecided."""
+        for x in grouped(batches, _KEYS):
+            rep, weight, radius, mine, out = x["rep"].to_numpy(), x["weight"].to_numpy(), x["radius"].to_numpy(), x["mine"].to_numpy(), []
+            for rows, same in _groups(x, _KEYS):
+                u, bi = _unit(_matrix(x["vec"].iloc[rows])), x["bi"].iloc[rows[0]]
+                left, right = (np.arange(len(rows)),) * 2 if same else (np.flatnonzero(mine[rows] == bi), np.flatnonzero(mine[rows] != bi))
+                total, open_ = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=bool)
+                for i in left.tolist():
+                    between, reach = _between(u[right], u[i]), radius[rows[i]] + radius[rows[right]]
+                    between[right == i] = 0.0
+                    every, none = between + reach <= angle - _SLACK, between - reach > angle + _SLACK
+                    total[i] += weight[rows[right[every]]].sum()
+                    if not same:
+                        total[right[every]] += weight[rows[i]]
+                    unsure = ~every & ~none
+                    open_[i] |= unsure.any()
+                    open_[right[unsure]] = True
+                out.append(pd.DataFrame({"lead": rep[rows], "every": total, "open": open_}))
+            yield pd.concat(out)
+
+    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Members of undecided balls, pair by pair where their balls are undecided."""
+        for x in grouped(batches, _KEYS):
+            rep, n, mine, reach, out = x["rep"].to_numpy(), x["n"].to_numpy(), x["mine"].to_numpy(), x["radius"].to_numpy(), []
+            for rows, same in _groups(x, _KEYS):
+                u, bi = _unit(_matrix(x["vec"].iloc[rows])), x["bi"].iloc[rows[0]]
+                _, first, ball = np.unique(x["lead"].to_numpy()[rows], return_index=True, return_inverse=True)
+                lead = _unit(_matrix(x["top"].iloc[rows[first]]))
+                left, right = (np.arange(len(rows)),) * 2 if same else (np.flatnonzero(mine[rows] == bi), np.flatnonzero(mine[rows] != bi))
+                out.append(pd.DataFrame({"rep": rep[rows], "links": tally(u, n[rows], ball, lead, reach[rows[first]], left, right, same, False)}))
             yield pd.concat(out)
 
-    dealt = blocked(members, ["component"], "rep", block).repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInPandas(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+    rows = found.select(F.col("component").alias("key"), F.col("node").alias("rep"))
+    total = found.count()
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("tl_n"))
+    first = keep(_parts(rows, sizes, vectors, block, total).mapInPandas(whole, "rep long, links long, lead long, key long, radius double"), "counts")
+    small = first.where("radius < 0").select("rep", "links")
+    balls = first.where("radius >= 0").select("key", "rep", "lead", "radius", F.col("links").alias("weight"))
+    if balls.isEmpty():
+        return small
+    tops = balls.groupBy("key", F.col("lead").alias("rep")).agg(F.max("radius").alias("radius"), F.sum("weight").alias("weight"))
+    decided = _dealt(tops, vectors.select("rep", "vec"), block, total).mapInPandas(leaders, "lead long, every long, open boolean")
+    decided = keep(decided.groupBy("lead").agg(F.sum("every").alias("every"), F.max("open").alias("open")), "decided")
+    left = balls.join(decided.where("open"), "lead").select("key", "rep", "lead", "radius")
+    left = blocked(left, ["key"], "lead", block, total).join(vectors, "rep").join(vectors.select(F.col("rep").alias("lead"), F.col("vec").alias("top")), "lead")
+    hits = left.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInPandas(across, "rep long, links long")
+    large = balls.join(decided, "lead").select("rep", F.col("every").alias("links")).unionByName(hits)
+    return small.unionByName(large.groupBy("rep").agg(F.sum("links").alias("links")))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
@@ -246,13 +383,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     members, one = classes(vectors)
     one = keep(one.mapInArrow(flat, "h1 long, h2 long, rep long, n long, vec binary"), "vectors")
     found = keep(connected_components(links(one, cosine, block)), "components")
-    inside = found.join(one, found["node"] == one["rep"]).select("component", "rep", "n", "vec")
-    number = counts(inside, cosine, block)
+    number = counts(found, one.select("rep", "n", "vec"), cosine, block)
     known = one.select("h1", "h2", "rep", "n").join(number, "rep", "left").join(found, F.col("rep") == found["node"], "left")
-    known = known.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), (F.coalesce("links", "n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = members.join(known, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+    known = known.select("h1", "h2", F.col("n").alias("tl_n"), (F.coalesce("links", "n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    linked = join_counted(members.where("h1 is not null"), known, ["h1", "h2"], one.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    out = linked.unionByName(members.where("h1 is null").withColumn("n_links", F.lit(0).cast("long")).withColumn("component_id", F.col("vec_id")))
+    return out.select("vec_id", "n_links", "component_id", (F.col("component_id") == F.col("vec_id")).alias("kept"))
 
 
 def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:

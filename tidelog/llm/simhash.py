@@ -160,7 +160,7 @@ def links(classes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataF
             rep, up = x["rep"].to_numpy(), label != np.arange(len(x))
             yield pd.DataFrame({"a": rep[up], "b": rep[label[up]]})
 
-    dealt = blocked(rows, ["key"], "fp", block).drop("mine").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = blocked(rows, ["key"], "fp", block, len(tables) * classes.count()).drop("mine").repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInPandas(run, "a long, b long")
 
 
