@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from tidelog.llm import common
 
@@ -21,7 +22,7 @@ def test_components_of_paths_hubs_and_random_graphs(spark):
         a, b = find(a), find(b)
         up[max(a, b)] = min(a, b)
     rnd.shuffle(edges)
-    for least in (256, 8):  # 8: every node of more links is a hub
+    for least in (256, 4):  # 4: every node of more links is a hub
         got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long"), least=least).collect()}
         assert got == {x: find(x) for x in up if any(find(x) == find(y) and x != y for y in up)}
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
@@ -51,10 +52,11 @@ def test_groups_are_never_split():
         assert sum(o["k"].nunique() for o in out) == x["k"].nunique()
 
 
-def test_blocked_pairs_meet_once(spark):
+@pytest.mark.parametrize("total", [53, 10**6])  # the large key by a broadcast, or not
+def test_blocked_pairs_meet_once(spark, total):
     d = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 3)) for i in range(n)], "key long, id long")
     met = {}
-    for (k, i, j), g in common.blocked(d, ["key"], "id", 8).toPandas().groupby(["key", "bi", "bj"]):
+    for (k, i, j), g in common.blocked(d, ["key"], "id", 8, total).toPandas().groupby(["key", "bi", "bj"]):
         ids, mine = g["id"].tolist(), dict(zip(g["id"], g["mine"], strict=True))
         for a in ids:
             for b in ids:

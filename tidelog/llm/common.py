@@ -49,7 +49,7 @@ def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_counted(rows: DataFrame, by_key: DataFrame, keys: list[str], total: int, count: str = "tl_n", hubs: int = 2000, least: int = 256) -> DataFrame:
+def join_counted(rows: DataFrame, by_key: DataFrame, keys: list[str], total: int, count: str = "tl_n", hubs: int = 2000, least: int = 32) -> DataFrame:
     """rows joined with by_key, which has one row a key and in `count` the number of the key's rows; every key of rows is in by_key or the row goes.
 
     Keys with more than total / hubs rows, and more than `least`, are broadcast: at most `hubs` rows of by_key, whatever the size. All others
@@ -61,7 +61,7 @@ def join_counted(rows: DataFrame, by_key: DataFrame, keys: list[str], total: int
     return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 
-def connected_components(edges: DataFrame, rounds: int = 50, least: int = 256) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 50, least: int = 32) -> DataFrame:
     """(a, b) links of longs -> (node, component): the smallest id that links reach.
 
     Alternating large-star and small-star rounds until the graph is a forest of stars; each round

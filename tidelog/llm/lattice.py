@@ -25,7 +25,7 @@ columns (labels) are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,7 +40,7 @@ TABLES = 4
 BLOCKS = 2
 PROBES = 3
 SCALE = 0.26
-BLOCK = 2048
+BLOCK = 512
 
 
 def minimal_vectors() -> np.ndarray:
@@ -157,6 +157,15 @@ def _between(u: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip((u * one).sum(axis=1), -1, 1))
 
 
+def _units(x: pd.DataFrame, column: str = "vec") -> Callable[[np.ndarray], np.ndarray]:
+    """Unit vectors of some rows of a frame; all are made at once where they have one length."""
+    size = x[column].map(len)
+    if len(x) and (size == size.iloc[0]).all():
+        every = _unit(_matrix(x[column]))
+        return lambda rows: every[rows]
+    return lambda rows: _unit(_matrix(x[column].iloc[rows]))
+
+
 def _groups(x: pd.DataFrame, keys: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
     """Rows of each group of a sorted frame, those of vectors of another length apart, and whether the group is one part."""
     bounds, size = starts(x, keys), x["vec"].map(len).to_numpy()
@@ -169,6 +178,15 @@ def _groups(x: pd.DataFrame, keys: list[str]) -> Iterator[tuple[np.ndarray, bool
                 yield lo + np.flatnonzero(size[lo:hi] == s), bool(same[lo])
 
 
+def _frame(out: list[tuple], **kinds: str) -> pd.DataFrame:
+    """A frame of columns given in pieces; a piece of one value stands for as many as its row's first piece has."""
+    columns = {}
+    for i, (name, kind) in enumerate(kinds.items()):
+        pieces = [r[i] if isinstance(r[i], np.ndarray) else np.full(len(r[0]), r[i], dtype=kind) for r in out]
+        columns[name] = np.concatenate([np.zeros(0, dtype=kind), *pieces])
+    return pd.DataFrame(columns)
+
+
 _KEYS = ["key", "bi", "bj"]
 _SLACK = 1e-9
 
@@ -209,9 +227,9 @@ def links(reps: DataFrame, cosine: float = COSINE, block: int = BLOCK, tables: i
             hook(label, i[i != j], j[i != j])
         return label
 
-    def edges(rep: np.ndarray, label: np.ndarray) -> pd.DataFrame:
+    def edges(rep: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         up = np.flatnonzero(label != np.arange(len(label)))
-        return pd.DataFrame({"a": rep[up], "b": rep[label[up]]})
+        return rep[up], rep[label[up]]
 
     def sides(x: pd.DataFrame, rows: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
         """Indices within rows of the two parts that meet."""
@@ -223,27 +241,32 @@ def links(reps: DataFrame, cosine: float = COSINE, block: int = BLOCK, tables: i
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Links within parts, and the balls of those keys that have other parts."""
         for x in grouped(batches, _KEYS):
-            rep, key, many, out = x["rep"].to_numpy(), x["key"].to_numpy(), (x["parts"] > 1).to_numpy(), []
+            rep, key, many, out, found = x["rep"].to_numpy(), x["key"].to_numpy(), (x["parts"] > 1).to_numpy(), [], []
+            units = _units(x)
             for rows, _ in _groups(x, _KEYS):
                 if len(rows) == 1 and not many[rows[0]]:
                     continue
-                u = _unit(_matrix(x["vec"].iloc[rows]))
-                out.append(edges(rep[rows], forest(u, np.arange(len(rows)), np.arange(len(rows)))).drop_duplicates().assign(key=0, radius=-1.0))
+                u = units(rows)
+                if len(rows) == 2 and not many[rows[0]]:
+                    if u[0] @ u[1] >= cosine:
+                        found.append((rep[rows[:1]], rep[rows[1:]]))
+                    continue
+                found.append(edges(rep[rows], forest(u, np.arange(len(rows)), np.arange(len(rows)))))
                 if many[rows[0]]:
                     leader, radius = _balls(u, angle)
-                    out.append(pd.DataFrame({"a": rep[rows], "b": rep[rows[leader]], "key": key[rows], "radius": radius[leader]}))
-            if out:
-                yield pd.concat(out)
+                    out.append((rep[rows], rep[rows[leader]], key[rows], radius[leader]))
+            yield pd.concat([_frame(found, a="i8", b="i8").drop_duplicates().assign(key=0, radius=-1.0), _frame(out, a="i8", b="i8", key="i8", radius="f8")])
 
     def leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Links of leaders across parts (radius -1), and leaders of balls that may hold others (radius 0)."""
         for x in grouped(batches, _KEYS):
             rep, key, reach, out = x["rep"].to_numpy(), x["key"].to_numpy(), x["radius"].to_numpy(), []
+            units = _units(x)
             for rows, same in _groups(x, _KEYS):
-                u = _unit(_matrix(x["vec"].iloc[rows]))
+                u = units(rows)
                 left, right = sides(x, rows, same)
                 label = forest(u, left, right)
-                out.append(edges(rep[rows], label).assign(key=0, radius=-1.0))
+                out.append((*edges(rep[rows], label), 0, -1.0))
                 open_ = np.zeros(len(rows), dtype=bool)
                 for i in left.tolist():
                     j = right[label[right] != label[i]]
@@ -251,16 +274,15 @@ def links(reps: DataFrame, cosine: float = COSINE, block: int = BLOCK, tables: i
                     open_[j[close]] = True
                     open_[i] |= close.any()
                 hit = rows[open_]
-                out.append(pd.DataFrame({"a": rep[hit], "b": rep[hit], "key": key[hit], "radius": 0.0}))
-            yield pd.concat(out)
+                out.append((rep[hit], rep[hit], key[hit], 0.0))
+            yield _frame(out, a="i8", b="i8", key="i8", radius="f8")
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in grouped(batches, _KEYS):
-            rep, out = x["rep"].to_numpy(), []
+            rep, out, units = x["rep"].to_numpy(), [], _units(x)
             for rows, same in _groups(x, _KEYS):
-                u = _unit(_matrix(x["vec"].iloc[rows]))
-                out.append(edges(rep[rows], forest(u, *sides(x, rows, same))))
-            yield pd.concat(out).drop_duplicates()
+                out.append(edges(rep[rows], forest(units(rows), *sides(x, rows, same))))
+            yield _frame(out, a="i8", b="i8").drop_duplicates()
 
     filed = keep(vectors.mapInPandas(file, "key long, rep long"), "cells")
     total = filed.count()
@@ -312,15 +334,20 @@ def counts(found: DataFrame, vectors: DataFrame, cosine: float = COSINE, block:
         """Components of one part are counted; of others the balls of each part are given."""
         for x in grouped(batches, _KEYS):
             rep, key, n, many, out = x["rep"].to_numpy(), x["key"].to_numpy(), x["n"].to_numpy(), (x["parts"] > 1).to_numpy(), []
+            units = _units(x)
             for rows, _ in _groups(x, _KEYS):
-                u = _unit(_matrix(x["vec"].iloc[rows]))
-                leader, radius = _balls(u, angle)
+                u = units(rows)
                 if many[rows[0]]:
-                    out.append(pd.DataFrame({"rep": rep[rows], "links": n[rows], "lead": rep[rows[leader]], "key": key[rows], "radius": radius[leader]}))
+                    leader, radius = _balls(u, angle)
+                    out.append((rep[rows], n[rows], rep[rows[leader]], key[rows], radius[leader]))
+                elif len(rows) < 64:
+                    hit = u @ u.T >= cosine
+                    np.fill_diagonal(hit, True)  # a vector links with its own copies
+                    out.append((rep[rows], hit @ n[rows], 0, 0, -1.0))
                 else:
-                    every = np.arange(len(rows))
-                    out.append(pd.DataFrame({"rep": rep[rows], "links": tally(u, n[rows], leader, u, radius, every, every, True, True), "lead": 0, "key": 0, "radius": -1.0}))
-            yield pd.concat(out)
+                    every, (leader, radius) = np.arange(len(rows)), _balls(u, angle)
+                    out.append((rep[rows], tally(u, n[rows], leader, u, radius, every, every, True, True), 0, 0, -1.0))
+            yield _frame(out, rep="i8", links="i8", lead="i8", key="i8", radius="f8")
 
     def leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """What each ball links with wholly, and whether another ball is undecided."""
@@ -340,8 +367,8 @@ def counts(found: DataFrame, vectors: DataFrame, cosine: float = COSINE, block:
                     unsure = ~every & ~none
                     open_[i] |= unsure.any()
                     open_[right[unsure]] = True
-                out.append(pd.DataFrame({"lead": rep[rows], "every": total, "open": open_}))
-            yield pd.concat(out)
+                out.append((rep[rows], total, open_))
+            yield _frame(out, lead="i8", every="i8", open="?")
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Members of undecided balls, pair by pair where their balls are undecided."""
@@ -352,8 +379,8 @@ def counts(found: DataFrame, vectors: DataFrame, cosine: float = COSINE, block:
                 _, first, ball = np.unique(x["lead"].to_numpy()[rows], return_index=True, return_inverse=True)
                 lead = _unit(_matrix(x["top"].iloc[rows[first]]))
                 left, right = (np.arange(len(rows)),) * 2 if same else (np.flatnonzero(mine[rows] == bi), np.flatnonzero(mine[rows] != bi))
-                out.append(pd.DataFrame({"rep": rep[rows], "links": tally(u, n[rows], ball, lead, reach[rows[first]], left, right, same, False)}))
-            yield pd.concat(out)
+                out.append((rep[rows], tally(u, n[rows], ball, lead, reach[rows[first]], left, right, same, False)))
+            yield _frame(out, rep="i8", links="i8")
 
     rows = found.select(F.col("component").alias("key"), F.col("node").alias("rep"))
     total = found.count()
