@@ -51,3 +51,19 @@ def test_a_full_cache_changes_nothing(library, monkeypatch, docs):
     for lo in range(0, 20, 5):
         for t, (ids, _) in zip(texts[lo : lo + 5], m.encode_batch(texts[lo : lo + 5]), strict=True):
             assert list(np.frombuffer(ids, "<u4")) == library.encode(t, add_special_tokens=False).ids
+
+
+def test_long_words_alone(library):
+    """Words beyond the trees of many rows, against the library and against those trees."""
+    import time
+
+    rnd, m = random.Random(3), bpe.WordBpe(bpe.vocabulary_path())
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(n)) for n in (513, 600, 1024, 5000, 32_000)] + ["a" * 3000, "the" * 700]
+    for w in words:
+        ids = np.frombuffer(m.encode_words([w.encode()])[0], dtype="<u4").tolist()
+        assert ids == library.encode(w, add_special_tokens=False).ids
+        if len(w) < 6000:
+            assert m._trees([w.encode()], 1 << (len(w.encode()) - 1).bit_length())[0] == m._tree(w.encode())
+    began = time.process_time()
+    m.encode_words([words[4].encode()])
+    assert time.process_time() - began < 2

@@ -39,3 +39,33 @@ def test_anchors_lose_nothing(model, words, docs):
     rest = {t for r in docs.collect() for t in (r.text or "").split("\n") if not pattern.search(t.lower())}
     rest |= {" ".join(w for w in lic._words(t) if not pattern.search(w)) for ts in lic.TEMPLATES.values() for t in ts}
     assert len(rest) > 100 and all(model.families[model.probabilities(lic._words(t)).argmax()] == lic.UNKNOWN for t in rest)
+
+
+def test_query_against_the_model_on_every_line(spark, sf, docs, words, model):
+    """Every line of every document scored in Python: the same lines, families, probabilities and similarities."""
+    def similarity(text, family):
+        found = set(lic.grams(lic._words(text)))
+        return max(len(found & set(p)) / len(p) for p in map(lic._pairs, lic.TEMPLATES[family]))
+
+    want = {}
+    for r in docs.collect():
+        for i, line in enumerate((r.text or "").split("\n")):
+            p = model.probabilities(lic._words(line))
+            family = model.families[p.argmax()]
+            if family != lic.UNKNOWN and p.max() >= lic.MIN_PROBABILITY:
+                want[r.doc_id, i] = (family, p.max(), similarity(line, family))
+    got = {(r.doc_id, r.paragraph): (r.family, r.probability, r.similarity, r.confirmed) for r in lic.op5_license(spark, sf).collect() if "\n" not in r.text}
+    assert got.keys() == want.keys() and len(want) > 5
+    assert all(got[k][0] == f and abs(got[k][1] - p) < 1e-9 and abs(got[k][2] - s) < 1e-12 and got[k][3] == (s >= lic.CONTAINED) for k, (f, p, s) in want.items())
+
+
+def test_clean_lines_stay_clean(docs, model):
+    """Lines without a notice's rare words are never confirmed: precision over the whole table."""
+    pattern = re.compile(r"licen|copyright|rights reserved|redistribut|permission|public domain|unencumbered|spdx|creative commons|governed by", re.I)
+    lines = {t for r in docs.collect() for t in (r.text or "").split("\n") if t and not pattern.search(t)}
+    assert len(lines) > 100
+    for t in lines:
+        p = model.probabilities(lic._words(t))
+        if model.families[p.argmax()] != lic.UNKNOWN and p.max() >= lic.MIN_PROBABILITY:
+            found = set(lic.grams(lic._words(t)))
+            assert max(len(found & set(q)) / len(q) for q in map(lic._pairs, lic.TEMPLATES[model.families[p.argmax()]])) < lic.CONTAINED

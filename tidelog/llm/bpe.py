@@ -6,7 +6,8 @@ split into words, bytes as printable characters, the last one marked as the end
 Encoding a word: the leaves of a segment tree hold, for each symbol, the rank of the pair that it forms with its right
 neighbour, and the position. A node holds the smaller of its children, so the root is the leftmost pair of lowest rank. A merge joins
 the pair, unlinks the right symbol, and updates three leaves and their paths: O(log n) a merge, until the root holds no
-pair. Words are encoded many at once, a tree in each row of an array; a word of any length is encoded whole.
+pair. Words are encoded many at once, a tree in each row of an array; long words, which are rare, one by one in plain lists. A word of any
+length is encoded whole.
 
 A text is a sequence of words between white space, so encoded pieces are kept in a bounded cache for each Python worker,
 which saves repeated work and changes no result.
@@ -14,7 +15,8 @@ which saves repeated work and changes no result.
 Decoding looks up the strings of the ids and joins them with a space, as a tokenizer without a decoder does.
 
 Defined results: null text is the empty text, with no ids; special tokens written in the text become their ids, as in the library;
-repeated rows give repeated rows; an empty table gives an empty table. Other columns are not read.
+repeated rows give repeated rows; a null doc_id stays null; ties between pairs of one rank go to the left one; an empty table gives an empty table. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from .common import table
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces and words kept by each Python worker; beyond it the cache starts anew.
 CACHE = 300_000
+#: Leaves of a tree from which on a word is encoded alone.
+LONG = 1 << 9
 #: Symbols in the trees encoded at once.
 SYMBOLS = 1 << 20
 
@@ -78,6 +82,7 @@ class WordBpe:
         self.pair_key, self.pair_rank = key[order], order.astype(np.int64)
         self.pair_id = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)  # by rank
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.ranks: dict[int, int] | None = None  # of pairs, for long words
         self.text = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.bytes_of = {i: t.encode() for i, t in self.text.items()}
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
@@ -101,7 +106,9 @@ class WordBpe:
         out = [b""] * len(words)
         sizes = np.array([len(w) for w in words])
         leaves = 1 << np.maximum(1, np.ceil(np.log2(np.maximum(sizes, 1))).astype(int))
-        for n in np.unique(leaves):
+        for i in np.flatnonzero(leaves >= LONG).tolist():
+            out[i] = self._tree(words[i])
+        for n in np.unique(leaves[leaves < LONG]):
             which = np.flatnonzero(leaves == n)
             step = max(1, SYMBOLS // int(n))
             for lo in range(0, len(which), step):
@@ -110,6 +117,50 @@ class WordBpe:
                     out[k] = ids
         return out
 
+    def _tree(self, word: bytes) -> bytes:
+        """One long word: the same tree in plain lists; a path is updated only as far as its smallest pair changes."""
+        n, none = len(word), 1 << 62
+        size = 1 << (n - 1).bit_length()
+        if self.ranks is None:
+            self.ranks = dict(zip(self.pair_key.tolist(), self.pair_rank.tolist(), strict=True))
+        ranks, width, ids = self.ranks, self.width, self.pair_id.tolist()
+        sym = self.inner[np.frombuffer(word, dtype=np.uint8)].tolist()
+        sym[-1] = int(self.last[word[-1]])
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]  # n: no right neighbour, -1: no left one
+        tree = [none] * (2 * size)
+        for i in range(n - 1):
+            r = ranks.get(sym[i] * width + sym[i + 1])
+            if r is not None:
+                tree[size + i] = r * size + i
+        for node in range(size - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+
+        def put(i: int) -> None:
+            """The leaf of symbol i, and its path."""
+            j = after[i]
+            r = ranks.get(sym[i] * width + sym[j]) if j < n and sym[i] >= 0 else None
+            node = size + i
+            tree[node] = none if r is None else r * size + i
+            node >>= 1
+            while node:
+                least = min(tree[2 * node], tree[2 * node + 1])
+                if tree[node] == least:
+                    return
+                tree[node] = least
+                node >>= 1
+
+        while tree[1] < none:
+            rank, at = divmod(tree[1], size)
+            right = after[at]
+            sym[at], sym[right], after[at] = ids[rank], -1, after[right]
+            if after[at] < n:
+                before[after[at]] = at
+            put(right)
+            put(at)
+            if before[at] >= 0:
+                put(before[at])
+        return np.array([s for s in sym if s >= 0], dtype="<u4").tobytes()
+
     def _trees(self, words: list[bytes], n: int) -> list[bytes]:
         rows, size = len(words), np.array([len(w) for w in words])
         codes = np.zeros((rows, n), dtype=np.int64)

@@ -4,7 +4,7 @@ Model: multinomial logistic regression over word 1- to 3-grams, one class for ea
 the driver from the families' notices below, varied by context words and dropped words, against paragraphs that only talk of licences, and
 words of a bounded sample of the corpus' own paragraphs (NEGATIVES rows, a documented parameter). Weights of small size are set to
 zero, so the model is a sparse table of a few thousand n-grams; its size depends on the notices and not on the corpus. The temperature of
-the softmax and the bias of `unknown` are calibrated on variants that were held back.
+the softmax and the bias of `unknown` are calibrated on notices, and on paragraphs of no licence, that a first model saw no variant of.
 
 Scan: a paragraph is a line of a document. A paragraph of which all words that the model knows are common ones can't outweigh the bias of
 `unknown`; anchors() derives from the weights for which words that holds, and every paragraph with another word is scored. A notice may be
@@ -16,7 +16,8 @@ family's templates are contained in the paragraph to at least CONTAINED, as pair
 paragraphs that have the text, so copies are scored once.
 
 Defined results: one row for each paragraph of a document that is predicted to be of a family; null and empty texts give none; repeated rows give
-repeated rows; ties go to the first family by name; an empty table gives an empty table.
+repeated rows; a null doc_id stays null; texts of any length are read whole; other columns are not read; ties go to the first family by name; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import join_counted, keep, table
 
 # Notices by which public licences are named.
 TEMPLATES = {
@@ -102,17 +103,17 @@ def train(filler: list[str], seed: int = 5, variants: int = 24, epochs: int = 20
     families = sorted([*TEMPLATES, UNKNOWN])
     texts, labels, held = [], [], []
     for family, notices in TEMPLATES.items():
-        for notice in notices:
-            for i, v in enumerate([_words(notice), *_variants(rng, _words(notice), filler, variants)]):
+        for k, notice in enumerate(notices):
+            for v in [_words(notice), *_variants(rng, _words(notice), filler, variants)]:
                 texts.append(v)
                 labels.append(families.index(family))
-                held.append(i % 5 == 4)
+                held.append(k > 1 and k == len(notices) - 1)  # the last notice of families with three or more
     loose = sorted({w for ts in TEMPLATES.values() for t in ts for w in _words(t)})
     for k, t in enumerate([*map(_words, TALK), *[list(rng.choice(filler, int(rng.integers(3, 30)))) for _ in range(150)], *[list(rng.choice(loose, 2)) + list(rng.choice(filler, 8)) for _ in range(250)]]):
-        for i, v in enumerate(_variants(rng, t, filler, 3)):
+        for v in _variants(rng, t, filler, 3):
             texts.append(v)
             labels.append(families.index(UNKNOWN))
-            held.append((i + k) % 5 == 4)
+            held.append(k % 5 == 4)
     known = {g for t in [*TEMPLATES.values(), TALK] for s in t for g in grams(_words(s))}
     vocabulary = sorted(known)
     at = {g: i for i, g in enumerate(vocabulary)}
@@ -120,25 +121,32 @@ def train(filler: list[str], seed: int = 5, variants: int = 24, epochs: int = 20
     for r, t in enumerate(texts):
         x[r, [at[g] for g in grams(t) if g in at]] = 1
     y, held_out = np.array(labels), np.array(held)
-    target = np.eye(len(families), dtype=np.float32)[y]
-    w, b = np.zeros((len(vocabulary), len(families)), dtype=np.float32), np.zeros(len(families), dtype=np.float32)
-    fit, test = ~held_out, held_out
-    share = np.ones(len(families)) * fit.sum() / (len(families) * np.maximum(1, np.bincount(y[fit], minlength=len(families))))
-    rate = share[y[fit]][:, None].astype(np.float32)
+    # calibrated on notices and paragraphs that a first model has not seen in any variant
+    w, b = _fit(x[~held_out], y[~held_out], len(families), epochs)
+    z = x[held_out] @ w + b
+    best = min(((_loss(z, y[held_out], t, u, families.index(UNKNOWN)), t, u) for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4) for u in (-1.0, -0.5, 0.0, 0.5, 1.0)), key=lambda v: v[0])
+    w, b = _fit(x, y, len(families), epochs)
+    b[families.index(UNKNOWN)] += best[2]
+    used = np.abs(w).max(axis=1) > 0
+    return Classifier(families, [v for v, k in zip(vocabulary, used, strict=True) if k], w[used].astype(np.float64), b.astype(np.float64), best[1])
+
+
+def _fit(x: np.ndarray, y: np.ndarray, classes: int, epochs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases by gradient descent, classes weighing alike; small weights become zero."""
+    target = np.eye(classes, dtype=np.float32)[y]
+    w, b = np.zeros((x.shape[1], classes), dtype=np.float32), np.zeros(classes, dtype=np.float32)
+    share = np.ones(classes) * len(y) / (classes * np.maximum(1, np.bincount(y, minlength=classes)))
+    rate = share[y][:, None].astype(np.float32)
     for epoch in range(epochs):
-        z = x[fit] @ w + b
+        z = x @ w + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        g = rate * (p - target[fit]) / fit.sum()
+        g = rate * (p - target) / len(y)
         step = 4.0 / (1 + epoch / 150)
-        w -= step * (x[fit].T @ g)
+        w -= step * (x.T @ g)
         b -= step * g.sum(axis=0)
         w = np.sign(w) * np.maximum(np.abs(w) - step * 1e-5, 0)  # sparse weights
-    z = x[test] @ w + b
-    best = min(((_loss(z, y[test], t, u, families.index(UNKNOWN)), t, u) for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4) for u in (-1.0, -0.5, 0.0, 0.5, 1.0)), key=lambda v: v[0])
-    b[families.index(UNKNOWN)] += best[2]
-    used = np.abs(w).max(axis=1) > 0
-    return Classifier(families, [v for v, k in zip(vocabulary, used, strict=True) if k], w[used].astype(np.float64), b.astype(np.float64), best[1])
+    return w, b
 
 
 def _loss(z: np.ndarray, y: np.ndarray, temperature: float, shift: float, unknown: int) -> float:
@@ -241,7 +249,8 @@ def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     common = corpus_words(docs)
     model = model or train(common)
     found = keep(paragraphs(docs, model, common), "paragraphs")
-    distinct = found.select("text").distinct().withColumn("words", F.filter(F.split(F.lower("text"), _WORD), lambda w: w != ""))
+    counted = found.groupBy("text").agg(F.count(F.lit(1)).alias("tl_n"))
+    distinct = counted.select("text").withColumn("words", F.filter(F.split(F.lower("text"), _WORD), lambda w: w != ""))
     k = len(model.families)
     # one row an n-gram: bounded by the notices above, not by the corpus
     weights = spark.createDataFrame([(g, [float(v) for v in row]) for g, row in zip(model.vocabulary, model.weights, strict=True)], "gram string, weight array<double>")
@@ -259,7 +268,8 @@ def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     grams_of = scored.withColumn("grams", _gram_array(F.filter(F.split(F.lower("text"), _WORD), lambda w: w != "")))
     similar = grams_of.join(F.broadcast(templates), "family").withColumn("similarity", F.size(F.array_intersect("grams", "pairs")) / F.size("pairs"))
     similar = similar.groupBy("text").agg(F.first("family").alias("family"), F.first("probability").alias("probability"), F.max("similarity").alias("similarity"))
-    out = keep(found.join(similar, "text").withColumn("confirmed", F.col("similarity") >= CONTAINED).where("lines = 1 or confirmed"), "found")
+    # very common paragraphs by a broadcast of a bounded number of them
+    out = keep(join_counted(found, similar.join(counted, "text"), ["text"], found.count()).withColumn("confirmed", F.col("similarity") >= CONTAINED).where("lines = 1 or confirmed"), "found")
     # wrapped notices: none that holds a confirmed paragraph of its family, and the most similar of overlapping ones
     ends = "paragraph + lines AS end"
     x = out.where("lines > 1").selectExpr("tl_row", "family", "paragraph", "lines", "similarity", ends)

@@ -10,8 +10,12 @@ from what it has read: nothing of the original bytes goes past the file.
 Features are taken page by page in one pass over the decoded samples: a histogram of 16 levels, the mean, and the bits of an
 8 x 8 grid over the rows that lie above the mean of the grid.
 
-Defined results: null text is stored as the empty text, 64 zero bytes; a file that isn't TIFF, or is cut off, gives no page and a message in the
-column `error`; a null file gives no row; repeated rows give repeated rows; an empty table gives an empty table. Other columns are not read.
+Samples of 1, 8 and 16 bits are read, in chunky or planar order; 1-bit samples are given as a byte each, 0 or 1, as they are stored.
+
+Defined results: null text is stored as the empty text, 64 zero bytes; a file that isn't TIFF, is damaged or cut off, or declares more samples than its
+bytes can hold (by the greatest ratio of each compression) or than MOST in one page, gives the pages before the fault and then a row with a message in the
+column `error`; a null file gives no row; texts of any length are stored whole; repeated rows give repeated rows; a null doc_id stays null; an empty table gives
+an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +38,12 @@ WIDTH = 64
 PAGE_ROWS = 1 << 16
 STRIP_ROWS = 1 << 12
 
+#: Bytes of samples that a page may have: what a reader holds at once.
+MOST = 1 << 30
+
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+#: No data of these compressions grows by more than this.
+_RATIO = {NONE: 1, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 64}
 #: Bytes of a value of each field type of TIFF 6.0, and its struct letter.
 _TYPES = {1: (1, "B"), 2: (1, "c"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 10: (8, "ii"), 11: (4, "f"), 12: (8, "d")}
 
@@ -216,10 +225,14 @@ def pages(blob: bytes) -> Iterator[Page]:
             yield _page(blob, order, fields, number)
             (at,) = struct.unpack_from(f"{order}I", blob, at + 2 + 12 * n)
             number += 1
+    except TiffError:
+        raise
     except struct.error as e:
         raise TiffError("cut off") from e
     except zlib.error as e:
         raise TiffError("damaged deflate data") from e
+    except (ValueError, IndexError, OverflowError, MemoryError) as e:
+        raise TiffError(f"damaged: {e}") from e
 
 
 def _page(blob: bytes, order: str, fields: dict, number: int) -> Page:
@@ -230,24 +243,40 @@ def _page(blob: bytes, order: str, fields: dict, number: int) -> Page:
 
     width, height, samples = one(256), one(257), one(277, 1)
     bits, compression, predictor, planar = one(258, 1), one(259, 1), one(317, 1), one(284, 1)
-    if bits not in (8, 16) or planar != 1 or predictor not in (1, 2):
-        raise TiffError(f"{bits} bits, planar configuration {planar}, predictor {predictor}")
-    kind = np.dtype(np.uint8) if bits == 8 else np.dtype(np.uint16).newbyteorder(order)
+    if bits not in (1, 8, 16) or len(set(fields.get(258, (1,)))) > 1 or planar not in (1, 2) or predictor not in (1, 2) or bits == 1 and predictor == 2:
+        raise TiffError(f"{fields.get(258, (1,))} bits, planar configuration {planar}, predictor {predictor}")
+    if compression not in _RATIO:
+        raise TiffError(f"compression {compression}")
+    tiled = 324 in fields
+    high, wide = (one(323), one(322)) if tiled else (min(one(278, height), height), width)
+    if min(width, height, samples, high, wide) < 1:
+        raise TiffError("no samples")
+    planes, each = (samples, 1) if planar == 2 else (1, samples)
+    across, down = -(-width // wide), -(-height // high)
+    places, sizes = (fields[324], fields.get(325, ())) if tiled else (fields.get(273, ()), fields.get(279, ()))
+    if not sizes and across * down * planes == 1 and compression == NONE:
+        sizes = (height * -(-width * samples * bits // 8),)
+    if min(len(places), len(sizes)) < across * down * planes:
+        raise TiffError("cut off")
+    if height * width * samples * (2 if bits == 16 else 1) > MOST or high * wide * each * (2 if bits == 16 else 1) > MOST:
+        raise TiffError("page too large")
+    boxes = [(y * high, x * wide, high if tiled else min(high, height - y * high), wide) for y in range(down) for x in range(across)]
+    lines = -(-wide * each * bits // 8)  # bytes of a line of a box
+    for (_, _, h, _), place, size in zip(boxes * planes, places, sizes, strict=False):
+        if place + size > len(blob) or h * lines > _RATIO[compression] * size + 64:
+            raise TiffError("cut off")
+    kind = np.dtype(np.uint16).newbyteorder(order) if bits == 16 else np.dtype(np.uint8)
     out = np.zeros((height, width, samples), dtype=kind.newbyteorder("="))
-    if 324 in fields:  # tiles, padded to whole tiles
-        wide, high, places, sizes = one(322), one(323), fields[324], fields[325]
-        across = -(-width // wide)
-        boxes = [(k // across * high, k % across * wide, high, wide) for k in range(len(places))]
-    else:
-        high, places = min(one(278, height), height), fields.get(273, ())
-        sizes = fields.get(279, (height * width * samples * bits // 8,))
-        boxes = [(k * high, 0, min(high, height - k * high), width) for k in range(len(places))]
-    for (y, x, h, w), place, size in zip(boxes, places, sizes, strict=False):
-        raw = expand(bytes(blob[place : place + size]), compression, h * w * samples * bits // 8)
-        box = np.frombuffer(raw, dtype=kind).reshape(h, w, samples).astype(out.dtype, copy=False)
+    for k, ((y, x, h, w), place, size) in enumerate(zip(boxes * planes, places, sizes, strict=False)):
+        raw = expand(bytes(blob[place : place + size]), compression, h * lines)
+        if bits == 1:
+            box = np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(h, lines), axis=1)[:, : w * each].reshape(h, w, each)
+        else:
+            box = np.frombuffer(raw, dtype=kind).reshape(h, w, each).astype(out.dtype, copy=False)
         if predictor == 2:
             box = np.cumsum(box, axis=1, dtype=out.dtype)
-        part = out[y : y + h, x : x + w]
+        plane = slice(None) if planar == 1 else slice(k // len(boxes), k // len(boxes) + 1)
+        part = out[y : y + h, x : x + w, plane]
         part[...] = box[: part.shape[0], : part.shape[1]]
     return Page(number, width, height, samples, bits, compression, predictor, out)
 

@@ -28,6 +28,7 @@ library; rows without doc_id come last; repeated doc_ids keep rows of their own,
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -59,6 +60,8 @@ def _meet(text: str) -> bool:
     if any(c in text for c in _OTHER):
         return bool(_RUNS.search(text))
     return "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+#: Ids of a part of the files, which one task writes.
+PART = 1 << 26
 BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("lengths", pa.binary()), ("offsets", pa.list_(pa.int64())), ("bits", pa.binary())])
 
 
@@ -72,7 +75,15 @@ class Ids:
         self.library = Tokenizer.from_file(path)
         byte = {c: b for b, c in enumerate(printable_bytes())}
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        ranks = {bytes(byte[c] for c in t): i for t, i in self.library.get_vocab(with_added_tokens=False).items()}
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        with open(path, encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        made = [vocab[a + b] for a, b in (m if isinstance(m, list) else m.split(" ") for m in merges)]
+        if any(x >= y for x, y in zip(made, made[1:], strict=False)):
+            raise ValueError("ids must rise in the order of the merges")
+        if max(self.library.get_vocab(with_added_tokens=True).values()) >= 1 << 16:
+            raise ValueError("ids must be below 65,536")
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items()}
         self.any, self.single = (tiktoken.Encoding("ids", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (_PATTERN, _SINGLE))
 
     def of(self, text: str) -> np.ndarray:
@@ -243,7 +254,8 @@ def write(docs: DataFrame, name: str = "blocks", path: str | None = None, end: i
     lengths = code_lengths(counts, limit)
     codes, header = canonical(lengths), zlib.compress(lengths.tobytes(), 9)
 
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # parts of at most about PART ids, however many there are
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum()) // PART))
     cuts = bounds(staged, n)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
