@@ -262,7 +262,7 @@ def test_streaming_fold_is_exactly_once(spark, tmp_path):
         q.awaitTermination()
     s.fold(spark.createDataFrame([(2, "put", "b", "again"), (4, "put", "c", "4")], u))
     assert {r["key"]: r["value"] for r in s.as_of().collect()} == {"b": "2", "c": "4"}
-    assert s.manifest()["cursor"] == "4"
+    assert s.manifest()["cursors"] == {"default": {"default": 4}}
 
 
 def test_gaps_in_small_blocks(spark):

@@ -11,6 +11,6 @@ def test_parts_reached_over_shared_suppliers(spark, sf):
     want = {}
     for p, s in e:
         want.setdefault(p, set()).update(of[s])
-    got = queries.QUERIES["two_hops_parts"](spark, sf).collect()
+    got = queries.QUERIES["two_hops"](spark, sf).collect()
     assert len(got) == len(want) and {r.src: r.reached for r in got} == {p: len(x) for p, x in want.items()}
     assert max(r.reached for r in got) > 25

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -129,12 +129,63 @@ def fold_parts(record: Column) -> Column:
     return F.struct(F.substring(record, F.lit(2), n).alias("version"), F.substring(record, n + 2, F.length(record)).alias("value"))
 
 
+def take(data: Column, at: Column | int, size: Column | int) -> Column:
+    """`size` bytes at a 1-based place, null if they aren't all there."""
+    at, size = (x if isinstance(x, Column) else F.lit(x) for x in (at, size))
+    return F.when((at >= 1) & (size >= 0) & (at + size - 1 <= F.length(data)), F.substring(data, at, size))
+
+
 def number(data: Column, at: int, size: int, little: bool = False) -> Column:
-    """An unsigned number of up to 8 bytes at a 1-based place; the top bit of 8 bytes must be clear."""
-    h = F.hex(F.substring(data, at, size))
+    """An unsigned number of up to 16 bytes at a 1-based place, null if it isn't all there: a long up to 7 bytes, else decimal(38), null from 10^38 on."""
+    h = F.hex(take(data, at, size))
     if little:
         h = F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(size))])
-    return F.conv(h, 16, 10).cast("long")
+    if size < 8:
+        return F.conv(h, 16, 10).cast("long")
+    # parts of 7 bytes from the right
+    parts = [F.conv(F.substring(h, max(0, e - 14) + 1, min(14, e)), 16, 10).cast("decimal(38,0)") for e in range(2 * size, 0, -14)]
+    out = parts[-1]
+    for p in reversed(parts[:-1]):
+        out = F.try_add(F.try_multiply(out, F.lit(1 << 56).cast("decimal(38,0)")), p).cast("decimal(38,0)")
+    return out
+
+
+def length_prefixed(data: Column, at: Column | int) -> Column:
+    """struct(part, next) of a part behind its length in 4 bytes, big endian, at a 1-based place; null if it isn't all there."""
+    at = at if isinstance(at, Column) else F.lit(at)
+    size = F.conv(F.hex(take(data, at, 4)), 16, 10).cast("int")
+    part = take(data, at + 4, size)
+    return F.when(part.isNotNull(), F.struct(part.alias("part"), (at + 4 + size).alias("next")))
+
+
+def _crc_table() -> list[int]:
+    """Of the Castagnoli polynomial, reflected."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+def crc32c(data: Column) -> Column:
+    """CRC-32C of bytes as an unsigned number."""
+    h, table = F.hex(data), F.array(*[F.lit(x).cast("long") for x in _crc_table()])
+    octets = F.transform(F.sequence(F.lit(1), F.length(data)), lambda i: F.conv(F.substring(h, 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
+    step = lambda a, b: F.shiftright(a, 8).bitwiseXOR(F.element_at(table, (a.bitwiseXOR(b).bitwiseAND(F.lit(255)) + 1).cast("int")))
+    start = F.lit(0xFFFFFFFF).cast("long")
+    return F.when(F.length(data) > 0, F.aggregate(octets, start, step).bitwiseXOR(F.lit(0xFFFFFFFF))).when(F.length(data) == 0, F.lit(0))
+
+
+def crc_masked(crc: Column) -> Column:
+    """A checksum stored beside what it covers: rotated right by 15 bits, plus a fixed number."""
+    turned = F.shiftright(crc, 15).bitwiseOR(F.shiftleft(crc, 17).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return (turned + F.lit(0xA282EAD8)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def crc_unmasked(masked: Column) -> Column:
+    x = (masked - F.lit(0xA282EAD8)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftright(x, 17).bitwiseOR(F.shiftleft(x, 15).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def upgrade(record: Column) -> Column:
@@ -152,11 +203,36 @@ def row_key(key: Column, version: Column) -> Column:
     return F.concat(key, _hex(version.cast("long"), 16))
 
 
+def _places(key: Column, size: int, hashes: int) -> Column:
+    h1, h2 = F.xxhash64(key), F.xxhash64(key, F.lit(1))
+    # 31 bits of each, so that the sums stay in a long
+    low = lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF))
+    return F.array(*[F.pmod(low(h1) + F.lit(i) * low(h2), F.lit(size)) for i in range(hashes)])
+
+
+def bloom(keys: DataFrame, key: str, by: list[str], size: int, hashes: int = 6) -> DataFrame:
+    """keys -> (by..., word, bits): the filter of each group as 64-bit words, by a map-side combined or; words without a bit are left out."""
+    x = keys.select(*by, F.explode(_places(F.col(key), size, hashes)).alias("p"))
+    return x.groupBy(*by, F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("bits"))
+
+
+def bloom_array(words: DataFrame, by: list[str], size: int) -> DataFrame:
+    """bloom()'s rows -> (by..., bits): one array of all words a group, for may_contain()."""
+    held = F.map_from_entries(F.collect_list(F.struct("word", "bits")))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(-(-size // 64) - 1).cast("long"))
+    return words.groupBy(*by).agg(held.alias("m")).select(*by, F.transform(every, lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long"))).alias("bits"))
+
+
 def may_contain(bits: Column, key: Column, size: int, hashes: int = 6) -> Column:
     """Bloom filter test: bits is array<long> of `size` bits in 64-bit words."""
-    h1, h2 = F.xxhash64(key), F.xxhash64(key, F.lit(1))
-    place = lambda i: F.pmod(h1 + F.lit(i) * h2, F.lit(size))
-    return F.forall(F.array(*[place(i) for i in range(hashes)]), lambda p: F.getbit(F.element_at(bits, (F.floor(p / 64) + 1).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1)
+    return F.forall(_places(key, size, hashes), lambda p: F.getbit(F.element_at(bits, (F.floor(p / 64) + 1).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1)
+
+
+def partition_of(key: Column, partitions: int) -> Column:
+    """The partition of a partitioned filter, or of a routed key: its FNV-1a hash, unsigned, by the number of partitions."""
+    h = fnv1a(key)
+    high, low = F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.pmod(F.pmod(high, F.lit(partitions)) * F.lit((1 << 32) % partitions) + low, F.lit(partitions)).cast("int")
 
 
 def bloom_bits(run_keys: int) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .visible import visible
@@ -10,17 +10,18 @@ from .visible import visible
 
 def fate(versions: DataFrame, oldest: int, bottom: bool = False, by: tuple[str, ...] = ("key",)) -> DataFrame:
     """versions with `keep`. The newest version of a key stays; an older one goes if it is below the oldest pin and its newer sibling is at
-    or below it: so what stays is all above the pin and the newest at or below it. On a bottommost rewrite a tombstone goes too if it
+    or below it: so what stays is all above the pin and the newest at or below it. Merge operands (kind 3) need their base: of a key's versions at or
+    below the pin, the newest that is no operand stays, and all operands above it. On a bottommost rewrite a tombstone goes too if it
     is all that would be left of its key.
 
     One map-side combined row a key, joined back: no key is gathered or sorted.
     """
-    tops = versions.groupBy(*by).agg(F.max(F.when(F.col("seq") <= oldest, F.col("seq"))).alias("tl_top"), F.count_if(F.col("seq") > oldest).alias("tl_above"))
+    low = F.col("seq") <= oldest
+    tops = versions.groupBy(*by).agg(F.max(F.when(low & (F.col("kind") != 3), F.col("seq"))).alias("tl_top"), F.count_if(~low).alias("tl_above"), F.max(F.when(low, F.col("seq"))).alias("tl_low"))
     x = versions.join(tops, list(by))
-    top = F.coalesce(F.col("seq") == F.col("tl_top"), F.lit(False))
-    keep = (F.col("seq") > oldest) | top
+    keep = ~low | F.coalesce(F.col("seq") >= F.col("tl_top"), F.lit(True))
     if bottom:
-        keep = keep & ~(top & (F.col("kind") == 0) & (F.col("tl_above") == 0))
+        keep = keep & ~F.coalesce(low & (F.col("seq") == F.col("tl_top")) & (F.col("kind") == 0) & (F.col("tl_above") == 0) & (F.col("tl_low") == F.col("tl_top")), F.lit(False))
     return x.withColumn("keep", keep).select(*versions.columns, "keep")
 
 
@@ -69,3 +70,14 @@ def changed_reads(before: DataFrame, after: DataFrame, tombstones: DataFrame, pi
 def slices(versions: DataFrame, n: int) -> DataFrame:
     """Rewrite in n disjoint key ranges; a key is never split, and each output is sorted by key and newest first."""
     return versions.repartitionByRange(n, "key").sortWithinPartitions("key", F.col("seq").desc())
+
+
+def slice_faults(rows: DataFrame) -> DataFrame:
+    """rows(part, pos, key, seq) of sliced outputs -> one row of counts: keys in two parts, parts that overlap, rows out of order."""
+    w = Window.partitionBy("part").orderBy("pos")
+    x = rows.withColumn("k", F.lag("key").over(w)).withColumn("s", F.lag("seq").over(w))
+    inner = x.groupBy("part").agg(F.count_if((F.col("key") < F.col("k")) | ((F.col("key") == F.col("k")) & (F.col("seq") > F.col("s")))).alias("disorder"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    ends = inner.withColumn("before", F.max("hi").over(Window.orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)))  # one row a part
+    one = ends.agg(F.sum("disorder").alias("disorder"), F.count_if(F.col("lo") <= F.col("before")).alias("overlaps"))
+    split = rows.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).agg(F.count_if(F.col("a") < F.col("b")).alias("split"))
+    return one.crossJoin(split)  # one row each

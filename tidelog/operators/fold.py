@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .visible import covering, numbered
+
 I64_MAX, I64_MIN = (1 << 63) - 1, -(1 << 63)
 
 
@@ -22,13 +26,39 @@ def fold_append(mutations: DataFrame, seq: int | None = None, separator: str = "
     return x.groupBy("key").agg(F.array_join(F.transform(parts, lambda s: s["value"]), separator).alias("value"))
 
 
+def cut(mutations: DataFrame, tombstones: DataFrame, seq: int) -> DataFrame:
+    """mutations of each key above the highest tombstone over it, found by an as-of join with the pieces of the tombstones."""
+    over = covering(mutations.select("key"), tombstones.where(F.col("seq") <= seq)).withColumnRenamed("cover", "tl_cut")
+    return mutations.join(over, "key", "left").where(F.col("tl_cut").isNull() | (F.col("seq") > F.col("tl_cut"))).drop("tl_cut")
+
+
 def fold_append_with_tombstones(mutations: DataFrame, tombstones: DataFrame, seq: int, separator: str = ":") -> DataFrame:
     """As fold_append, with the history of a key cut at the highest tombstone that covers it."""
-    t = tombstones.where(F.col("seq") <= seq).select(F.col("start").alias("t_start"), F.col("end").alias("t_end"), F.col("seq").alias("t_seq"))
-    keys = mutations.select("key").distinct()
-    cut = keys.join(t, (F.col("t_start") <= F.col("key")) & (F.col("key") < F.col("t_end"))).groupBy("key").agg(F.max("t_seq").alias("cut"))
-    x = mutations.join(cut, "key", "left").where(F.col("cut").isNull() | (F.col("seq") > F.col("cut"))).drop("cut")
-    return fold_append(x, seq, separator)
+    return fold_append(cut(mutations, tombstones, seq), seq, separator)
+
+
+def fold_operands(mutations: DataFrame, tombstones: DataFrame, seq: int, separator: str = ":") -> DataFrame:
+    """key, seq (the newest that took part) and value of the live keys of a log of puts, deletes and operands to append."""
+    x = base_and_operands(cut(mutations, tombstones, seq), seq).where("kind <> 0")
+    parts = F.array_sort(F.collect_list(F.struct("seq", "value")))
+    return x.groupBy("key").agg(F.max("seq").alias("seq"), F.array_join(F.transform(parts, lambda s: s["value"]), separator).alias("value"))
+
+
+def fold_typed(operands: DataFrame, block: int = 4096) -> DataFrame:
+    """(key, seq, type in put / counter_add / append, payload binary, delta long) -> key, total, payload, error.
+
+    A put overwrites with both its delta and its payload. After the newest put, counters add (saturating) and appends follow its payload; a key with both
+    after it has mixed types and is an error, as is an unknown type.
+    """
+    base = operands.groupBy("key").agg(F.max(F.when(F.col("type") == "put", F.col("seq"))).alias("tl_base"))
+    x = operands.join(base, "key").where(F.col("tl_base").isNull() | (F.col("seq") >= F.col("tl_base"))).drop("tl_base")
+    n = lambda t: F.count_if(F.col("type") == t)
+    parts = F.array_sort(F.collect_list(F.when(F.col("type") != "counter_add", F.struct("seq", F.hex("payload").alias("h")))))
+    kinds = x.groupBy("key").agg(n("counter_add").alias("c"), n("append").alias("a"), F.count_if(~F.col("type").isin("put", "counter_add", "append")).alias("other"), F.unhex(F.array_join(F.transform(parts, lambda p: p["h"]), "")).alias("payload"))
+    totals = fold_counter(x.where("type in ('put', 'counter_add')").select("key", "seq", "type", F.coalesce("delta", F.lit(0)).alias("delta")), block)
+    error = F.when(F.col("other") > 0, "unknown type").when((F.col("c") > 0) & (F.col("a") > 0), "mixed types")
+    out = kinds.join(totals, "key", "left").withColumn("error", error)
+    return out.select("key", F.when(F.col("error").isNull() & (F.col("a") == 0), F.col("total")).alias("total"), F.when(F.col("error").isNull() & (F.col("c") == 0), F.col("payload")).alias("payload"), "error")
 
 
 def fold_counter(operands: DataFrame, block: int = 4096) -> DataFrame:
@@ -65,6 +95,31 @@ def fold_bits(operands: DataFrame, value: str = "value") -> DataFrame:
     return operands.groupBy("key").agg(F.bit_or(value).alias("bits"))
 
 
+def fold_bytes(operands: DataFrame, value: str = "value") -> DataFrame:
+    """Bitwise or of byte strings of any length by key, shorter ones filled with zeros on the right. Words of 8 bytes are folded on their own."""
+    size = F.length(value)
+    words = F.transform(F.sequence(F.lit(0), F.ceil(size / 8).cast("int") - 1), lambda i: F.struct(i.alias("i"), F.conv(F.rpad(F.hex(F.substring(F.col(value), 8 * i + 1, F.lit(8))), 16, "0"), 16, -10).cast("long").alias("w")))
+    x = operands.where(size > 0).select("key", F.explode(words).alias("x")).groupBy("key", "x.i").agg(F.bit_or("x.w").alias("w"))
+    x = x.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.lpad(F.hex("w"), 16, "0").alias("h")))), lambda p: p["h"]), "").alias("h"))
+    sizes = operands.groupBy("key").agg(F.max(size).alias("n"))
+    return sizes.join(x, "key", "left").select("key", F.when(F.col("n").isNotNull(), F.unhex(F.substring(F.coalesce("h", F.lit("")), F.lit(1), 2 * F.col("n")))).alias("bits"))
+
+
+def axiom_faults(values: DataFrame, combine: Callable[[Column, Column], Column], most: int = 64) -> DataFrame:
+    """values(value), at most `most` distinct ones -> one row: pairs and triples on which combine isn't commutative, associative or idempotent.
+
+    An operator without faults may be folded in any order and in parts, as aggregations are.
+    """
+    v = values.distinct()
+    if v.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} values")
+    a, b, c = (F.broadcast(v.select(F.col("value").alias(n))) for n in "abc")
+    x = a.crossJoin(b).crossJoin(c)  # bounded by the check above
+    A, B, C = F.col("a"), F.col("b"), F.col("c")
+    differ = lambda p, q: F.count_if(~p.eqNullSafe(q))
+    return x.agg(differ(combine(A, B), combine(B, A)).alias("commutative"), differ(combine(combine(A, B), C), combine(A, combine(B, C))).alias("associative"), differ(combine(A, A), A).alias("idempotent"))
+
+
 def fold_extreme(operands: DataFrame, value: str = "value") -> DataFrame:
     """Greatest and least big-endian 8-byte number: unsigned byte order is numeric order; shorter strings count as none."""
     word = F.when(F.length(value) >= 8, F.substring(value, 1, 8))
@@ -95,11 +150,18 @@ def combine(measures: DataFrame, checked: bool = True) -> DataFrame:
     return measures.agg(*[F.least(F.sum(F.col(n).cast("decimal(38,0)")), F.lit(I64_MAX).cast("decimal(38,0)")).cast("long").alias(n) for n in names])
 
 
-def hybrid_clock(ticks: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(n, wall) in order of n -> time = max(wall, time before + 1)."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("n")
-    x = ticks.withColumn("tl_r", F.row_number().over(w))
-    return x.withColumn("time", F.max(F.col("wall") - F.col("tl_r")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("tl_r")).drop("tl_r")
+def hybrid_clock(ticks: DataFrame, by: list[str] | None = None, block: int = 4096) -> DataFrame:
+    """(n, wall) in order of n -> time = max(wall, time before + 1). Maxima are carried between bins of n, so one group is many tasks."""
+    by = by or []
+    x = ticks if by else ticks.withColumn("tl_all", F.lit(0))
+    keys = by or ["tl_all"]
+    x = numbered(x.withColumnRenamed("n", "tl_n"), keys, "tl_n", block).withColumnRenamed("n", "tl_r")
+    x = x.withColumn("tl_ahead", F.col("wall") - F.col("tl_r")).withColumn("tl_bin", F.floor(F.col("tl_n") / block))
+    tops = x.groupBy(*keys, "tl_bin").agg(F.max("tl_ahead").alias("tl_top"))
+    tops = tops.select(*keys, "tl_bin", F.max("tl_top").over(Window.partitionBy(*keys).orderBy("tl_bin").rowsBetween(Window.unboundedPreceding, -1)).alias("tl_before"))
+    here = F.max("tl_ahead").over(Window.partitionBy(*keys, "tl_bin").orderBy("tl_n").rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("tl_here", here).join(tops, [*keys, "tl_bin"]).withColumn("time", F.greatest("tl_here", F.coalesce("tl_before", "tl_here")) + F.col("tl_r"))
+    return x.withColumnRenamed("tl_n", "n").select(*ticks.columns, "time")
 
 
 def expired(now: Column, now_epoch: Column, created: Column, created_epoch: Column, ttl: Column) -> Column:

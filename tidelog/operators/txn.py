@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import keep
 from .visible import covering, lookup
 
 
@@ -23,6 +27,7 @@ class Transaction:
     writes: dict[str, tuple[int, str | None]] = field(default_factory=dict)
     ranges: list[tuple[str, str]] = field(default_factory=list)
     reads: set[str] = field(default_factory=set)
+    saved: list[tuple[dict, list, set]] = field(default_factory=list)
 
     def put(self, key: str, value: str) -> None:
         self.writes.pop(key, None)
@@ -54,10 +59,28 @@ class Transaction:
     def staged(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(k, kind, v) for k, (kind, v) in self.writes.items()], "key string, kind int, value string")
 
+    def staged_ranges(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.ranges, "start string, end string")
 
-def overlay(state: DataFrame, staged: DataFrame) -> DataFrame:
-    """Live rows with staged writes on top: staged puts shown, staged deletes hidden. state(key, value), staged(key, kind, value)."""
+    def savepoint(self) -> None:
+        self.saved.append((dict(self.writes), list(self.ranges), set(self.reads)))
+
+    def rollback_to_savepoint(self) -> None:
+        """Undo what was staged and read since the last savepoint, and forget it."""
+        if not self.saved:
+            raise ValueError("no savepoint")
+        self.writes, self.ranges, self.reads = self.saved.pop()
+
+    def rollback(self) -> None:
+        self.writes, self.ranges, self.reads, self.saved = {}, [], set(), []
+
+
+def overlay(state: DataFrame, staged: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """Live rows with staged writes on top: staged puts shown, staged deletes and rows under staged ranges(start, end) hidden. state(key, value), staged(key, kind, value)."""
     rest = state.select("key", "value").join(staged, "key", "left_anti")
+    if ranges is not None:
+        hidden = covering(rest.select("key"), ranges.select("start", "end", F.lit(1).cast("long").alias("seq"))).select("key")
+        rest = rest.join(hidden, "key", "left_anti")
     return rest.unionByName(staged.where("kind = 1").select("key", "value"))
 
 
@@ -98,15 +121,41 @@ def conflict_edges(txns: DataFrame, literal: bool = False) -> DataFrame:
     return e.select("reader", "writer").distinct()
 
 
+def concurrent_edges(txns: DataFrame, width: int = 1024) -> DataFrame:
+    """rw edges (reader, writer) between transactions that overlap: each began before the other committed.
+
+    Lifetimes are dealt to buckets of `width` sequences, so a hot key meets only writers of about the same time.
+    """
+    lived = F.explode(F.sequence(F.floor(F.col("snapshot_seq") / width), F.floor(F.col("commit_seq") / width))).alias("bucket")
+    r = txns.select(F.col("tx_id").alias("reader"), F.col("snapshot_seq").alias("rs"), F.col("commit_seq").alias("rc"), "reads", lived).withColumn("key", F.explode("reads")).drop("reads")
+    w = txns.select(F.col("tx_id").alias("writer"), F.col("snapshot_seq").alias("ws"), F.col("commit_seq").alias("wc"), "writes", lived).withColumn("key", F.explode("writes")).drop("writes")
+    return r.join(w, ["key", "bucket"]).where("reader <> writer and wc > rs and ws < rc").select("reader", "writer").distinct()
+
+
+def commit_dangers(txns: DataFrame, width: int = 1024) -> DataFrame:
+    """Each transaction against those still active when it commits: tx_id, n_in (active readers of its writes), n_out (active writers of its reads), fate.
+
+    Finished transactions have no edges any more. A transaction that is in both sets closes a cycle, which is tested first; one with edges in and out
+    is the pivot of a dangerous structure.
+    """
+    lived = F.explode(F.sequence(F.floor(F.col("snapshot_seq") / width), F.floor(F.col("commit_seq") / width))).alias("bucket")
+    other = txns.select(F.col("tx_id").alias("other"), F.col("snapshot_seq").alias("os"), F.col("commit_seq").alias("oc"), "reads", "writes", lived)
+    side = lambda name, keys: other.select("other", "os", "oc", "bucket", F.explode(keys).alias("key"), F.lit(name).alias("side"))
+    own = lambda name, keys: txns.select("tx_id", "commit_seq", F.floor(F.col("commit_seq") / width).alias("bucket"), F.explode(keys).alias("key"), F.lit(name).alias("side"))
+    met = own("in", "writes").unionByName(own("out", "reads")).join(side("in", "reads").unionByName(side("out", "writes")), ["key", "bucket", "side"])
+    met = met.where("tx_id <> other and os < commit_seq and oc > commit_seq").groupBy("tx_id", "other").agg(F.max((F.col("side") == "in").cast("int")).alias("i"), F.max((F.col("side") == "out").cast("int")).alias("o"))
+    n = met.groupBy("tx_id").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"), F.max(F.col("i") * F.col("o")).alias("both"))
+    fate = F.when(F.col("both") > 0, "cycle").when((F.col("n_in") > 0) & (F.col("n_out") > 0), "structure").otherwise("safe")
+    return n.select("tx_id", "n_in", "n_out", fate.alias("fate"))
+
+
 def reachable(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(a, b) -> all pairs on a path, in doubling rounds; each one cuts lineage through the checkpoint folder if one is set."""
+    """(a, b) -> all pairs on a path, in doubling rounds; each one cuts lineage. All pairs come out: for small graphs, strong_components() answers cycles without them."""
     paths, known = edges.distinct(), -1
     for _ in range(rounds):
         x, y = paths.alias("x"), paths.alias("y")
         longer = x.join(y, F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        paths = paths.unionByName(longer).distinct()
-        if paths.sparkSession.sparkContext.getCheckpointDir():
-            paths = paths.checkpoint()
+        paths = _cut(paths.unionByName(longer).distinct())
         n = paths.count()
         if n == known:
             return paths
@@ -123,14 +172,13 @@ def trim(edges: DataFrame, rounds: int = 1000) -> DataFrame:
             return edges
         known = n
         edges = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
-        if edges.sparkSession.sparkContext.getCheckpointDir():
-            edges = edges.checkpoint()
+        edges = _cut(edges)
     return edges
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df computed, without its lineage: through the checkpoint folder if one is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    """df computed, without its lineage, as a table in the shared folder."""
+    return keep(df, "cut")
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -145,13 +193,70 @@ def _least(edges: DataFrame) -> DataFrame:
             return now
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def _tarjan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All edges (a, b) of a graph -> (id, component), by Tarjan's one search without recursion; only ids of components of two or more."""
+    frames = [b for b in batches if len(b)]
+    if not frames:
+        return
+    x = pd.concat(frames, ignore_index=True)
+    names = np.unique(np.concatenate([x["a"].to_numpy(), x["b"].to_numpy()]))
+    a, b = np.searchsorted(names, x["a"].to_numpy()), np.searchsorted(names, x["b"].to_numpy())
+    order = np.argsort(a, kind="stable")
+    first, to = np.searchsorted(a[order], np.arange(len(names) + 1)).tolist(), b[order].tolist()
+    n = len(names)
+    index, low, at, inside = [-1] * n, [0] * n, first[:n], [False] * n
+    stack: list[int] = []
+    out = np.full(n, -1)
+    count = 0
+    for root in range(n):
+        if index[root] >= 0:
+            continue
+        path = [root]
+        while path:
+            v = path[-1]
+            if index[v] < 0:
+                index[v] = low[v] = count
+                count += 1
+                stack.append(v)
+                inside[v] = True
+            while at[v] < first[v + 1]:
+                w = to[at[v]]
+                at[v] += 1
+                if index[w] < 0:
+                    path.append(w)
+                    break
+                if inside[w]:
+                    low[v] = min(low[v], index[w])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1]] = min(low[path[-1]], low[v])
+                if low[v] == index[v]:
+                    members = []
+                    while True:
+                        w = stack.pop()
+                        inside[w] = False
+                        members.append(w)
+                        if w == v:
+                            break
+                    if len(members) > 1:
+                        out[members] = min(members)
+    some = np.flatnonzero(out >= 0)
+    yield pd.DataFrame({"id": names[some], "component": names[out[some]]})
+
+
+def strong_components(edges: DataFrame, small: int = 2_000_000) -> DataFrame:
     """(a, b) -> (id, component): ids that reach each other have one component, named by the smallest; ids that can't be on a cycle may be left out.
 
+    A graph of at most `small` edges, counted, is searched in one task of bounded size. Larger ones take rounds over all tasks:
     Ids whose smallest reached and smallest reaching id are the same are in its component. Of the others only edges between equal pairs
     can be inside a component, and each round settles at least the smallest id of every pair.
     """
-    left, out = _cut(trim(edges.where("a <> b").distinct(), 12)), None
+    left, out = _cut(edges.where("a <> b").distinct()), None
+    if left.count() <= small:
+        kind = left.schema["a"].dataType.simpleString()
+        return _cut(left.coalesce(1).mapInPandas(_tarjan, f"id {kind}, component {kind}"))
+    left = _cut(trim(left, 12))
     while not left.isEmpty():
         down = _least(left).withColumnRenamed("least", "lo")
         up = _least(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnRenamed("least", "hi")
@@ -253,8 +358,13 @@ def classify_batches(ops: DataFrame) -> DataFrame:
     w = Window.partitionBy("batch", "cf").orderBy("pos")
     x = ops.withColumn("before", F.lag("key").over(w))
     b = x.groupBy("batch", "cf").agg(F.bool_and("put").alias("puts"), F.bool_and(F.coalesce(F.col("key") > F.col("before"), F.lit(True))).alias("rising"), F.min("key").alias("least"), F.max("key").alias("most"))
-    high = F.max("most").over(Window.partitionBy("cf").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1))
-    return b.withColumn("high", high).select("batch", "cf", (F.col("puts") & F.col("rising") & F.coalesce(F.col("least") > F.col("high"), F.lit(True))).alias("sorted"))
+    # the highest key before a batch: of the bins of batches before, then within the bin
+    b = b.withColumn("tl_bin", F.floor(F.col("batch") / 4096))
+    tops = b.groupBy("cf", "tl_bin").agg(F.max("most").alias("top"))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("cf", "tl_bin", F.max("top").over(before("cf").orderBy("tl_bin")).alias("tl_before"))
+    b = b.withColumn("tl_here", F.max("most").over(before("cf", "tl_bin").orderBy("batch"))).join(tops, ["cf", "tl_bin"])
+    return b.withColumn("high", F.greatest("tl_here", "tl_before")).select("batch", "cf", (F.col("puts") & F.col("rising") & F.coalesce(F.col("least") > F.col("high"), F.lit(True))).alias("sorted"))
 
 
 @dataclass

@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import keep
+
 #: Tombstones up to this number are broadcast after they have been counted; beyond it the as-of join is used.
 FEW = 2_000
-#: Ranges of an as-of join, and keys sampled to place them.
-CUTS = 64
+#: Ranges of keys: at least CUTS, one for each ROWS rows, at most MOST; and keys sampled to place them.
+CUTS, ROWS, MOST = 64, 1 << 20, 1024
 SAMPLE = 4096
 
 
@@ -30,51 +32,90 @@ def newest(versions: DataFrame, seq: int | None = None, by: tuple[str, ...] = ("
     return best.select(*by, "v.seq", "v.kind", "v.value")
 
 
-def cut_points(keys: DataFrame, most: int = CUTS) -> list:
-    """At most `most` - 1 of the values of the first column that cut it in ranges of about the same size.
+def cut_points(keys: DataFrame, most: int | None = None) -> list:
+    """Values of the first column that cut it in ranges of about the same size, as many as the number of rows asks for (at most `most` - 1 if given).
 
     The sample has one key, that of least hash, for each of SAMPLE classes of hashes: combined in every task, so that SAMPLE rows meet at most.
     """
     name = keys.columns[0]
     h = keys.where(F.col(name).isNotNull()).select(F.col(name).alias("k"), F.xxhash64(name).alias("h"))
-    sample = sorted(r[0] for r in h.groupBy(F.pmod("h", F.lit(SAMPLE)).alias("c")).agg(F.min_by("k", "h")).select("min_by(k, h)").collect())
+    found = h.groupBy(F.pmod("h", F.lit(SAMPLE)).alias("c")).agg(F.min_by("k", "h").alias("k"), F.count(F.lit(1)).alias("n")).collect()
+    most = most or min(MOST, max(CUTS, -(-sum(r["n"] for r in found) // ROWS)))
+    sample = sorted(r["k"] for r in found)
     return [sample[len(sample) * i // most] for i in range(1, most)] if len(sample) >= most else sample
 
 
-def _range_of(key: Column, cuts: list, strictly: bool = False) -> Column:
-    """The number of cuts at or below the key (or strictly below it)."""
+def _range_of(key: Column, cuts: list) -> Column:
+    """The number of cuts at or below the key. Many cuts are looked up in two steps."""
     if not cuts:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: (c < key) if strictly else (c <= key)))
+    lits = lambda values: F.array(*[F.lit(c) for c in values])
+    below = lambda values: F.size(F.filter(values, lambda c: c <= key))
+    width = max(32, int(len(cuts) ** 0.5) + 1)
+    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    if len(groups) == 1:
+        return below(lits(cuts))
+    first = below(lits([g[0] for g in groups[1:]]))
+    return first * width + below(F.element_at(F.array(*map(lits, groups)), first + 1))
+
+
+def _ranges(rows: DataFrame, key: str) -> DataFrame:
+    return rows.withColumn("tl_range", _range_of(F.col(key), cut_points(rows.select(key))))
+
+
+def ordered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with n: the place of each, from 1, in the order of the columns: counted inside sampled ranges of the first one, and one row a range between them."""
+    x = _ranges(rows, order[0])
+    sums = x.groupBy("tl_range").agg(F.count(F.lit(1)).alias("c"))
+    before = sums.select("tl_range", (F.sum("c").over(Window.orderBy("tl_range")) - F.col("c")).alias("tl_before"))  # at most MOST rows
+    here = F.row_number().over(Window.partitionBy("tl_range").orderBy(*order))
+    return x.withColumn("tl_here", here).join(F.broadcast(before), "tl_range").withColumn("n", F.col("tl_before") + F.col("tl_here")).drop("tl_range", "tl_here", "tl_before")
+
+
+def numbered(rows: DataFrame, by: list[str], order: str, block: int = 4096) -> DataFrame:
+    """rows with n: the place of each, from 1, in its group in order of a long column; groups are counted in bins of that column, so a hot one is many tasks."""
+    x = rows.withColumn("tl_bin", F.floor(F.col(order) / block))
+    sums = x.groupBy(*by, "tl_bin").agg(F.count(F.lit(1)).alias("c"))
+    sums = sums.select(*by, "tl_bin", (F.sum("c").over(Window.partitionBy(*by).orderBy("tl_bin")) - F.col("c")).alias("tl_before"))
+    here = F.row_number().over(Window.partitionBy(*by, "tl_bin").orderBy(order))
+    return x.withColumn("tl_here", here).join(sums, [*by, "tl_bin"]).withColumn("n", (F.col("tl_before") + F.col("tl_here")).cast("long")).drop("tl_bin", "tl_here", "tl_before")
 
 
 def fragments(tombstones: DataFrame, cf: bool = False) -> DataFrame:
-    """Disjoint pieces (start, end, seq) of the tombstones with the highest covering seq; filter by snapshot before.
+    """Disjoint pieces (cf?, start, end, seq) of the tombstones with the highest covering seq; filter by snapshot before.
 
-    Pieces begin and end at starts and ends. Tombstones are cut at sampled starts, so that each range of keys is a group of its own, in
-    which pieces are joined with the tombstones over them; as every cut is a start, no piece is cut that would not be anyway (with families, a
-    piece may be cut at another family's start, which changes no cover).
+    Pieces begin and end at starts and ends. Edges are numbered; a tombstone over the pieces [a, b) is cut in at most two aligned blocks of 2^k
+    pieces for each k, blocks keep their maximum, and a piece takes the maximum of the blocks that it lies in, one for each k. So n tombstones
+    cost n log n rows whatever they overlap, and no pair of tombstones or of a tombstone and a piece is made. The widest blocks, which hold
+    most pieces, are broadcast: at most 2^11 rows.
     """
-    by = ["tl_range", *(["cf"] if cf else [])]
-    t = tombstones.where(F.col("start") < F.col("end"))
-    cuts = cut_points(t.select("start"), 512)
-    t = t.withColumn("tl_range", F.explode(F.sequence(_range_of(F.col("start"), cuts), _range_of(F.col("end"), cuts, strictly=True))))
-    edges_of = F.array(*[F.lit(c) for c in cuts]) if cuts else None
-    low = F.when(F.col("tl_range") > 0, F.get(edges_of, F.col("tl_range") - 1)) if cuts else F.lit(None)
-    high = F.when(F.col("tl_range") < len(cuts), F.get(edges_of, F.col("tl_range"))) if cuts else F.lit(None)
-    t = t.withColumn("start", F.greatest("start", F.coalesce(low, F.col("start")))).withColumn("end", F.least("end", F.coalesce(high, F.col("end"))))
-    edges = t.select(*by, F.col("start").alias("e")).unionByName(t.select(*by, F.col("end").alias("e"))).distinct()
-    pieces = edges.withColumn("next", F.lead("e").over(Window.partitionBy(*by).orderBy("e"))).where(F.col("next").isNotNull())
-    over = t.select(*by, F.col("start").alias("t_start"), F.col("end").alias("t_end"), F.col("seq").alias("t_seq"))
-    found = pieces.join(over, by).where((F.col("t_start") <= F.col("e")) & (F.col("next") <= F.col("t_end")))
-    return found.groupBy(*by, "e", "next").agg(F.max("t_seq").alias("seq")).select(*by[1:], F.col("e").alias("start"), F.col("next").alias("end"), "seq")
+    by = ["cf"] if cf else []
+    full = (lambda c: F.concat("cf", F.lit("\0"), F.col(c))) if cf else F.col
+    t = tombstones.where(F.col("start") < F.col("end")).select(full("start").alias("start"), full("end").alias("end"), "seq")
+    t = t.groupBy("start", "end").agg(F.max("seq").alias("seq"))
+    edges = t.select(F.col("start").alias("key")).unionByName(t.select(F.col("end").alias("key"))).distinct()
+    ranks = keep(ordered(edges, ["key"]).select("key", (F.col("n") - 1).alias("i")), "edges")
+    top = max(1, ranks.count()).bit_length()
+    spans = t.join(ranks.select(F.col("key").alias("start"), F.col("i").alias("a")), "start").join(ranks.select(F.col("key").alias("end"), F.col("i").alias("b")), "end")
+    spans = spans.select("seq", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("k")).selectExpr("seq", "k", "(a + (1L << k) - 1) >> k AS a", "b >> k AS b").where("a < b")
+    ends = F.filter(F.array(F.when(F.col("a") % 2 == 1, F.col("a")), F.when(F.col("b") % 2 == 1, F.col("b") - 1)), lambda x: x.isNotNull())
+    blocks = spans.select("k", F.explode(ends).alias("block"), "seq").groupBy("k", "block").agg(F.max("seq").alias("seq"))
+    pieces = ranks.select("i", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("k")).selectExpr("i", "k", "i >> k AS block")
+    wide = F.col("k") > top - 11
+    found = pieces.where(wide).join(F.broadcast(blocks.where(wide)), ["k", "block"]).unionByName(pieces.where(~wide).join(blocks.where(~wide), ["k", "block"]))
+    found = found.groupBy("i").agg(F.max("seq").alias("seq"))
+    out = found.join(ranks.select("i", F.col("key").alias("start")), "i").join(ranks.select((F.col("i") - 1).alias("i"), F.col("key").alias("end")), "i")
+    if not cf:
+        return out.select("start", "end", "seq")
+    at, tail = F.instr("start", "\0"), lambda c: F.substring(c, F.instr(c, "\0") + 1, F.length(c))
+    return out.select(F.substring("start", F.lit(1), at - 1).alias("cf"), tail("start").alias("start"), tail("end").alias("end"), "seq").select(*by, "start", "end", "seq")
 
 
 def as_of(probes: DataFrame, entries: DataFrame, key: str = "key", value: str = "value", forward: bool = False) -> DataFrame:
     """For each distinct probe key, `value` of the entry with the greatest key at or below it (forward: least at or above it).
 
     Keys are dealt to ranges by a bounded sample; each range is scanned in order, and what lies before a range is one row
-    handed on by each range. No range is the whole table, and no pair of rows is compared.
+    handed on by each range. The number of ranges follows the number of rows; no pair of rows is compared.
     """
     both = probes.select(F.col(key).alias("k"), F.lit(None).cast(entries.schema[value].dataType).alias("v"), F.lit(1).alias("probe")).distinct()
     both = both.unionByName(entries.select(F.col(key).alias("k"), F.col(value).alias("v"), F.lit(0).alias("probe")))
@@ -86,7 +127,7 @@ def as_of(probes: DataFrame, entries: DataFrame, key: str = "key", value: str =
     ends = both.where("probe = 0").groupBy("range").agg(best.alias("v"))
     spans = both.select("range").distinct().join(ends, "range", "left")
     before = Window.orderBy(F.col("range").asc() if down else F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carry = spans.select("range", F.last("v", ignorenulls=True).over(before).alias("carry"))  # at most CUTS rows
+    carry = spans.select("range", F.last("v", ignorenulls=True).over(before).alias("carry"))  # at most MOST rows
     found = both.withColumn("here", here).where("probe = 1").join(F.broadcast(carry), "range")
     return found.select(F.col("k").alias(key), F.coalesce("here", "carry").alias(value))
 
@@ -187,18 +228,22 @@ def count_ranges(ranges: DataFrame, state: DataFrame, cap: int | None = None, wi
 
 
 def running_count(keys: DataFrame) -> DataFrame:
-    """Distinct keys -> key, n: keys at or below it, with running counts inside sampled ranges and one row a range between them."""
-    x = keys.withColumn("range", _range_of(F.col("key"), cut_points(keys.select("key"))))
-    sums = x.groupBy("range").agg(F.count(F.lit(1)).alias("c"))
-    before = sums.select("range", (F.sum("c").over(Window.orderBy("range")) - F.col("c")).alias("b"))
-    here = F.row_number().over(Window.partitionBy("range").orderBy("key"))
-    return x.withColumn("here", here).join(F.broadcast(before), "range").select("key", (F.col("b") + F.col("here")).alias("n"))
+    """Distinct keys -> key, n: keys at or below it."""
+    return ordered(keys, ["key"]).select("key", "n")
 
 
 def neighbours(state: DataFrame, group: list[Column] | None = None) -> DataFrame:
-    """key -> previous and next live key, inside groups of keys (prefixes) if given."""
-    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy("key")
-    return state.select("key", F.lag("key").over(w).alias("prev_key"), F.lead("key").over(w).alias("next_key"))
+    """key -> previous and next live key, inside groups of keys (prefixes) if given, else over all keys: inside sampled ranges, and between their ends."""
+    if group:
+        w = Window.partitionBy(*group).orderBy("key")
+        return state.select("key", F.lag("key").over(w).alias("prev_key"), F.lead("key").over(w).alias("next_key"))
+    x = _ranges(state.select("key"), "key")
+    ends = x.groupBy("tl_range").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    order = Window.orderBy("tl_range")  # at most MOST rows
+    ends = ends.select("tl_range", F.lag("hi").over(order).alias("before"), F.lead("lo").over(order).alias("after"))
+    w = Window.partitionBy("tl_range").orderBy("key")
+    x = x.withColumn("p", F.lag("key").over(w)).withColumn("q", F.lead("key").over(w)).join(F.broadcast(ends), "tl_range")
+    return x.select("key", F.coalesce("p", "before").alias("prev_key"), F.coalesce("q", "after").alias("next_key"))
 
 
 def last_under_prefix(state: DataFrame, prefix: Column, below: Column | None = None) -> DataFrame:

@@ -33,9 +33,9 @@ def merge_latest(cache: DataFrame, delta: DataFrame) -> DataFrame:
 
 def fold(state: DataFrame, updates: DataFrame) -> DataFrame:
     """state(key, value, seq), updates(seq, op put / delete / purge, key, value) -> the new state; updates at or below a key's seq are skipped."""
-    u = updates.select("key", "value", "seq", F.col("op"))
-    x = state.select("key", "value", "seq", F.lit("put").alias("op")).unionByName(u)
-    best = x.groupBy("key").agg(F.max_by(F.struct("value", "seq", "op"), "seq").alias("b"))
+    u = updates.select("key", "value", "seq", F.col("op"), F.lit(0).alias("held"))
+    x = state.select("key", "value", "seq", F.lit("put").alias("op"), F.lit(1).alias("held")).unionByName(u)
+    best = x.groupBy("key").agg(F.max_by(F.struct("value", "seq", "op"), F.struct("seq", "held", "op", "value")).alias("b"))
     return best.where("b.op = 'put'").select("key", "b.value", "b.seq")
 
 
@@ -83,14 +83,47 @@ def replay(records: DataFrame, checkpoints: DataFrame) -> DataFrame:
     return records.join(checkpoints.select("cf", F.col("seq").alias("tl_from")), "cf", "left").where(F.col("tl_from").isNull() | (F.col("seq") > F.col("tl_from"))).drop("tl_from")
 
 
-def fold_stream(source: DataFrame, store, family: str = "default", checkpoint: str | None = None, **trigger):
+def truncation_losses(records: DataFrame, checkpoints: DataFrame, upto: int) -> DataFrame:
+    """Families (cf, lost) whose records at or below `upto` lie above their checkpoint: the log must not be cut there while any is left."""
+    return replay(records.where(F.col("seq") <= upto), checkpoints).groupBy("cf").agg(F.count(F.lit(1)).alias("lost"))
+
+
+def strict_stitch(deltas: DataFrame, cutoff: int) -> DataFrame:
+    """deltas(feed, seq) -> feed, ok: it begins right after the cutoff, without overlap, repeat or gap."""
+    x = gaps(deltas, cutoff)
+    return x.select("feed", ((F.col("skipped") == 0) & F.col("first_gap").isNull() & F.col("last_seq").isNotNull()).alias("ok"))
+
+
+def tail(store, sink, checkpoint: str, after: int = 0, **trigger):
+    """Follow a store: sink(changes, batch number) for what each batch of new manifests added, in order of seq.
+
+    The stream reads the manifests; a batch reaches from the last sequence of the manifest before its first to that of its last. A batch that is run again
+    has the same changes, unless a compaction has removed versions since, which fails as SnapshotTooOld.
+    """
+    files = store.spark.readStream.schema("value string").option("wholetext", "true").text(f"{store.root}/manifest")
+    numbers = files.select(F.get_json_object("value", "$.n").cast("long").alias("n"), F.get_json_object("value", "$.last").cast("long").alias("last"))
+
+    def run(batch: DataFrame, number: int) -> None:
+        first, last = batch.agg(F.min("n"), F.max("last")).first()
+        if last is None:
+            return
+        begin = max(after, store.manifest(first - 1)["last"] if first else 0)
+        m = store.manifest()
+        if last > begin:
+            sink(changes(store.versions(m), store.tombstones(m), begin, last, m["oldest"]), number)
+
+    return numbers.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def fold_stream(source: DataFrame, store, family: str = "default", checkpoint: str | None = None, name: str = "default", **trigger):
     """Fold a stream of (seq, op, key, value) into a store: state and cursor in one commit for each micro-batch.
 
-    A batch that is run again finds its rows at or below the cursor and changes nothing, so the sink is exactly-once.
+    A batch that is run again finds its rows at or below the cursor of the source `name` and changes nothing, so the sink is exactly-once. The source
+    hands on its rows in order of seq.
     """
 
     def sink(batch: DataFrame, _: int) -> None:
-        store.fold(batch, family)
+        store.fold(batch, family, name)
 
     writer = source.writeStream.foreachBatch(sink).outputMode("append")
     if checkpoint:
