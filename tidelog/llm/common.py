@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,44 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import _written, clear, keep, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may leave it unset and get a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="tidelog-"))
-    return _own[0]
-
-
-_written: list[str] = []
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete what keep() wrote in this process; DataFrames that read it can't be used any more."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tidelog-{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def join_counted(rows: DataFrame, by_key: DataFrame, keys: list[str], total: int, count: str = "tl_n", hubs: int = 2000, least: int = 32) -> DataFrame:
     """rows joined with by_key, which has one row a key and in `count` the number of the key's rows; every key of rows is in by_key or the row goes.
 
