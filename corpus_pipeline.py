@@ -54,5 +54,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, common.keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 _written: list[str] = []
+_paths: dict[int, tuple[str, weakref.ref]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,4 +44,15 @@ def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (path, weakref.ref(out, lambda _, k=id(out): _paths.pop(k, None)))
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table of a DataFrame that keep() returned, once nothing reads it any more; of any other DataFrame nothing."""
+    path, _ = _paths.pop(id(df), (None, None))
+    if path:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _written.remove(path)
