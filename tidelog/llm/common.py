@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import _written, clear, keep, shared_dir  # noqa: F401
+from ..sources.shared import _written, clear, keep, release, shared_dir  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, rounds: int = 50, least: int = 32) ->
     Self-links are left out; nodes without a link to another are not returned.
     """
     e = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    n = F.count(F.lit(1)).alias("tl_n")
+    n, last = F.count(F.lit(1)).alias("tl_n"), e
     for _ in range(rounds):
         total = 2 * e.count()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -45,7 +45,9 @@ def connected_components(edges: DataFrame, rounds: int = 50, least: int = 32) ->
         e = join_counted(both.where("v > u"), low, ["u"], total, least=least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = e.groupBy("u").agg(F.min("v").alias("m"), n)
         moved = join_counted(e, low, ["u"], total, least=least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = keep(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, e = last, keep(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(before)
+        last = e
         ends = e.select(F.col("u").alias("n"), F.lit(1).alias("c"), F.lit(0).alias("p")).unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("c"), F.lit(1).alias("p")))
         ends = ends.groupBy("n").agg(F.sum("c").alias("c"), F.max("p").alias("p"))
         if ends.where("c > 1 or (c > 0 and p > 0)").isEmpty():
