@@ -236,11 +236,16 @@ def paragraphs(docs: DataFrame, model: Classifier, common: list[str]) -> DataFra
     return out.unionByName(runs.select("tl_row", "doc_id", "paragraph", "lines", "text"))
 
 
-def _gram_array(words: Column) -> Column:
-    def run(n: int) -> Column:
-        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def _gram_array(words: Column, most: int = 3) -> Column:
+    """Distinct 1- to most-grams of an array of words, which may be any expression and is computed once."""
 
-    return F.array_distinct(F.concat(words, run(2), run(3)))
+    def grams_of(words: Column) -> Column:
+        def run(n: int) -> Column:
+            return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+        return F.array_distinct(F.concat(words, *[run(n) for n in range(2, most + 1)]))
+
+    return F.transform(F.array(words), grams_of)[0]
 
 
 def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
@@ -250,7 +255,9 @@ def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     model = model or train(common)
     found = keep(paragraphs(docs, model, common), "paragraphs")
     counted = found.groupBy("text").agg(F.count(F.lit(1)).alias("tl_n"))
-    distinct = counted.select("text").withColumn("words", F.filter(F.split(F.lower("text"), _WORD), lambda w: w != ""))
+    # few bytes but much work for each paragraph: as many tasks as shuffle partitions, whatever the size
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    distinct = counted.select("text").repartition(parts, "text").withColumn("words", F.filter(F.split(F.lower("text"), _WORD), lambda w: w != ""))
     k = len(model.families)
     # one row an n-gram: bounded by the notices above, not by the corpus
     weights = spark.createDataFrame([(g, [float(v) for v in row]) for g, row in zip(model.vocabulary, model.weights, strict=True)], "gram string, weight array<double>")
@@ -265,7 +272,7 @@ def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     # templates of the predicted family: the share of their pairs of words that the paragraph holds
     pairs = [(f, _pairs(t)) for f, ts in TEMPLATES.items() for t in ts]
     templates = spark.createDataFrame(pairs, "family string, pairs array<string>")
-    grams_of = scored.withColumn("grams", _gram_array(F.filter(F.split(F.lower("text"), _WORD), lambda w: w != "")))
+    grams_of = scored.repartition(parts, "text").withColumn("grams", _gram_array(F.filter(F.split(F.lower("text"), _WORD), lambda w: w != ""), 2))
     similar = grams_of.join(F.broadcast(templates), "family").withColumn("similarity", F.size(F.array_intersect("grams", "pairs")) / F.size("pairs"))
     similar = similar.groupBy("text").agg(F.first("family").alias("family"), F.first("probability").alias("probability"), F.max("similarity").alias("similarity"))
     # very common paragraphs by a broadcast of a bounded number of them
