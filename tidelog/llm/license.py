@@ -2,12 +2,12 @@
 
 Model: multinomial logistic regression over word 1- to 3-grams, one class for each licence family and one for `unknown`. It is trained in numpy on
 the driver from the families' notices below, varied by context words and dropped words, against paragraphs that only talk of licences, and
-words of a bounded sample of the corpus' own paragraphs (NEGATIVES rows, a documented parameter). Weights of small size are set to
+words and runs of 25 words of a bounded sample of the corpus' own texts (NEGATIVES rows, a documented parameter). Weights of small size are set to
 zero, so the model is a sparse table of a few thousand n-grams; its size depends on the notices and not on the corpus. The temperature of
 the softmax and the bias of `unknown` are calibrated on notices, and on paragraphs of no licence, that a first model saw no variant of.
 
-Scan: a paragraph is a line of a document. A paragraph of which all words that the model knows are common ones can't outweigh the bias of
-`unknown`; anchors() derives from the weights for which words that holds, and every paragraph with another word is scored. A notice may be
+Scan: a paragraph is a line of a document. A paragraph of which all n-grams that the model knows are common ones can't outweigh the bias of
+`unknown`; anchors() derives from the weights for which n-grams that holds, and every paragraph with another of the model's n-grams is scored. A notice may be
 wrapped: windows of neighbouring lines without a blank one (WINDOWS), and whole runs of lines up to a blank one, are scored too, in
 documents with enough of a template's pairs of words to be confirmed. They give a row, numbered by its first line, only if they are confirmed and hold
 no confirmed paragraph of the family; of overlapping ones the most similar counts. Distinct candidate paragraphs are cut into n-grams, joined
@@ -97,8 +97,12 @@ class Classifier:
 
 
 def train(filler: list[str], seed: int = 5, variants: int = 24, epochs: int = 200) -> Classifier:
-    """filler: words of the corpus, for the context of notices and for paragraphs of no licence."""
+    """filler: words of the corpus in its order, for the context of notices and for paragraphs of no licence."""
     rng = np.random.default_rng(seed)
+    # the corpus' own text, but for what may be a notice
+    pairs = set(rare_pairs(filler))
+    runs = [filler[i : i + 25] for i in range(0, len(filler), 25)]
+    runs = [r for r in runs if not pairs.intersection({*r, *(" ".join(p) for p in zip(r, r[1:], strict=False))})]
     filler = sorted(set(filler)) or ["the", "of", "and"]
     families = sorted([*TEMPLATES, UNKNOWN])
     texts, labels, held = [], [], []
@@ -114,6 +118,10 @@ def train(filler: list[str], seed: int = 5, variants: int = 24, epochs: int = 20
             texts.append(v)
             labels.append(families.index(UNKNOWN))
             held.append(k % 5 == 4)
+    for k, r in enumerate(runs):
+        texts.append(r)
+        labels.append(families.index(UNKNOWN))
+        held.append(k % 5 == 4)
     known = {g for t in [*TEMPLATES.values(), TALK] for s in t for g in grams(_words(s))}
     vocabulary = sorted(known)
     at = {g: i for i, g in enumerate(vocabulary)}
@@ -165,24 +173,24 @@ def corpus_words(docs: DataFrame, n: int = NEGATIVES) -> list[str]:
 
 
 def anchors(model: Classifier, common: list[str]) -> list[str]:
-    """Words of which a paragraph must hold one to be of a family; `common` is a list of words of the corpus.
+    """N-grams of which a paragraph must hold one to be of a family; `common` is a list of words of the corpus, in its order.
 
-    Words are left out, the most common first, as long as all n-grams made of left-out words alone weigh less, in sum, than the bias
-    of `unknown` is above a family's, for every family. So no paragraph without an anchor is predicted to be of one.
+    N-grams are left out, the most common first, as long as all that are left out weigh less, in sum, than the bias of `unknown` is above a family's,
+    for every family. So no paragraph without an anchor is predicted to be of one, whatever it holds. Anchors that hold another are implied by it.
     """
     unknown = model.families.index(UNKNOWN)
     margin = np.delete(np.maximum(model.weights - model.weights[:, [unknown]], 0), unknown, axis=1)
-    room = np.delete(model.bias[unknown] - model.bias, unknown)
-    parts = [set(g.split(" ")) for g in model.vocabulary]
-    count = Counter(common)
-    words, out = sorted(set().union(*parts), key=lambda w: (-count[w], w)), set()
-    for w in words:
-        inside = np.array([p <= out | {w} for p in parts])
-        if (margin[inside].sum(axis=0) < room - 1e-6).all():
-            out.add(w)
-        elif not count[w]:
-            break
-    return sorted(set(words) - out)
+    room = np.delete(model.bias[unknown] - model.bias, unknown) - 1e-6
+    count = Counter(" ".join(common[i : i + n]) for n in (1, 2, 3) for i in range(len(common) - n + 1))
+    total, out = np.zeros(len(room)), set()
+    for i in sorted(range(len(model.vocabulary)), key=lambda i: (-count[model.vocabulary[i]], model.vocabulary[i])):
+        if (total + margin[i] < room).all():
+            total += margin[i]
+            out.add(model.vocabulary[i])
+    left = [g.split(" ") for g in model.vocabulary if g not in out]
+    names = {" ".join(g) for g in left}
+    parts = lambda g: {" ".join(g[i : i + n]) for n in range(1, len(g)) for i in range(len(g) - n + 1)}
+    return sorted(" ".join(g) for g in left if not parts(g) & names)
 
 
 def _pairs(text: str) -> list[str]:
@@ -217,11 +225,13 @@ def _any(phrases: list[str]) -> str:
 def paragraphs(docs: DataFrame, model: Classifier, common: list[str]) -> DataFrame:
     """docs(doc_id, text) -> tl_row, doc_id, paragraph (from 0), lines, text: the candidates, of one line or more."""
     words, pairs = _any(anchors(model, common)), _any(rare_pairs(common))
-    docs = docs.where("text is not null").select(F.monotonically_increasing_id().alias("tl_row"), "doc_id", "text")
-    docs = docs.select("*", F.split("text", "\n").alias("tl_lines"))
-    lines = docs.where(F.lower("text").rlike(words)).select("tl_row", "doc_id", F.posexplode("tl_lines").alias("paragraph", "text"))
+    low = F.lower("text")
+    # each text is read once; what is left of them is small
+    docs = docs.where("text is not null").select(F.monotonically_increasing_id().alias("tl_row"), "doc_id", "text", low.rlike(words).alias("tl_words"), (F.col("text").contains("\n") & low.rlike(pairs)).alias("tl_pairs"))
+    docs = keep(docs.where("tl_words or tl_pairs"), "licence-texts").withColumn("tl_lines", F.split("text", "\n"))
+    lines = docs.where("tl_words").select("tl_row", "doc_id", F.posexplode("tl_lines").alias("paragraph", "text"))
     out = lines.where(F.lower("text").rlike(words)).select("tl_row", "doc_id", "paragraph", F.lit(1).alias("lines"), "text")
-    docs = docs.where(F.lower("text").rlike(pairs) & F.col("text").contains("\n"))
+    docs = docs.where("tl_pairs")
     full = lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != ""
     for n in WINDOWS:
         x = docs.where(F.size("tl_lines") >= n).select("tl_row", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tl_lines") - n + 1), lambda i, n=n: F.slice("tl_lines", i, n))).alias("paragraph", "some"))
@@ -276,7 +286,8 @@ def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     similar = grams_of.join(F.broadcast(templates), "family").withColumn("similarity", F.size(F.array_intersect("grams", "pairs")) / F.size("pairs"))
     similar = similar.groupBy("text").agg(F.first("family").alias("family"), F.first("probability").alias("probability"), F.max("similarity").alias("similarity"))
     # very common paragraphs by a broadcast of a bounded number of them
-    out = keep(join_counted(found, similar.join(counted, "text"), ["text"], found.count()).withColumn("confirmed", F.col("similarity") >= CONTAINED).where("lines = 1 or confirmed"), "found")
+    similar = keep(similar.join(counted, "text"), "similar")
+    out = keep(join_counted(found, similar, ["text"], found.count()).withColumn("confirmed", F.col("similarity") >= CONTAINED).where("lines = 1 or confirmed"), "found")
     # wrapped notices: none that holds a confirmed paragraph of its family, and the most similar of overlapping ones
     ends = "paragraph + lines AS end"
     x = out.where("lines > 1").selectExpr("tl_row", "family", "paragraph", "lines", "similarity", ends)
