@@ -197,11 +197,11 @@ def _pairs(text: str) -> list[str]:
     return sorted({" ".join(p) for p in zip(_words(text), _words(text)[1:], strict=False)} or set(_words(text)))
 
 
-def rare_pairs(common: list[str]) -> list[str]:
-    """Pairs of words of which a text must hold one to be confirmed: of each template as many of the rarest as may be missing, and one more."""
+def rare_pairs(common: list[str], family: str | None = None) -> list[str]:
+    """Pairs of words of which a text must hold one to be confirmed (as of the family): of each template as many of the rarest as may be missing, and one more."""
     count = Counter(common)
     out = set()
-    for t in (t for ts in TEMPLATES.values() for t in ts):
+    for t in (t for f, ts in TEMPLATES.items() for t in ts if family in (None, f)):
         pairs = sorted(_pairs(t), key=lambda p: (min(count[w] for w in p.split(" ")), p))
         least = next(n for n in range(len(pairs) + 1) if n / len(pairs) >= CONTAINED)
         out.update(pairs[: len(pairs) - least + 1])
@@ -222,28 +222,42 @@ def _any(phrases: list[str]) -> str:
     return rf"(?<![a-z0-9]){tree(sorted(set(phrases)))}(?![a-z0-9])"
 
 
-def paragraphs(docs: DataFrame, model: Classifier, common: list[str]) -> DataFrame:
-    """docs(doc_id, text) -> tl_row, doc_id, paragraph (from 0), lines, text: the candidates, of one line or more."""
-    words, pairs = _any(anchors(model, common)), _any(rare_pairs(common))
-    low = F.lower("text")
-    # each text is read once; what is left of them is small
+def texts(docs: DataFrame, model: Classifier, common: list[str]) -> DataFrame:
+    """docs(doc_id, text) -> tl_row, doc_id, text, tl_words, tl_pairs: the texts that may hold a candidate, each read once, written and read back."""
+    words, pairs, low = _any(anchors(model, common)), _any(rare_pairs(common)), F.lower("text")
     docs = docs.where("text is not null").select(F.monotonically_increasing_id().alias("tl_row"), "doc_id", "text", low.rlike(words).alias("tl_words"), (F.col("text").contains("\n") & low.rlike(pairs)).alias("tl_pairs"))
-    docs = keep(docs.where("tl_words or tl_pairs"), "licence-texts").withColumn("tl_lines", F.split("text", "\n"))
-    lines = docs.where("tl_words").select("tl_row", "doc_id", F.posexplode("tl_lines").alias("paragraph", "text"))
-    out = lines.where(F.lower("text").rlike(words)).select("tl_row", "doc_id", "paragraph", F.lit(1).alias("lines"), "text")
-    docs = docs.where("tl_pairs")
+    return keep(docs.where("tl_words or tl_pairs"), "licence-texts")
+
+
+def single(docs: DataFrame, model: Classifier, common: list[str]) -> DataFrame:
+    """texts() -> tl_row, doc_id, paragraph (from 0), lines (1), text: the candidates of one line."""
+    lines = docs.where("tl_words").select("tl_row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
+    return lines.where(F.lower("text").rlike(_any(anchors(model, common)))).select("tl_row", "doc_id", "paragraph", F.lit(1).alias("lines"), "text")
+
+
+def wrapped(docs: DataFrame, done: DataFrame, common: list[str]) -> DataFrame:
+    """texts(), done(tl_row, family, paragraph): the confirmed lines -> candidates of more lines, in the columns of single().
+
+    A window or run is one if it holds a rare pair of a family of which it holds no confirmed line: any other that is confirmed is the wider form of one.
+    """
+    done = done.groupBy("tl_row").agg(F.collect_list(F.struct("paragraph", "family")).alias("tl_done"))
+    docs = docs.where("tl_pairs").join(done, "tl_row", "left").select("tl_row", "doc_id", "text", F.split("text", "\n").alias("tl_lines"), F.coalesce("tl_done", F.array().cast("array<struct<paragraph:int,family:string>>")).alias("tl_done"))
+    held = F.filter(F.array(*[F.when(F.lower("text").rlike(_any(rare_pairs(common, f))), F.lit(f)) for f in sorted(TEMPLATES)]), lambda f: f.isNotNull())
+    inside = F.transform(F.filter("tl_done", lambda d: (d["paragraph"] >= F.col("paragraph")) & (d["paragraph"] < F.col("paragraph") + F.col("lines"))), lambda d: d["family"])
     full = lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != ""
+    columns, out = ["tl_row", "doc_id", "paragraph", "lines", "text", "tl_done"], None
     for n in WINDOWS:
-        x = docs.where(F.size("tl_lines") >= n).select("tl_row", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tl_lines") - n + 1), lambda i, n=n: F.slice("tl_lines", i, n))).alias("paragraph", "some"))
-        x = x.where(F.forall("some", full)).select("tl_row", "doc_id", "paragraph", F.lit(n).alias("lines"), F.array_join("some", "\n").alias("text"))
-        out = out.unionByName(x.where(F.lower("text").rlike(pairs)))
+        x = docs.where(F.size("tl_lines") >= n).select("tl_row", "doc_id", "tl_done", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tl_lines") - n + 1), lambda i, n=n: F.slice("tl_lines", i, n))).alias("paragraph", "some"))
+        x = x.where(F.forall("some", full)).withColumn("lines", F.lit(n)).withColumn("text", F.array_join("some", "\n")).select(*columns)
+        out = x if out is None else out.unionByName(x)
     # runs, each behind the blank line before it
-    runs = docs.select("tl_row", "doc_id", F.split("text", r"(?<=\n)(?=[^\S\n]*\n)").alias("runs")).select("*", F.posexplode("runs").alias("at", "text"))
-    runs = runs.where(F.lower("text").rlike(pairs)).withColumn("blank", F.when(F.col("text").rlike(r"^[^\S\n]*\n"), 1).otherwise(0))
+    runs = docs.select("tl_row", "doc_id", "tl_done", F.split("text", r"(?<=\n)(?=[^\S\n]*\n)").alias("runs")).select("*", F.posexplode("runs").alias("at", "text"))
+    runs = runs.withColumn("blank", F.when(F.col("text").rlike(r"^[^\S\n]*\n"), 1).otherwise(0))
     runs = runs.withColumn("paragraph", F.size(F.split(F.array_join(F.slice("runs", F.lit(1), F.col("at")), ""), "\n")) - 1 + F.col("blank"))
     runs = runs.withColumn("text", F.regexp_replace(F.regexp_replace("text", r"^[^\S\n]*\n", ""), r"\n$", ""))
     runs = runs.withColumn("lines", F.size(F.split("text", "\n"))).where(F.col("lines") > max(WINDOWS))
-    return out.unionByName(runs.select("tl_row", "doc_id", "paragraph", "lines", "text"))
+    out = out.unionByName(runs.select(*columns)).where(F.lower("text").rlike(_any(rare_pairs(common))))
+    return out.where(F.size(F.array_except(held, inside)) > 0).drop("tl_done")
 
 
 def _gram_array(words: Column, most: int = 3) -> Column:
@@ -258,36 +272,49 @@ def _gram_array(words: Column, most: int = 3) -> Column:
     return F.transform(F.array(words), grams_of)[0]
 
 
-def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, paragraph, family, probability, similarity, confirmed, text."""
-    spark = docs.sparkSession
-    common = corpus_words(docs)
-    model = model or train(common)
-    found = keep(paragraphs(docs, model, common), "paragraphs")
-    counted = found.groupBy("text").agg(F.count(F.lit(1)).alias("tl_n"))
+def _scored(found: DataFrame, model: Classifier) -> DataFrame:
+    """Candidates with family, probability, similarity and confirmed, those that are predicted to be of a family; equal texts are scored once, under their hash."""
+    spark, k = found.sparkSession, len(model.families)
+    found = keep(found.withColumn("tl_hash", F.sha2("text", 256)), "paragraphs")
+    counted = found.groupBy("tl_hash").agg(F.count(F.lit(1)).alias("tl_n"), F.min("text").alias("text"))
     # few bytes but much work for each paragraph: as many tasks as shuffle partitions, whatever the size
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    distinct = counted.select("text").repartition(parts, "text").withColumn("words", F.filter(F.split(F.lower("text"), _WORD), lambda w: w != ""))
-    k = len(model.families)
+    words = F.filter(F.split(F.lower("text"), _WORD), lambda w: w != "")
+    grams_of = keep(counted.repartition(parts, "tl_hash").select("tl_hash", "tl_n", _gram_array(words).alias("grams")).select("tl_hash", "tl_n", F.array_intersect("grams", _known(model)).alias("grams")), "grams")
     # one row an n-gram: bounded by the notices above, not by the corpus
     weights = spark.createDataFrame([(g, [float(v) for v in row]) for g, row in zip(model.vocabulary, model.weights, strict=True)], "gram string, weight array<double>")
-    hits = distinct.select("text", F.explode(_gram_array(F.col("words"))).alias("gram")).join(F.broadcast(weights), "gram")
-    sums = hits.groupBy("text").agg(*[F.sum(F.col("weight")[i]).alias(f"s{i}") for i in range(k)])
+    hits = grams_of.select("tl_hash", F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
+    sums = hits.groupBy("tl_hash").agg(*[F.sum(F.col("weight")[i]).alias(f"s{i}") for i in range(k)])
     logits = F.array(*[(F.col(f"s{i}") + F.lit(float(model.bias[i]))) / F.lit(float(model.temperature)) for i in range(k)])
-    scored = sums.select("text", logits.alias("z")).withColumn("top", F.array_max("z"))
+    scored = sums.select("tl_hash", logits.alias("z")).withColumn("top", F.array_max("z"))
     scored = scored.withColumn("probability", 1.0 / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top"))))
     families = F.array(*[F.lit(f) for f in model.families])
     scored = scored.withColumn("family", F.element_at(families, F.array_position("z", F.col("top")).cast("int")))
-    scored = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY)).select("text", "family", "probability")
+    scored = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY)).select("tl_hash", "family", "probability")
     # templates of the predicted family: the share of their pairs of words that the paragraph holds
     pairs = [(f, _pairs(t)) for f, ts in TEMPLATES.items() for t in ts]
     templates = spark.createDataFrame(pairs, "family string, pairs array<string>")
-    grams_of = scored.repartition(parts, "text").withColumn("grams", _gram_array(F.filter(F.split(F.lower("text"), _WORD), lambda w: w != ""), 2))
-    similar = grams_of.join(F.broadcast(templates), "family").withColumn("similarity", F.size(F.array_intersect("grams", "pairs")) / F.size("pairs"))
-    similar = similar.groupBy("text").agg(F.first("family").alias("family"), F.first("probability").alias("probability"), F.max("similarity").alias("similarity"))
+    similar = scored.join(grams_of, "tl_hash").join(F.broadcast(templates), "family").withColumn("similarity", F.size(F.array_intersect("grams", "pairs")) / F.size("pairs"))
+    similar = similar.groupBy("tl_hash", "tl_n").agg(F.first("family").alias("family"), F.first("probability").alias("probability"), F.max("similarity").alias("similarity"))
     # very common paragraphs by a broadcast of a bounded number of them
-    similar = keep(similar.join(counted, "text"), "similar")
-    out = keep(join_counted(found, similar, ["text"], found.count()).withColumn("confirmed", F.col("similarity") >= CONTAINED).where("lines = 1 or confirmed"), "found")
+    out = join_counted(found, keep(similar, "similar"), ["tl_hash"], found.count())
+    return out.withColumn("confirmed", F.col("similarity") >= CONTAINED).drop("tl_hash")
+
+
+def _known(model: Classifier) -> Column:
+    """The model's n-grams and all pairs and words of templates: all that scores and similarities ask for."""
+    pairs = {p for ts in TEMPLATES.values() for t in ts for p in _pairs(t)}
+    return F.array(*[F.lit(g) for g in sorted(pairs | set(model.vocabulary))])
+
+
+def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, paragraph, family, probability, similarity, confirmed, text."""
+    common = corpus_words(docs)
+    model = model or train(common)
+    some = texts(docs, model, common)
+    lines = keep(_scored(single(some, model, common), model), "lines")
+    wide = _scored(wrapped(some, lines.where("confirmed").select("tl_row", "family", "paragraph"), common), model).where("confirmed")
+    out = keep(lines.unionByName(wide), "found")
     # wrapped notices: none that holds a confirmed paragraph of its family, and the most similar of overlapping ones
     ends = "paragraph + lines AS end"
     x = out.where("lines > 1").selectExpr("tl_row", "family", "paragraph", "lines", "similarity", ends)
