@@ -238,26 +238,36 @@ def single(docs: DataFrame, model: Classifier, common: list[str]) -> DataFrame:
 def wrapped(docs: DataFrame, done: DataFrame, common: list[str]) -> DataFrame:
     """texts(), done(tl_row, family, paragraph): the confirmed lines -> candidates of more lines, in the columns of single().
 
-    A window or run is one if it holds a rare pair of a family of which it holds no confirmed line: any other that is confirmed is the wider form of one.
+    Only families that a template of which has enough of its pairs in the whole text come into question. A window or run is a candidate if it holds a
+    rare pair of such a family of which it holds no confirmed line: any other that is confirmed is the wider form of one.
     """
     done = done.groupBy("tl_row").agg(F.collect_list(F.struct("paragraph", "family")).alias("tl_done"))
-    docs = docs.where("tl_pairs").join(done, "tl_row", "left").select("tl_row", "doc_id", "text", F.split("text", "\n").alias("tl_lines"), F.coalesce("tl_done", F.array().cast("array<struct<paragraph:int,family:string>>")).alias("tl_done"))
-    held = F.filter(F.array(*[F.when(F.lower("text").rlike(_any(rare_pairs(common, f))), F.lit(f)) for f in sorted(TEMPLATES)]), lambda f: f.isNotNull())
+    pairs_of = {f: [_pairs(t) for t in ts] for f, ts in TEMPLATES.items()}
+    every = F.array(*[F.lit(p) for p in sorted({p for ts in pairs_of.values() for t in ts for p in t})])
+    found = F.array_intersect(_gram_array(F.filter(F.split(F.lower("text"), _WORD), lambda w: w != ""), 2), every)
+    enough = lambda f: F.greatest(*[F.size(F.array_intersect("tl_found", F.array(*[F.lit(p) for p in t]))) / len(t) for t in pairs_of[f]], F.lit(0.0)) >= CONTAINED
+    docs = docs.where("tl_pairs").withColumn("tl_found", found).withColumn("tl_open", F.filter(F.array(*[F.when(enough(f), F.lit(f)) for f in sorted(TEMPLATES)]), lambda f: f.isNotNull()))
+    docs = keep(docs.where(F.size("tl_open") > 0).drop("tl_found"), "licence-open").join(done, "tl_row", "left")
+    docs = docs.select("tl_row", "doc_id", "text", "tl_open", F.split("text", "\n").alias("tl_lines"), F.coalesce("tl_done", F.array().cast("array<struct<paragraph:int,family:string>>")).alias("tl_done"))
     inside = F.transform(F.filter("tl_done", lambda d: (d["paragraph"] >= F.col("paragraph")) & (d["paragraph"] < F.col("paragraph") + F.col("lines"))), lambda d: d["family"])
+    holds = None
+    for f in sorted(TEMPLATES):
+        test = F.array_contains("tl_left", f) & F.lower("text").rlike(_any(rare_pairs(common, f)))
+        holds = test if holds is None else holds | test
     full = lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != ""
-    columns, out = ["tl_row", "doc_id", "paragraph", "lines", "text", "tl_done"], None
+    columns, out = ["tl_row", "doc_id", "paragraph", "lines", "text", "tl_done", "tl_open"], None
     for n in WINDOWS:
-        x = docs.where(F.size("tl_lines") >= n).select("tl_row", "doc_id", "tl_done", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tl_lines") - n + 1), lambda i, n=n: F.slice("tl_lines", i, n))).alias("paragraph", "some"))
+        x = docs.where(F.size("tl_lines") >= n).select("tl_row", "doc_id", "tl_done", "tl_open", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tl_lines") - n + 1), lambda i, n=n: F.slice("tl_lines", i, n))).alias("paragraph", "some"))
         x = x.where(F.forall("some", full)).withColumn("lines", F.lit(n)).withColumn("text", F.array_join("some", "\n")).select(*columns)
         out = x if out is None else out.unionByName(x)
     # runs, each behind the blank line before it
-    runs = docs.select("tl_row", "doc_id", "tl_done", F.split("text", r"(?<=\n)(?=[^\S\n]*\n)").alias("runs")).select("*", F.posexplode("runs").alias("at", "text"))
+    runs = docs.select("tl_row", "doc_id", "tl_done", "tl_open", F.split("text", r"(?<=\n)(?=[^\S\n]*\n)").alias("runs")).select("*", F.posexplode("runs").alias("at", "text"))
     runs = runs.withColumn("blank", F.when(F.col("text").rlike(r"^[^\S\n]*\n"), 1).otherwise(0))
     runs = runs.withColumn("paragraph", F.size(F.split(F.array_join(F.slice("runs", F.lit(1), F.col("at")), ""), "\n")) - 1 + F.col("blank"))
     runs = runs.withColumn("text", F.regexp_replace(F.regexp_replace("text", r"^[^\S\n]*\n", ""), r"\n$", ""))
     runs = runs.withColumn("lines", F.size(F.split("text", "\n"))).where(F.col("lines") > max(WINDOWS))
-    out = out.unionByName(runs.select(*columns)).where(F.lower("text").rlike(_any(rare_pairs(common))))
-    return out.where(F.size(F.array_except(held, inside)) > 0).drop("tl_done")
+    out = out.unionByName(runs.select(*columns)).withColumn("tl_left", F.array_except("tl_open", inside))
+    return out.where((F.size("tl_left") > 0) & holds).select("tl_row", "doc_id", "paragraph", "lines", "text")
 
 
 def _gram_array(words: Column, most: int = 3) -> Column:
