@@ -8,9 +8,9 @@ the softmax and the bias of `unknown` are calibrated on notices, and on paragrap
 
 Scan: a paragraph is a line of a document. A paragraph of which all n-grams that the model knows are common ones can't outweigh the bias of
 `unknown`; anchors() derives from the weights for which n-grams that holds, and every paragraph with another of the model's n-grams is scored. A notice may be
-wrapped: windows of neighbouring lines without a blank one (WINDOWS), and whole runs of lines up to a blank one, are scored too, in
-documents with enough of a template's pairs of words to be confirmed. They give a row, numbered by its first line, only if they are confirmed and hold
-no confirmed paragraph of the family; of overlapping ones the most similar counts. Distinct candidate paragraphs are cut into n-grams, joined
+wrapped: windows of neighbouring lines (WINDOWS), and whole runs of lines up to a blank one, are scored too if they hold one of the pairs of words
+without which no template is confirmed. A line that is confirmed stands for itself and parts its neighbours as a blank one does. Windows and runs give a
+row, numbered by its first line, only if they are confirmed; of overlapping ones of a family the inner and then the most similar counts. Distinct candidate paragraphs are cut into n-grams, joined
 with the weights, summed by family, and turned into probabilities. A prediction other than `unknown` is confirmed if the words of one of the
 family's templates are contained in the paragraph to at least CONTAINED, as pairs of words. Results are joined back to all
 paragraphs that have the text, so copies are scored once.
@@ -236,38 +236,29 @@ def single(docs: DataFrame, model: Classifier, common: list[str]) -> DataFrame:
 
 
 def wrapped(docs: DataFrame, done: DataFrame, common: list[str]) -> DataFrame:
-    """texts(), done(tl_row, family, paragraph): the confirmed lines -> candidates of more lines, in the columns of single().
+    """texts(), done(tl_row, paragraph): the confirmed lines -> candidates of more lines, in the columns of single().
 
-    Only families that a template of which has enough of its pairs in the whole text come into question. A window or run is a candidate if it holds a
-    rare pair of such a family of which it holds no confirmed line: any other that is confirmed is the wider form of one.
+    A confirmed line stands for itself and parts its neighbours as a blank one does; most texts hold no rare pair beside such lines and are done.
     """
-    done = done.groupBy("tl_row").agg(F.collect_list(F.struct("paragraph", "family")).alias("tl_done"))
-    pairs_of = {f: [_pairs(t) for t in ts] for f, ts in TEMPLATES.items()}
-    every = F.array(*[F.lit(p) for p in sorted({p for ts in pairs_of.values() for t in ts for p in t})])
-    found = F.array_intersect(_gram_array(F.filter(F.split(F.lower("text"), _WORD), lambda w: w != ""), 2), every)
-    enough = lambda f: F.greatest(*[F.size(F.array_intersect("tl_found", F.array(*[F.lit(p) for p in t]))) / len(t) for t in pairs_of[f]], F.lit(0.0)) >= CONTAINED
-    docs = docs.where("tl_pairs").withColumn("tl_found", found).withColumn("tl_open", F.filter(F.array(*[F.when(enough(f), F.lit(f)) for f in sorted(TEMPLATES)]), lambda f: f.isNotNull()))
-    docs = keep(docs.where(F.size("tl_open") > 0).drop("tl_found"), "licence-open").join(done, "tl_row", "left")
-    docs = docs.select("tl_row", "doc_id", "text", "tl_open", F.split("text", "\n").alias("tl_lines"), F.coalesce("tl_done", F.array().cast("array<struct<paragraph:int,family:string>>")).alias("tl_done"))
-    inside = F.transform(F.filter("tl_done", lambda d: (d["paragraph"] >= F.col("paragraph")) & (d["paragraph"] < F.col("paragraph") + F.col("lines"))), lambda d: d["family"])
-    holds = None
-    for f in sorted(TEMPLATES):
-        test = F.array_contains("tl_left", f) & F.lower("text").rlike(_any(rare_pairs(common, f)))
-        holds = test if holds is None else holds | test
+    done = done.groupBy("tl_row").agg(F.collect_set("paragraph").alias("tl_done"))
+    pairs = _any(rare_pairs(common))
+    docs = docs.where("tl_pairs").join(done, "tl_row", "left").withColumn("tl_done", F.coalesce("tl_done", F.array().cast("array<int>")))
+    docs = docs.withColumn("tl_lines", F.transform(F.split("text", "\n"), lambda x, i: F.when(F.array_contains("tl_done", i), "").otherwise(x)))
+    docs = docs.select("tl_row", "doc_id", "tl_lines", F.array_join("tl_lines", "\n").alias("text"))
+    docs = keep(docs.where(F.lower("text").rlike(pairs)), "licence-rest")
     full = lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != ""
-    columns, out = ["tl_row", "doc_id", "paragraph", "lines", "text", "tl_done", "tl_open"], None
+    out = None
     for n in WINDOWS:
-        x = docs.where(F.size("tl_lines") >= n).select("tl_row", "doc_id", "tl_done", "tl_open", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tl_lines") - n + 1), lambda i, n=n: F.slice("tl_lines", i, n))).alias("paragraph", "some"))
-        x = x.where(F.forall("some", full)).withColumn("lines", F.lit(n)).withColumn("text", F.array_join("some", "\n")).select(*columns)
+        x = docs.where(F.size("tl_lines") >= n).select("tl_row", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tl_lines") - n + 1), lambda i, n=n: F.slice("tl_lines", i, n))).alias("paragraph", "some"))
+        x = x.where(F.forall("some", full)).select("tl_row", "doc_id", "paragraph", F.lit(n).alias("lines"), F.array_join("some", "\n").alias("text"))
         out = x if out is None else out.unionByName(x)
     # runs, each behind the blank line before it
-    runs = docs.select("tl_row", "doc_id", "tl_done", "tl_open", F.split("text", r"(?<=\n)(?=[^\S\n]*\n)").alias("runs")).select("*", F.posexplode("runs").alias("at", "text"))
+    runs = docs.select("tl_row", "doc_id", F.split("text", r"(?<=\n)(?=[^\S\n]*\n)").alias("runs")).select("*", F.posexplode("runs").alias("at", "text"))
     runs = runs.withColumn("blank", F.when(F.col("text").rlike(r"^[^\S\n]*\n"), 1).otherwise(0))
     runs = runs.withColumn("paragraph", F.size(F.split(F.array_join(F.slice("runs", F.lit(1), F.col("at")), ""), "\n")) - 1 + F.col("blank"))
     runs = runs.withColumn("text", F.regexp_replace(F.regexp_replace("text", r"^[^\S\n]*\n", ""), r"\n$", ""))
     runs = runs.withColumn("lines", F.size(F.split("text", "\n"))).where(F.col("lines") > max(WINDOWS))
-    out = out.unionByName(runs.select(*columns)).withColumn("tl_left", F.array_except("tl_open", inside))
-    return out.where((F.size("tl_left") > 0) & holds).select("tl_row", "doc_id", "paragraph", "lines", "text")
+    return out.unionByName(runs.select("tl_row", "doc_id", "paragraph", "lines", "text")).where(F.lower("text").rlike(pairs))
 
 
 def _gram_array(words: Column, most: int = 3) -> Column:
@@ -323,7 +314,7 @@ def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     model = model or train(common)
     some = texts(docs, model, common)
     lines = keep(_scored(single(some, model, common), model), "lines")
-    wide = _scored(wrapped(some, lines.where("confirmed").select("tl_row", "family", "paragraph"), common), model).where("confirmed")
+    wide = _scored(wrapped(some, lines.where("confirmed").select("tl_row", "paragraph"), common), model).where("confirmed")
     out = keep(lines.unionByName(wide), "found")
     # wrapped notices: none that holds a confirmed paragraph of its family, and the most similar of overlapping ones
     ends = "paragraph + lines AS end"
