@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import TypeVar
 
 import numpy as np
 import pandas as pd
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from ..sources.shared import keep
 from .visible import covering, lookup
 
+T = TypeVar("T")
+
 
 class SnapshotTooOld(RuntimeError):
     """A read below the retention watermark; never answered in part."""
@@ -381,29 +385,80 @@ class ReadToken:
 
 
 class LockTable:
-    """Exclusive key locks of pessimistic transactions, with the wait-for graph."""
+    """Exclusive key locks of pessimistic transactions. A transaction waits for a key, whoever owns it by then; time is given by the caller."""
 
     def __init__(self) -> None:
         self.owner: dict[str, int] = {}
-        self.waits: dict[int, int] = {}
+        self.waits: dict[int, str] = {}
+        self.until: dict[int, float] = {}
+
+    def lock(self, tx: int, key: str, now: float = 0.0, timeout: float | None = None, detect: bool = True) -> bool:
+        """True if the lock is held now; False if tx waits, to ask again later.
 
-    def lock(self, tx: int, key: str) -> bool:
-        """True if the lock is held now; False if tx waits; a wait that closes a circle is refused."""
+        A wait that would close a circle is refused (RuntimeError), before its time is looked at. The time of a wait runs from its first call: one
+        that is over, or none (timeout 0), is a TimeoutError, and tx waits no more. Without a timeout it waits for ever.
+        """
         held = self.owner.setdefault(key, tx)
         if held == tx:
-            self.waits.pop(tx, None)
+            self._stop(tx)
             return True
-        at: int | None = held
-        while at is not None:
+        if detect and self._circle(tx, held):
+            self._stop(tx)
+            raise RuntimeError("deadlock")
+        if self.waits.get(tx) != key:
+            self._stop(tx)
+            self.waits[tx] = key
+            if timeout is not None:
+                self.until[tx] = now + timeout
+        if now >= self.until.get(tx, float("inf")):
+            self._stop(tx)
+            raise TimeoutError(f"{key} is locked by {held}")
+        return False
+
+    def _circle(self, tx: int, at: int | None) -> bool:
+        seen: set[int] = set()
+        while at is not None and at not in seen:
             if at == tx:
-                raise RuntimeError("deadlock")
-            at = self.waits.get(at)
-        self.waits[tx] = held
+                return True
+            seen.add(at)
+            key = self.waits.get(at)
+            at = None if key is None else self.owner.get(key)
         return False
 
+    def _stop(self, tx: int) -> None:
+        self.waits.pop(tx, None)
+        self.until.pop(tx, None)
+
     def release(self, tx: int) -> None:
         self.owner = {k: t for k, t in self.owner.items() if t != tx}
-        self.waits = {a: b for a, b in self.waits.items() if a != tx and b != tx}
+        self._stop(tx)
+
+
+@dataclass
+class Contention:
+    """Counts over the transactions of a process."""
+
+    conflicts: int = 0
+    retried_commits: int = 0
+    exhausted: int = 0
+
+
+def retried(body: Callable[[], T], conflict: type[Exception], attempts: int = 64, counts: Contention | None = None, sleep: Callable[[float], None] = time.sleep) -> T:
+    """Run a transaction until it meets no conflict, pausing longer each time; the last conflict is raised."""
+    counts = counts or Contention()
+    for attempt in range(attempts):
+        try:
+            out = body()
+        except conflict:
+            counts.conflicts += 1
+            if attempt == attempts - 1:
+                counts.exhausted += 1
+                raise
+            sleep(backoff(attempt) / 1000)
+        else:
+            counts.retried_commits += attempt > 0
+            return out
+    raise ValueError("no attempts")
 
 
 def backoff(attempt: int, base_ms: int = 2, most_ms: int = 500, seed: int | None = None) -> float:

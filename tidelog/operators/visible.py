@@ -227,6 +227,24 @@ def count_ranges(ranges: DataFrame, state: DataFrame, cap: int | None = None, wi
     return out.select("id", (n if cap is None else F.least(n, F.lit(cap))).cast("long").alias("n"))
 
 
+def rest(state: DataFrame, at: DataFrame, reverse: bool = False) -> DataFrame:
+    """Cursors at(id, key) -> (id, rows): live rows from the cursor's place to the end it moves to, the place itself included."""
+    ranks = running_count(state.select("key").distinct())
+    below = as_of(at.select("key"), ranks.select("key", F.col("n").alias("value"))).select("key", F.coalesce("value", F.lit(0)).alias("r")).distinct()
+    x = at.join(below, "key").join(ranks.select("key", F.lit(1).alias("same")), "key", "left")
+    if reverse:
+        return x.select("id", F.col("r").cast("long").alias("rows"))
+    total = ranks.agg(F.coalesce(F.max("n"), F.lit(0)).alias("total"))
+    return x.crossJoin(F.broadcast(total)).select("id", (F.col("total") - F.col("r") + F.coalesce("same", F.lit(0))).cast("long").alias("rows"))  # one row
+
+
+def steps_examined(versions: DataFrame, tombstones: DataFrame, lo: object, hi: object, seq: int) -> DataFrame:
+    """One row (versions, tombstones): what a scan of [lo, hi) at a snapshot has to look at, live or not."""
+    v = versions.where(bounds(lo, hi) & (F.col("seq") <= seq)).agg(F.count(F.lit(1)).alias("versions"))
+    t = tombstones.where((F.col("start") < hi) & (F.col("end") > lo) & (F.col("seq") <= seq)).agg(F.count(F.lit(1)).alias("tombstones"))
+    return v.crossJoin(t)
+
+
 def running_count(keys: DataFrame) -> DataFrame:
     """Distinct keys -> key, n: keys at or below it."""
     return ordered(keys, ["key"]).select("key", "n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.txn import SnapshotTooOld
@@ -72,6 +72,48 @@ def needs_rebuild(cached_to: int | None, log_from: int, last: int) -> bool:
     return cached_to is None or cached_to < min(log_from - 1, last)
 
 
+def should_store(commits_since: int, interval: int) -> bool:
+    """Whether a commit stores the feed cache; interval 0 leaves that to flushes and checkpoints."""
+    return 0 < interval <= commits_since
+
+
+def within_budget(live: int, budget: int = 100_000) -> bool:
+    """Whether a flush may build the feed cache again from the live rows, rather than leave it behind for the next reader."""
+    return live <= budget
+
+
+class FeedCache:
+    """The latest change of each key up to a sequence, in folders `upto=N` of a root. A folder without Spark's success mark was not finished and is not read."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._path = lambda *parts: spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+        self._fs = self._path().getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _finished(self) -> list[int]:
+        if not self._fs.exists(self._path()):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path())]
+        return sorted(int(n[5:]) for n in names if n.startswith("upto=") and self._fs.exists(self._path(n, "_SUCCESS")))
+
+    def load(self) -> tuple[DataFrame, int] | None:
+        """The newest finished cache and the sequence that it goes to."""
+        done = self._finished()
+        return (self.spark.read.parquet(f"{self.root}/upto={done[-1]}"), done[-1]) if done else None
+
+    def store(self, versions: DataFrame, upto: int, keep: int = 2) -> DataFrame:
+        """Bring the cache to `upto`: from its last state and the versions after it, or from all versions. Older ones than the last `keep` are deleted."""
+        held = self.load()
+        if held and held[1] >= upto:
+            return held[0]
+        x = changes_latest(versions.where(F.col("seq") <= upto), held[1] if held else 0)
+        x = merge_latest(held[0], x) if held else x
+        x.write.mode("overwrite").parquet(f"{self.root}/upto={upto}")
+        for n in self._finished()[:-keep]:
+            self._fs.delete(self._path(f"upto={n}"), True)
+        return self.load()[0]
+
+
 def prune_watermark(families: DataFrame, pins: DataFrame) -> DataFrame:
     """families(cf, last_flushed_seq, min_active_seq), pins(seq) -> the sequence below which segments can go; none without families."""
     f = families.agg(F.min(F.least(F.col("last_flushed_seq") + 1, F.coalesce("min_active_seq", F.lit((1 << 62))))).alias("f"))
