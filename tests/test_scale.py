@@ -24,3 +24,29 @@ def test_conflicts_unfold_where_they_end(spark):
                 got = [tuple(x) for x in e.collect()]
                 assert len(got) == len(want) and set(got) == want
         assert ("Aggregate" in _plan(e)) == (len(rows) > len(t))
+
+
+def _cyclic(rows):
+    to = {r[0]: {w[0] for w in rows if r[0] != w[0] and w[2] > r[1] and set(r[3]) & set(w[4])} for r in rows}
+    found = set()
+    for a in to:
+        seen, todo = set(), list(to[a])
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo.extend(to[x])
+        found |= {a} & seen
+    return found
+
+
+def test_cycles_over_blocks(spark):
+    """Cycles inside blocks, over several of them and over three levels, and what is left searched in rounds: the same ids."""
+    rng = random.Random(9)
+    for keys, lives in (("abcdefghijklmnopqrstuvwxyz", (1, 30)), ("abcd", (1, 4)), ("abcdefghijklmnopqrstuvwxyz", (200, 900))):
+        t = [(i, c - rng.randrange(*lives), c, rng.choices(keys, k=2), rng.choices(keys, k=1)) for i, c in enumerate(rng.sample(range(600), 120))]
+        want, d = _cyclic(t), spark.createDataFrame(t, TXNS)
+        assert 0 < len(want)
+        for width, small in ((8, 2_000_000), (4096, 2_000_000), (8, 1)):
+            got = [r[0] for r in txn.on_conflict_cycle(d, width, small).collect()]
+            assert len(got) == len(set(got)) and set(got) == want

@@ -212,17 +212,10 @@ def _least(edges: DataFrame) -> DataFrame:
             return now
 
 
-def _tarjan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All edges (a, b) of a graph -> (id, component), by Tarjan's one search without recursion; only ids of components of two or more."""
-    frames = [b for b in batches if len(b)]
-    if not frames:
-        return
-    x = pd.concat(frames, ignore_index=True)
-    names = np.unique(np.concatenate([x["a"].to_numpy(), x["b"].to_numpy()]))
-    a, b = np.searchsorted(names, x["a"].to_numpy()), np.searchsorted(names, x["b"].to_numpy())
+def _search(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edges between 0 .. n - 1 -> the least member of the component of each, by Tarjan's one search without recursion; -1 in components of one."""
     order = np.argsort(a, kind="stable")
-    first, to = np.searchsorted(a[order], np.arange(len(names) + 1)).tolist(), b[order].tolist()
-    n = len(names)
+    first, to = np.searchsorted(a[order], np.arange(n + 1)).tolist(), b[order].tolist()
     index, low, at, inside = [-1] * n, [0] * n, first[:n], [False] * n
     stack: list[int] = []
     out = np.full(n, -1)
@@ -260,6 +253,17 @@ def _tarjan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             break
                     if len(members) > 1:
                         out[members] = min(members)
+    return out
+
+
+def _tarjan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All edges (a, b) of a graph -> (id, component); only ids of components of two or more."""
+    frames = [b for b in batches if len(b)]
+    if not frames:
+        return
+    x = pd.concat(frames, ignore_index=True)
+    names = np.unique(np.concatenate([x["a"].to_numpy(), x["b"].to_numpy()]))
+    out = _search(len(names), np.searchsorted(names, x["a"].to_numpy()), np.searchsorted(names, x["b"].to_numpy()))
     some = np.flatnonzero(out >= 0)
     yield pd.DataFrame({"id": names[some], "component": names[out[some]]})
 
@@ -295,16 +299,25 @@ def on_cycle(edges: DataFrame) -> DataFrame:
     return c.join(large, "component", "left_semi").select("id").unionByName(edges.where("a = b").select(F.col("a").alias("id"))).distinct()
 
 
+def _entries(txns: DataFrame) -> DataFrame:
+    """(id, key, w, seq): each key read (w 0) with the snapshot, each key written (w 1) with the commit."""
+    r = txns.select(F.col("tx_id").alias("id"), F.explode(F.array_distinct("reads")).alias("key"), F.lit(0).alias("w"), F.col("snapshot_seq").cast("long").alias("seq"))
+    w = txns.select(F.col("tx_id").alias("id"), F.explode(F.array_distinct("writes")).alias("key"), F.lit(1).alias("w"), F.col("commit_seq").cast("long").alias("seq"))
+    return r.unionByName(w)
+
+
 def conflict_steps(txns: DataFrame, width: int = 1000) -> DataFrame:
-    """(a, b): a graph of strings in which transactions ("0:" and tx_id) reach each other as by their conflict edges, of N log N edges however hot a key.
+    """(a, b): a graph of strings in which transactions ("0:" and tx_id) reach each other as by their conflict edges, of N log N edges however hot a key."""
+    return _steps(_entries(txns), width)
+
+
+def _steps(entries: DataFrame, width: int = 1000) -> DataFrame:
+    """The graph of conflict_steps() of (id, key, w, seq).
 
     The writes of a key in order of commit are the leaves of a tree of 16 branches a node; a reader leads to the few nodes that cover all leaves after its
     snapshot. A transaction may also lead to its own write. Ranks are counted in bins of `width` sequences first.
     """
-    tx = F.concat(F.lit("0:"), F.col("tx_id").cast("string")).alias("tx")
-    r = txns.select(tx, F.col("snapshot_seq").alias("seq"), F.lit(0).alias("w"), F.explode(F.array_distinct("reads")).alias("key"))
-    w = txns.select(tx, F.col("commit_seq").alias("seq"), F.lit(1).alias("w"), F.explode(F.array_distinct("writes")).alias("key"))
-    x = r.unionByName(w).withColumn("bin", F.floor(F.col("seq") / width))
+    x = entries.select(F.concat(F.lit("0:"), F.col("id").cast("string")).alias("tx"), "key", "w", "seq").withColumn("bin", F.floor(F.col("seq") / width))
     base = x.groupBy("key", "bin").agg(F.sum("w").alias("n")).withColumn("base", F.sum("n").over(Window.partitionBy("key").orderBy("bin")) - F.col("n"))
     order = Window.partitionBy("key", "bin").orderBy("seq", F.col("w").desc(), "tx").rowsBetween(Window.unboundedPreceding, 0)
     x = _cut(x.join(base, ["key", "bin"]).select("tx", "key", "w", (F.col("base") + F.sum("w").over(order) - F.col("w")).alias("at")))
@@ -322,11 +335,113 @@ def conflict_steps(txns: DataFrame, width: int = 1000) -> DataFrame:
     return covers.unionByName(inner).unionByName(leaves.select(node(F.lit(0), F.col("at")).alias("a"), F.col("tx").alias("b")))
 
 
-def on_conflict_cycle(txns: DataFrame) -> DataFrame:
-    """tx_id of the transactions on a cycle of conflict edges: those whose strong component holds another transaction."""
-    c = _cut(strong_components(conflict_steps(txns)).where("startswith(id, '0:')"))
+def _reached(n: int, a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which of 0 .. n - 1 a start is or leads to."""
+    order = np.argsort(a, kind="stable")
+    first, to = np.searchsorted(a[order], np.arange(n + 1)).tolist(), b[order].tolist()
+    seen = np.zeros(n, bool)
+    seen[start] = True
+    todo, marks = np.flatnonzero(seen).tolist(), seen.tolist()
+    while todo:
+        v = todo.pop()
+        for w in to[first[v] : first[v + 1]]:
+            if not marks[w]:
+                marks[w] = True
+                todo.append(w)
+    return np.array(marks, bool)
+
+
+def _merged(x: pd.DataFrame) -> pd.DataFrame:
+    """All entries of a block -> the same graph with each strong component as one transaction, named by its least id: it reads a key at the least snapshot and
+    writes it at the greatest commit of its members. Rows with `found` name transactions that are now in a component for the first time.
+
+    The writes of a key in order are a chain, each link leading to its writer and to the next link; a reader leads to the first link after its snapshot.
+
+    A cycle that leaves the block leads back over one of its ends. If no edge passes over the block (`over`) and no path in it leads from a write that later blocks
+    see (above `later`) to a read that sees earlier blocks (below `earlier`), it crosses one end only. So only what such a write reaches or what reaches such a read goes on.
+    """
+    names, tx = np.unique(x["id"].to_numpy(), return_inverse=True)
+    _, seq = np.unique(x["seq"].to_numpy(), return_inverse=True)
+    place = pd.factorize(x["key"])[0].astype(np.int64) * (int(seq.max()) + 1) + seq
+    w = x["w"].to_numpy() == 1
+    order = np.flatnonzero(w)[np.argsort(place[w], kind="stable")]
+    chain, n = place[order], len(names)
+    key = lambda p: p // (int(seq.max()) + 1)
+    links = n + np.arange(len(order))
+    on = np.flatnonzero(key(chain[1:]) == key(chain[:-1]))
+    first = np.searchsorted(chain, place[~w], side="right")
+    hit = first < len(chain)
+    hit[hit] = key(chain[first[hit]]) == key(place[~w][hit])
+    a, b = np.concatenate([links, links[on], tx[~w][hit]]), np.concatenate([tx[order], links[on] + 1, n + first[hit]])
+    least = _search(n + len(order), a, b)[:n]
+    # a transaction alone with links that lead to itself is no component
+    large = least >= 0
+    large[large] = np.bincount(least[large], minlength=n)[least[large]] > 1
+    name = np.where(large, least, np.arange(n))
+    single = np.ones(n, bool)
+    single[tx] = x["single"].to_numpy()
+    y = pd.DataFrame({"id": names[name[tx]], "single": (single & ~large)[tx], "key": x["key"].to_numpy(), "w": x["w"].to_numpy(), "seq": x["seq"].to_numpy()})
+    y = y.groupby(["id", "single", "key", "w"], sort=False, as_index=False)["seq"].agg(["min", "max"])
+    y["seq"] = np.where(y["w"] == 1, y["max"], y["min"])
+    gone = pd.DataFrame({"id": names[large & single], "single": True, "key": None, "w": 0, "seq": 0})
+    if not x["over"].iloc[0]:
+        enters, leaves = (w & (x["seq"] > x["later"])).to_numpy(), (~w & (x["seq"] < x["earlier"])).to_numpy()
+        entered = _reached(n + len(order), a, b, tx[enters])[:n]
+        if not entered[tx[leaves]].any():
+            near = entered | _reached(n + len(order), b, a, tx[leaves])[:n]
+            y = y[y["id"].isin(names[name[near]])]
+    out = pd.concat([y.assign(found=False), gone.assign(found=True)], ignore_index=True)
+    return out.assign(block=x["block"].iloc[0])[["id", "single", "key", "w", "seq", "found", "block"]]
+
+
+def _useful(entries: DataFrame) -> DataFrame:
+    """entries without reads that no write follows, writes that no read precedes, and ids that are left with only one of both."""
+    ends = entries.groupBy("key").agg(F.min(F.when(F.col("w") == 0, F.col("seq"))).alias("low"), F.max(F.when(F.col("w") == 1, F.col("seq"))).alias("high"))
+    x = entries.join(ends, "key").where(F.when(F.col("w") == 0, F.col("seq") < F.col("high")).otherwise(F.col("seq") > F.col("low"))).drop("low", "high")
+    both = x.groupBy("id").agg(F.min("w").alias("r"), F.max("w").alias("t")).where("r = 0 and t = 1").select("id")
+    return x.join(both, "id", "left_semi")
+
+
+def _ends(entries: DataFrame) -> DataFrame:
+    """entries with what other blocks see of their keys: `later`, the least read of the key in later blocks; `earlier`, its greatest write in earlier blocks; and whether an
+    edge may pass `over` the block. One row a key and block."""
+    low, high = F.min(F.when(F.col("w") == 0, F.col("seq"))).alias("low"), F.max(F.when(F.col("w") == 1, F.col("seq"))).alias("high")
+    g = _cut(entries.groupBy("key", "block").agg(low, high))
+    past = lambda *by: Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    next_ = lambda *by: Window.partitionBy(*by).orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    both = lambda *by: (F.min("low").over(next_(*by)).alias("later"), F.max("high").over(past(*by)).alias("earlier"))
+    blocks = g.groupBy("block").agg(F.min("low").alias("low"), F.max("high").alias("high")).select("block", *both()).select("block", F.coalesce(F.col("later") < F.col("earlier"), F.lit(False)).alias("over"))  # a row a block
+    return entries.join(g.select("key", "block", *both("key")).hint("merge"), ["key", "block"]).join(F.broadcast(blocks), "block")
+
+
+def on_conflict_cycle(txns: DataFrame, width: int = 8192, small: int = 2_000_000) -> DataFrame:
+    """tx_id of the transactions on a cycle of conflict edges: those whose strong component holds another transaction.
+
+    Components of a part of the graph lie inside components of the whole. So those inside blocks of `width` commits are found first, one block a task, and each goes on
+    as one transaction; what can't be on a cycle over the end of a block is left out; 16 blocks at a time then become one, until there is one. Where a block would
+    still hold more than `small` entries, what is left is searched in rounds over all tasks.
+    """
+    at = F.floor(F.coalesce("commit_seq", "snapshot_seq", F.lit(0)) / width)
+    blocks = txns.groupBy(F.col("tx_id").alias("id")).agg(F.min(at).alias("block"))
+    x = _useful(_entries(txns).where("seq is not null and id is not null and key is not null")).withColumn("single", F.lit(True)).join(blocks, "id")
+    kind = {f.name: f.dataType.simpleString() for f in x.schema.fields}
+    out = None
+    while True:
+        y = _cut(_ends(x).groupBy("block").applyInPandas(_merged, f"id {kind['id']}, single boolean, key {kind['key']}, w int, seq long, found boolean, block long"))
+        found = y.where("found").select(F.col("id").alias("tx_id"))
+        out = found if out is None else out.unionByName(found)
+        x = _cut(_useful(y.where("not found").drop("found")))
+        sizes = x.groupBy(F.floor(F.col("block") / 16).alias("wide"), "block").agg(F.count(F.lit(1)).alias("n")).groupBy("wide").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks"))
+        blocks_left, most = sizes.agg(F.coalesce(F.sum("blocks"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        if blocks_left < 2:
+            return out
+        if most > small:
+            break
+        x = x.withColumn("block", F.floor(F.col("block") / 16))
+    c = _cut(strong_components(_steps(x), small).where("startswith(id, '0:')"))
     large = c.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return c.join(large, "component", "left_semi").select(F.substr("id", F.lit(3)).cast(txns.schema["tx_id"].dataType).alias("tx_id"))
+    ids = c.join(large, "component", "left_semi").select(F.substr("id", F.lit(3)).cast(kind["id"]).alias("id"))
+    return out.unionByName(x.where("single").join(ids, "id", "left_semi").select(F.col("id").alias("tx_id")).distinct())
 
 
 def dangerous(edges: DataFrame) -> DataFrame:
