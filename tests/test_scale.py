@@ -2,7 +2,7 @@
 
 import random
 
-from tidelog.operators import txn
+from tidelog.operators import hops, txn
 
 TXNS = "tx_id long, snapshot_seq long, commit_seq long, reads array<string>, writes array<string>"
 
@@ -50,3 +50,21 @@ def test_cycles_over_blocks(spark):
         for width, small in ((8, 2_000_000), (4096, 2_000_000), (8, 1)):
             got = [r[0] for r in txn.on_conflict_cycle(d, width, small).collect()]
             assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_two_hops_without_pairs(spark):
+    """Sparse and dense links, a hub, equal sets and nulls, in blocks of any size; no row a pair of nodes is shuffled."""
+    rng = random.Random(2)
+    for n, m, k in ((200, 300, 2), (300, 12, 5), (130, 40, 1)):
+        links = [(rng.randrange(n) * 7, rng.randrange(m)) for _ in range(n * k)] + [(p * 7, 999) for p in range(n // 3)] + [(None, 1), (3, None)]
+        want = {}
+        for p, _ in links:
+            if p is not None:
+                mine = {v for q, v in links if q == p and v is not None}
+                if mine:
+                    want[p] = len({q for q, v in links if v in mine and q is not None})
+        d = spark.createDataFrame(links, "src long, via long")
+        for sources, ends in ((1 << 18, 1 << 22), (40, 60)):
+            got = hops.two_hops(d, sources, ends)
+            assert {r.src: r.reached for r in got.collect()} == want
+            assert "CoGroup" in _plan(got)
