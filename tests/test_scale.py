@@ -2,7 +2,8 @@
 
 import random
 
-from tidelog.operators import hops, txn
+from tidelog.operators import compact, hops, txn
+from tidelog.operators.visible import visible
 
 TXNS = "tx_id long, snapshot_seq long, commit_seq long, reads array<string>, writes array<string>"
 
@@ -68,3 +69,21 @@ def test_two_hops_without_pairs(spark):
             got = hops.two_hops(d, sources, ends)
             assert {r.src: r.reached for r in got.collect()} == want
             assert "CoGroup" in _plan(got)
+
+
+def test_safety_of_rewrites_in_one_pass(spark):
+    """Pins of rewrites right and wrong, as read one by one, from one scan of the versions and without a broadcast of what grows with the keys."""
+    rng = random.Random(4)
+    v = spark.createDataFrame([(i, f"k{rng.randrange(30):02}", int(rng.random() < 0.8), f"v{rng.randrange(3)}" if rng.random() < 0.9 else None) for i in range(1, 400)], "seq long, key string, kind int, value string")
+    t = spark.createDataFrame([(f"k{(a := rng.randrange(28)):02}", f"k{a + 2:02}", s) for s in (40, 90, 200, 310, 390)], "start string, end string, seq long")
+    pins = [150, 250, 399]
+    for flagged in (compact.fate(v, 150), v.withColumn("keep", v["seq"] % 7 != 0)):
+        after = flagged.where("keep").drop("keep")
+        live = lambda x: [{(p, r.key, r.value) for r in visible(x, t, p).collect()} for p in pins]
+        b, a = live(v), live(after)
+        changed = sum(len(x ^ y) for x, y in zip(b, a, strict=True))
+        got = compact.safety(flagged, t, pins)
+        assert [tuple(r) for r in got.orderBy("pin").collect()] == [(p, len(x), len(y), changed) for p, x, y in zip(pins, b, a, strict=True)]
+    from tidelog.plans import queries
+
+    assert _plan(queries.QUERIES["gc_safety"](spark, "/root/testdata/sf0.001")).count("events.parquet") == 0

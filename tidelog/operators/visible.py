@@ -96,6 +96,7 @@ def fragments(tombstones: DataFrame, cf: bool = False) -> DataFrame:
     edges = t.select(F.col("start").alias("key")).unionByName(t.select(F.col("end").alias("key"))).distinct()
     ranks = keep(ordered(edges, ["key"]).select("key", (F.col("n") - 1).alias("i")), "edges")
     top = max(1, ranks.count()).bit_length()
+    ranks = ranks.hint("merge")  # never a broadcast of what grows with the tombstones
     spans = t.join(ranks.select(F.col("key").alias("start"), F.col("i").alias("a")), "start").join(ranks.select(F.col("key").alias("end"), F.col("i").alias("b")), "end")
     spans = spans.select("seq", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("k")).selectExpr("seq", "k", "(a + (1L << k) - 1) >> k AS a", "b >> k AS b").where("a < b")
     ends = F.filter(F.array(F.when(F.col("a") % 2 == 1, F.col("a")), F.when(F.col("b") % 2 == 1, F.col("b") - 1)), lambda x: x.isNotNull())

@@ -495,14 +495,7 @@ SELECT pin, count(*) FILTER (side = 'a') AS before, count(*) FILTER (side = 'b')
 def gc_safety(spark, sf):
     """Live keys at pins at or above the oldest before and after GC, and how many of all these reads differ."""
     v, t, s, last = L.versions(spark, sf), L.tombstones(spark, sf), L.snapshot(spark, sf), L.last_sequence(spark, sf)
-    pins, kept = [s, (s + last) // 2, last], compact.gc(v, s)
-    changed = compact.changed_reads(v, kept, t, pins).agg(F.count(F.lit(1)).alias("changed"))
-    out = None
-    for pin in pins:
-        n = [reads.visible(x, t, pin, values=False).agg(F.count(F.lit(1)).alias(c)) for x, c in ((v, "before"), (kept, "after"))]
-        x = n[0].crossJoin(n[1]).crossJoin(changed).select(F.lit(pin).cast("long").alias("pin"), "before", "after", "changed")  # one row each
-        out = x if out is None else out.unionByName(x)
-    return out
+    return compact.safety(compact.fate(v, s), t, [s, (s + last) // 2, last])
 
 
 @query("""
