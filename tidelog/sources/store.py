@@ -26,6 +26,7 @@ from ..operators import compact as gc_rules
 from ..operators import fold as folds
 from ..operators.txn import SnapshotTooOld, Transaction, backoff, validate
 from ..operators.visible import ordered, uncovered, visible
+from .shared import keep, release
 
 FORMAT = 2
 VERSION = "cf string, key string, seq long, kind int, value string, commit_id long"
@@ -194,26 +195,30 @@ class Store:
         """
         m = base or self.manifest()
         x = ops.withColumn("cf", F.coalesce("cf", F.lit("default"))).where("not (op = 'delete_range' and key >= value)")
+        met = x.groupBy("cf", "op").agg(F.count(F.lit(1)).alias("n"))
         families = x.sparkSession.createDataFrame([(f,) for f in sorted(m["families"])], "cf string")
-        bad = x.select("cf").distinct().join(families, "cf", "left_anti").first()
+        bad = met.join(families, "cf", "left_anti").first()
         if bad:
             raise KeyError(f"no family {bad[0]}")
+        kinds = {r["op"]: r["n"] for r in ops.groupBy("op").agg(F.count(F.lit(1)).alias("n")).collect()}  # four at most
+        if unknown := sorted(set(kinds) - {"put", "delete", "merge", "delete_range"}, key=str):
+            raise ValueError(f"no operation {unknown[0]}")
         number, tag = m["top"] + 1, self._tag(m)
         # positions to sequences by counts of position ranges, so that no task sorts the whole batch
         bins = x.withColumn("tl_bin", F.floor(F.col("pos") / 100_000))
         starts = bins.groupBy("tl_bin").agg(F.count(F.lit(1)).alias("n"))
         starts = starts.select("tl_bin", (F.sum("n").over(Window.orderBy("tl_bin")) - F.col("n")).alias("tl_base"))
         seq = F.lit(m["last"]) + F.col("tl_base") + F.row_number().over(Window.partitionBy("tl_bin").orderBy("pos"))
-        x = bins.join(starts, "tl_bin").withColumn("seq", seq.cast("long")).withColumn("commit_id", F.lit(number).cast("long"))
-        kinds = {r["op"]: r["n"] for r in ops.groupBy("op").agg(F.count(F.lit(1)).alias("n")).collect()}  # four at most
-        if unknown := sorted(set(kinds) - {"put", "delete", "merge", "delete_range"}, key=str):
-            raise ValueError(f"no operation {unknown[0]}")
+        # computed once: each folder takes a sample of its rows before it sorts them
+        numbered = keep(bins.join(starts, "tl_bin").select("cf", "op", "key", "value", seq.cast("long").alias("seq"), F.lit(number).cast("long").alias("commit_id")), "write")
+        x = numbered
         data = ranges = False
         if set(kinds) - {"delete_range"}:
             points = x.where("op <> 'delete_range'").withColumn("kind", F.when(F.col("op") == "put", PUT).when(F.col("op") == "merge", MERGE).otherwise(DELETE))
             data = self._put(points.withColumn("value", F.when(F.col("op") != "delete", F.col("value"))), "data", tag, VERSION)
         if "delete_range" in kinds:
             ranges = self._put(x.where("op = 'delete_range'").select("cf", F.col("key").alias("start"), F.col("value").alias("end"), "seq", "commit_id"), "ranges", tag, RANGE)
+        release(numbered)
         tops = [m["last"]] + [self._frame(k, [tag], s).agg(F.max("seq")).first()[0] for k, s, some in (("data", VERSION, data), ("ranges", RANGE, ranges)) if some]
         cursors = m["cursors"]
         if cursor:
@@ -297,16 +302,20 @@ class Store:
         whole = family is None and start is None and end is None
         v, t = self.versions(m), self.tombstones(m)
         v = v if whole else v.where(_scope(family, start, end))
-        x = gc_rules.fate(v, oldest, bottom, by=("cf", "key"))
-        kept, gone = x.where("keep").drop("keep"), x.where("not keep").drop("keep")
+        # computed once: each folder takes a sample of its rows before it sorts them
+        x = keep(gc_rules.fate(v, oldest, bottom, by=("cf", "key")), "compact")
+        kept, gone, live = x.where("keep").drop("keep"), x.where("not keep").drop("keep"), None
         if bottom and m["ranges"]:
             low = kept.where(F.col("seq") <= oldest)
-            live = uncovered(low, t.where(F.col("seq") <= oldest), cf=True)
+            live = keep(uncovered(low, t.where(F.col("seq") <= oldest), cf=True).select(*low.columns), "live")
             gone = gone.unionByName(low.join(live, ["cf", "key", "seq"], "left_anti"))
             kept = kept.where(F.col("seq") > oldest).unionByName(live)
         tag = self._tag(m)
         history = self._put(gone, "history", tag, VERSION)
         data = self._put(kept, "data", tag, VERSION, partitions)
+        for done in (x, live):
+            if done is not None:
+                release(done)
         changes = {"history": m["history"] + [tag] * history, "data": [tag] * data, "masks": [], "oldest": max(m["oldest"], oldest)}
         if not whole:
             changes |= {"data": m["data"] + [tag] * data, "masks": m["masks"] + [{"commits": m["data"], "family": family, "start": start, "end": end}]}
@@ -320,9 +329,11 @@ class Store:
         m = self.manifest()
         floor = max(m["floor"], min(floor, m["oldest"]))
         both = self.versions(m).withColumn("old", F.lit(0)).unionByName(self.history(m).withColumn("old", F.lit(1)))
-        left = gc_rules.fate(both, floor, by=("cf", "key")).where("keep and old = 1")
+        left = keep(gc_rules.fate(both, floor, by=("cf", "key")).where("keep and old = 1"), "pruned")
         tag = self._tag(m)
-        return self._install(m, floor=floor, history=[tag] * self._put(left, "history", tag, VERSION))
+        history = self._put(left, "history", tag, VERSION)
+        release(left)
+        return self._install(m, floor=floor, history=[tag] * history)
 
     def leftovers(self) -> list[str]:
         """Commit folders that no readable manifest names: of lost writers, or replaced."""

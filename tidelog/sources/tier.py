@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import keep, release
 from .store import VERSION, Store, _names
 
 _COLUMNS = _names(VERSION)
@@ -35,9 +36,10 @@ class HistoryTier:
 
     def put(self, versions: DataFrame) -> str:
         """Write rows as a segment and list it. Written aside, checked, then renamed; a name that is taken holds the same rows. No rows, no segment: ''."""
-        rows = versions.select(*_COLUMNS)
+        rows = keep(versions.select(*_COLUMNS), "tier")  # computed once: the sort takes a sample first
         aside = f"aside/{uuid.uuid4().hex}"
         rows.repartitionByRange("cf", "key").sortWithinPartitions("cf", "key", "seq").write.parquet(f"{self.root}/{aside}")
+        release(rows)
         entry = self._digest(self._read(aside))
         fs, name = self._files._fs, entry["name"]
         if not entry["rows"]:
